@@ -103,7 +103,7 @@ def _candidates(rule: Rule, text: Column, lines: Column, language: Column | None
     if rule.strip_prefix:
         found = [F.transform(a, lambda m: F.regexp_replace(m, rule.strip_prefix, "")) for a in found]
     if rule.union:
-        found = [F.array_distinct(F.concat(*found)) if len(found) > 1 else found[0]]
+        found = [F.array_distinct(F.concat(*found) if len(found) > 1 else found[0])]
     matches = F.concat(*found) if len(found) > 1 else found[0]
     if rule.min_length > 1:
         matches = F.filter(matches, lambda m: F.length(m) >= rule.min_length)

@@ -61,6 +61,11 @@ def matching_content_types(df: DataFrame, keys: list[str], mime: str = "content_
 
 def resolve(mime: Column, registry: dict[str, str]) -> Column:
     """Registered value for a MIME type: exact, then ``major/*``, then the first fitting prefix."""
+    # Bound to a lambda variable, a costly type expression is evaluated once and not per test.
+    return F.get(F.transform(F.array(mime), lambda m: _resolved(m, registry)), F.lit(0))
+
+
+def _resolved(mime: Column, registry: dict[str, str]) -> Column:
     by_prefix = F.lit(None).cast("string")
     for pattern, value in reversed(list(registry.items())):
         if pattern.endswith("*"):
