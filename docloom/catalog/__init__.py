@@ -6,7 +6,7 @@ import importlib
 
 from docloom.catalog.registered import ORACLES, QUERIES
 
-FAMILIES = ("prose", "code", "content", "chunks", "entities")
+FAMILIES = ("content", "chunks", "prose", "code", "entities", "graph", "search", "reports", "writes", "streams")
 
 
 def load_all() -> tuple[dict, dict]:

@@ -139,3 +139,50 @@ named AS (SELECT *, CASE {" ".join(names)} END AS name FROM found JOIN placed US
 SELECT {keys}, rule_id, m AS "match", name, 'technology' AS entity_type, CASE {" ".join(descriptions)} END AS description,
        position, CASE WHEN ctx = '' THEN m ELSE ctx END AS context, relevance
 FROM named WHERE name IS NOT NULL {drop}"""
+
+
+def outline_sql(source: str, rules, named_languages: tuple[str, ...], keys: str = "p_partkey") -> str:
+    """Declarations of source files, rule by rule, placed by line number."""
+    parts = []
+    for rule in rules:
+        where = ["TRUE"]
+        if rule.keep:
+            where.append(f"regexp_matches(line, {quoted(rule.keep)})")
+        if rule.drop:
+            where.append(f"NOT regexp_matches(line, {quoted(rule.drop)})")
+        languages = ", ".join(map(quoted, rule.languages or named_languages))
+        where.append(f"language {'IN' if rule.languages else 'NOT IN'} ({languages})")
+        name = f"unnest(regexp_extract_all(line, {quoted(rule.words)}, 0))" if rule.words else "line"
+        edited = "raw"
+        for pattern, replacement in rule.edits:
+            edited = f"regexp_replace({edited}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))})"
+        only = "DISTINCT " if rule.distinct else ""
+        anchor = "NULL"
+        if rule.anchor:
+            ahead, behind = rule.anchor.split("{}")
+            lead = "chr(10) || " if ahead.startswith(chr(10)) else ""
+            anchor = f"{lead}{quoted(ahead.lstrip(chr(10)))} || name || {quoted(behind)}"
+            if rule.rule_id == "c_types":
+                anchor = f"CASE WHEN contains(text, 'class ' || name) THEN 'class ' || name ELSE {anchor} END"
+        fixed = "NULL" if rule.context is None else quoted(rule.context)
+        if rule.context and "{}" in rule.context:
+            ahead, behind = rule.context.split("{}")
+            fixed = f"{quoted(ahead)} || language || {quoted(behind)}"
+        parts.append(
+            f"SELECT {keys}, text, {quoted(rule.rule_id)} AS rule_id, name, CAST({anchor} AS VARCHAR) AS anchor, {rule.context_lines} AS n, "
+            f"CAST({fixed} AS VARCHAR) AS fixed, CAST({rule.relevance} AS DOUBLE) AS relevance FROM "
+            f"(SELECT {only}{keys}, text, language, {edited} AS name FROM "
+            f"(SELECT {keys}, text, language, {name} AS raw FROM code_lines WHERE {' AND '.join(where)})) WHERE name <> ''"
+        )
+    return f"""
+WITH src AS ({source}),
+code_lines AS (SELECT {keys}, text, language, unnest(string_split(text, chr(10))) AS line FROM src),
+named AS ({" UNION ALL ".join(parts)}),
+bodies AS (SELECT *, regexp_replace(text, '\n$', '') AS body FROM named),
+spots AS (SELECT *, strpos(chr(10) || body, anchor) AS spot, string_split(body, chr(10)) AS ls FROM bodies),
+placed AS (SELECT *, CASE WHEN spot > 0 THEN len(string_split(left(chr(10) || body, spot - 1 + CASE WHEN starts_with(anchor, chr(10)) THEN 1 ELSE 0 END), chr(10))) - 1 END AS ln FROM spots)
+SELECT {keys}, rule_id, name, 'technology' AS entity_type,
+  CASE WHEN anchor IS NULL THEN fixed WHEN ln IS NULL THEN '' WHEN n = 1 THEN ls[ln]
+       ELSE ls[ln] || ' ' || CASE WHEN ln < len(ls) THEN ls[ln + 1] || ' ' ELSE '' END END AS context,
+  CAST(coalesce(ln, 0) AS INTEGER) AS position, relevance
+FROM placed"""

@@ -32,11 +32,10 @@ def links_per_content(links: DataFrame) -> DataFrame:
 
 
 def _between(df: DataFrame, ts: str, start: object, end: object) -> DataFrame:
-    kind = df.schema[ts].dataType
     if start is not None:
-        df = df.filter(F.col(ts) >= F.lit(start).cast(kind))
+        df = df.filter(F.col(ts) >= F.lit(start).cast(df.schema[ts].dataType))
     if end is not None:
-        df = df.filter(F.col(ts) <= F.lit(end).cast(kind))
+        df = df.filter(F.col(ts) <= F.lit(end).cast(df.schema[ts].dataType))
     return df
 
 
