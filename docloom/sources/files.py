@@ -12,7 +12,7 @@ from docloom.options import MAX_FILE_SIZE
 def scan_files(spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """Files below a folder: path, modificationTime, length, content.
 
-    The content is read only where a query asks for it.
+    The content is read only where a query asks for it.  Empty files are not listed by the source.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
