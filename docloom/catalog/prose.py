@@ -21,9 +21,10 @@ def _one(rule: R.Rule, *numbers: int, rule_id: str | None = None) -> R.Rule:
     """A rule cut down to some of its patterns."""
     patterns = tuple(rule.patterns[i] for i in numbers)
     starts = tuple(rule.starts[i] for i in numbers)
+    needs = tuple(rule.needs[i] for i in numbers) if rule.needs else ()
     return R.Rule(
         rule_id or rule.rule_id, rule.entity_type, rule.relevance, rule.width, patterns, union=True,
-        strip_prefix=rule.strip_prefix, min_length=rule.min_length, normalize=rule.normalize, starts=starts,
+        strip_prefix=rule.strip_prefix, min_length=rule.min_length, normalize=rule.normalize, starts=starts, needs=needs,
     )
 
 

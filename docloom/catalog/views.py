@@ -224,7 +224,7 @@ CODE_SQL = (
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
     """A source file per part: its path and text, in eleven languages."""
-    part = load(spark, folder, "part").select("p_partkey", "p_name", "p_size")
+    part = spread(load(spark, folder, "part").select("p_partkey", "p_name", "p_size"))
     return part.select("p_partkey", F.expr(CODE_PATH).alias("path"), F.expr(CODE_TEXT).alias("text"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.names import normalize_name
 from docloom.functions.json_columns import top_level_keys
-from docloom.functions.text import find_all, is_blank, lines_of, strip
+from docloom.functions.text import contains_any, find_all, is_blank, lines_of, strip
 from docloom.operators.rules import (
     CODE_RULES, DOCUMENT_RULES, OFFSET_RULES, OFFSET_WIDTH, PROSE_RULES, Rule,
 )
@@ -27,7 +27,7 @@ MENTION_COLUMNS = (
 )
 CANDIDATES = (
     "array<struct<rule_id:string,match:string,name:string,entity_type:string,description:string,"
-    "width:int,relevance:double>>"
+    "label:string,width:int,relevance:double>>"
 )
 
 
@@ -46,18 +46,34 @@ def _stays_in_line(pattern: str) -> bool:
     return not re.search(r"\\s|\[\^|\(\?s\)", pattern)
 
 
-def _matches(text: Column, lines: Column, pattern: str, start: str = "") -> Column:
+def _opening_literal(pattern: str) -> tuple[str, ...]:
+    """The plain characters every match of a pattern begins with, if it has any."""
+    if re.search(r"\|(?![^(\[]*[)\]])", pattern):
+        return ()
+    word = re.match(r"[A-Za-z#@:_]+", pattern)
+    if not word:
+        return ()
+    optional = pattern[word.end():word.end() + 1] in ("?", "*", "{")
+    literal = word.group(0)[:-1] if optional else word.group(0)
+    return (literal,) if literal else ()
+
+
+def _matches(text: Column, lines: Column, pattern: str, start: str, needs: tuple[str, ...]) -> Column:
     """Distinct matches of a pattern, line by line, in binary order.
 
-    ``start`` is the class of the characters a match can begin with; testing it ahead of the costlier
-    word edge changes no match.
+    Two cheap tests spare most of the work and change no match: a text without any of the literals in
+    ``needs`` is not searched, and ``start``, the class a match can begin with, is tested ahead of the
+    costlier word edge.
     """
     guard = f"(?={start})(?:{pattern})" if start else pattern
     if _stays_in_line(pattern):
         found = find_all(text, UNICODE + guard)
     else:
-        found = F.flatten(F.transform(lines, lambda line: find_all(line, UNICODE + pattern)))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda m: F.length(strip(m)) > 0)))
+        found = F.flatten(F.transform(lines, lambda line: find_all(line, UNICODE + guard)))
+    needs = needs or _opening_literal(pattern)
+    if needs:
+        found = F.coalesce(F.when(contains_any(text, needs), found), F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(found))
 
 
 def _fill(template: str, match: Column, pattern: str) -> Column:
@@ -74,32 +90,35 @@ def _fill(template: str, match: Column, pattern: str) -> Column:
 def _entity_name(rule: Rule, match: Column) -> Column:
     options = []
     for pattern, template in rule.captures:
-        hit = F.regexp_extract(match, pattern, 1) != ""
-        for word in rule.skip_captures:
-            hit = hit & (F.regexp_extract(match, pattern, 1) != word)
+        if template == "{1}" and not rule.skip_captures:
+            options.append(F.nullif(F.regexp_extract(match, pattern, 1), F.lit("")))
+            continue
+        hit = ~F.regexp_extract(match, pattern, 1).isin("", *rule.skip_captures)
         options.append(F.when(hit, _fill(template, match, pattern)))
     if not rule.must_capture:
         options.append(match)
     name = F.coalesce(*options) if len(options) > 1 else options[0]
-    if rule.captures:
+    if rule.trim:
         name = strip(name)
     if rule.normalize:
         name = normalize_name(name, F.lit(rule.entity_type))
     return name
 
 
-def _description(rule: Rule, match: Column, name: Column) -> Column:
+def _description(rule: Rule, match: Column) -> Column:
+    """A description made of the match; null where it is made of the label and the name."""
     if rule.description:
         return _fill(rule.description, match, rule.captures[0][0])
-    if rule.label:
-        return F.concat(F.lit(rule.label + ": "), name)
     return F.lit(None).cast("string")
 
 
 def _candidates(rule: Rule, text: Column, lines: Column, language: Column | None) -> Column:
     """Array of candidate structs of one rule, pattern by pattern."""
     starts = rule.starts or ("",) * len(rule.patterns)
-    found = [_matches(text, lines, p, s) for p, s in zip(rule.patterns, starts, strict=True)]
+    needs = rule.needs or ((),) * len(rule.patterns)
+    found = [
+        _matches(text, lines, p, s, n) for p, s, n in zip(rule.patterns, starts, needs, strict=True)
+    ]
     if rule.strip_prefix:
         found = [F.transform(a, lambda m: F.regexp_replace(m, rule.strip_prefix, "")) for a in found]
     if rule.union:
@@ -109,13 +128,13 @@ def _candidates(rule: Rule, text: Column, lines: Column, language: Column | None
         matches = F.filter(matches, lambda m: F.length(m) >= rule.min_length)
 
     def candidate(match: Column) -> Column:
-        name = _entity_name(rule, match)
         return F.struct(
             F.lit(rule.rule_id).alias("rule_id"),
             match.alias("match"),
-            name.alias("name"),
+            _entity_name(rule, match).alias("name"),
             F.lit(rule.entity_type).alias("entity_type"),
-            _description(rule, match, name).alias("description"),
+            _description(rule, match).alias("description"),
+            F.lit(rule.label).cast("string").alias("label"),
             F.lit(rule.width).alias("width"),
             F.lit(rule.relevance).alias("relevance"),
         )
@@ -152,43 +171,41 @@ def _apply_options(candidates: Column, options: ExtractOptions) -> Column:
     return kept
 
 
-def with_candidates(df: DataFrame, text: str, rules: tuple[Rule, ...], language: str | None = None,
-                    options: ExtractOptions | None = None) -> DataFrame:
-    """Add the ordered candidate array ``_candidates`` and, with options, the ``_kept`` entity ids."""
-    lines = F.col("_lines")
-    df = df.withColumn("_lines", lines_of(F.col(text)))
+def with_candidates(df: DataFrame, keep: list[str], text: str, rules: tuple[Rule, ...],
+                    language: str | None = None, options: ExtractOptions | None = None) -> DataFrame:
+    """The kept columns with the ordered candidate array ``_candidates`` and, with options, the ids
+    ``_kept`` of the entities that pass."""
     lang = F.col(language) if language else None
-    arrays = [_candidates(rule, F.col(text), lines, lang) for rule in rules]
-    every = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    df = df.withColumn("_candidates", every).drop("_lines")
-    if options is not None:
-        df = df.withColumn("_kept", _apply_options(F.col("_candidates"), options))
-        df = df.withColumn(
-            "_candidates",
-            F.filter("_candidates", lambda c: F.array_contains(F.col("_kept"), _entity_id(c))),
-        )
-    return df
+    body, lines = F.col(text), F.col("_lines")
+    arrays = [_candidates(rule, body, lines, lang) for rule in rules]
+    every = (F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("_candidates")
+    df = df.select(*dict.fromkeys([*keep, text, *([language] if language else [])]), lines_of(body).alias("_lines"))
+    df = df.select(*keep, every)
+    if options is None:
+        return df
+    df = df.select("*", _apply_options(F.col("_candidates"), options).alias("_kept"))
+    chosen = F.filter("_candidates", lambda c: F.array_contains(F.col("_kept"), _entity_id(c)))
+    return df.select(*keep, chosen.alias("_candidates"), "_kept")
 
 
-def _place(df: DataFrame, text: str) -> DataFrame:
-    """Line number and context of the first occurrence of ``match`` in the text.
+def _place(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Mention rows with line number and context of the first occurrence of ``match`` in the text.
 
     The context window reaches ``width`` characters to both sides within the line.  Near the line
     start the last occurrence that begins within ``width`` characters carries the right part.
     """
     body, match, width, size = F.col(text), F.col("match"), F.col("width"), F.length("match")
     before = F.col("_before")
-    df = df.withColumn("_before", F.call_function("substring_index", body, match, F.lit(1)))
-    df = df.withColumns(
-        {
-            "_left": F.substring_index(before, "\n", -1),
-            "_right": F.substring_index(
-                F.substring(body, F.length(before) + 1, size + width * 2), "\n", 1
-            ),
-            "_breaks": F.octet_length(before)
-            - F.octet_length(F.replace(before, F.lit("\n"), F.lit(""))),
-            "_found": F.octet_length(before) < F.octet_length(body),
-        }
+    given = [F.col(c) for c in dict.fromkeys([*keys, "match", "rule_id", "ordinal", "name", "entity_type",
+                                              "description", "width", "relevance"])]
+    df = df.select(*given, *(() if text in keys else (text,)),
+                   F.call_function("substring_index", body, match, F.lit(1)).alias("_before"))
+    df = df.select(
+        *given,
+        F.substring_index(before, "\n", -1).alias("_left"),
+        F.substring_index(F.substring(body, F.length(before) + 1, size + width * 2), "\n", 1).alias("_right"),
+        (F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit("")))).alias("_breaks"),
+        (F.octet_length(before) < F.octet_length(body)).alias("_found"),
     )
     line = F.concat("_left", "_right")
     head = F.substring(line, F.lit(1), width + size)
@@ -196,12 +213,12 @@ def _place(df: DataFrame, text: str) -> DataFrame:
     near = F.substring(line, F.lit(1), last + size + width)
     far = F.concat(F.right("_left", width), F.substring("_right", F.lit(1), size + width))
     context = strip(F.when(F.length("_left") < width, near).otherwise(far))
-    return df.withColumns(
-        {
-            "position": F.when(F.col("_found"), F.col("_breaks") + 1).otherwise(F.lit(0)),
-            "context": F.when(F.col("_found") & (context != ""), context).otherwise(match),
-        }
-    ).drop("_before", "_left", "_right", "_breaks", "_found")
+    return df.select(
+        *keys, "match", "rule_id", "ordinal", "name", "entity_type", "description",
+        F.when(F.col("_found") & (context != ""), context).otherwise(match).alias("context"),
+        F.when(F.col("_found"), F.col("_breaks") + 1).otherwise(F.lit(0)).alias("position"),
+        "relevance",
+    )
 
 
 def extract(df: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] = PROSE_RULES,
@@ -210,18 +227,21 @@ def extract(df: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rul
 
     ``ordinal`` is the order of the mention in its text (rule order, then binary order).
     """
-    columns = list(dict.fromkeys([*keys, text, *([language] if language else [])]))
-    rows = with_candidates(df.select(*columns), text, rules, language, options)
-    rows = explode_once(rows, dict.fromkeys([*keys, text]), F.col("_candidates"), "_c")
-    rows = rows.select("*", "_c.*").drop("_c")
+    keep = list(dict.fromkeys([*keys, text]))
+    rows = with_candidates(df, keep, text, rules, language, options)
+    rows = rows.select(*keep, F.posexplode_outer("_candidates").alias("ordinal", "_c"))
+    rows = rows.filter(F.length(strip(F.col("_c.match"))) > 0)
+    c = F.col("_c")
+    described = F.coalesce(c["description"], F.concat(c["label"], F.lit(": "), c["name"]))
+    rows = rows.select(*keep, "ordinal", c["match"].alias("match"), c["rule_id"].alias("rule_id"),
+                       c["name"].alias("name"), c["entity_type"].alias("entity_type"),
+                       described.alias("description"), c["width"].alias("width"),
+                       c["relevance"].alias("relevance"))
     if options is not None and not options.extract_mentions:
-        rows = rows.withColumns(
-            {"context": F.lit(None).cast("string"), "position": F.lit(None).cast("int"),
-             "relevance": F.lit(None).cast("double")}
-        ).dropDuplicates([*keys, "entity_type", "name"])
-    else:
-        rows = _place(rows, text)
-    return rows.select(*keys, "match", *MENTION_COLUMNS)
+        nothing = {"context": "string", "position": "int", "relevance": "double"}
+        rows = rows.withColumns({n: F.lit(None).cast(kind) for n, kind in nothing.items()})
+        return rows.dropDuplicates([*keys, "entity_type", "name"]).select(*keys, "match", *MENTION_COLUMNS)
+    return _place(rows, keys, text)
 
 
 def extract_document_text(df: DataFrame, keys: list[str], text: str = "text",
@@ -241,8 +261,7 @@ def extract_result(df: DataFrame, keys: list[str], text: str = "text",
                    options: ExtractOptions = ExtractOptions(), empty_error: str = "Empty text content",
                    ) -> DataFrame:
     """One outcome row per item: success, error text and entity count; blank input is a failure."""
-    columns = list(dict.fromkeys([*keys, text, *([language] if language else [])]))
-    rows = with_candidates(df.select(*columns), text, rules, language, options)
+    rows = with_candidates(df, list(dict.fromkeys([*keys, text])), text, rules, language, options)
     blank = is_blank(F.col(text))
     return rows.select(
         *keys,

@@ -12,7 +12,8 @@ class Rule:
     ``captures`` are (pattern, format) pairs tried in order on a match to build the entity name from
     its groups.  A match none of them fits is kept whole, or dropped if ``must_capture``.
     ``description`` is a format over the groups of the first capture; without it the description is
-    the label and the name.  ``starts`` holds, per pattern, the class a match begins with.
+    the label and the name.  ``starts`` holds, per pattern, the class a match begins with and
+    ``needs`` literals of which every match has at least one.
     """
 
     rule_id: str
@@ -31,7 +32,9 @@ class Rule:
     skip_names: tuple[str, ...] = ()
     min_length: int = 1
     normalize: bool = False
+    trim: bool = False
     starts: tuple[str, ...] = ()
+    needs: tuple[tuple[str, ...], ...] = ()
 
 
 # --------------------------------------------------------------------------------------------
@@ -43,6 +46,12 @@ ORGANIZATION_WORDS = (
     r"(Inc\.|Corp\.|Ltd\.|LLC|Company|Association|Foundation|University|Technologies|Group"
     r"|Institute|Agency|Department)"
 )
+ORGANIZATION_LITERALS = (
+    " Inc.", " Corp.", " Ltd.", " LLC", " Company", " Association", " Foundation", " University",
+    " Technologies", " Group", " Institute", " Agency", " Department",
+)
+TITLE_LITERALS = ("Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Prof. ")
+STREET_LITERALS = (" St.", " Street", " Ave", " Rd.", " Road", " Blvd.", " Boulevard", " Dr")
 ORGANIZATION_WORD = r"\b[A-Z][A-Za-z0-9]* " + ORGANIZATION_WORDS + r"\b"
 ORGANIZATION_NAME = r"\b([A-Z][a-z]+ ){1,3}" + ORGANIZATION_WORDS + r"\b"
 ACRONYM = r"\b[A-Z]{2,}\b"
@@ -72,9 +81,9 @@ LEADING_PREPOSITION = r"^(?:in|at|from|to) "
 
 TEXT_RULES = (
     Rule("person", "person", 0.75, 30, (PERSON_NAME, PERSON_TITLED), union=True,
-         starts=("[A-Z]", "[MDP]")),
+         starts=("[A-Z]", "[MDP]"), needs=((), TITLE_LITERALS)),
     Rule("organization", "organization", 0.70, 30, (ORGANIZATION_WORD, ORGANIZATION_NAME), union=True,
-         starts=("[A-Z]", "[A-Z]")),
+         starts=("[A-Z]", "[A-Z]"), needs=(ORGANIZATION_LITERALS, ORGANIZATION_LITERALS)),
     Rule("location", "location", 0.65, 30, (LOCATION_AFTER_PREPOSITION, LOCATION_KNOWN), union=True,
          strip_prefix=LEADING_PREPOSITION, starts=("[iaft]", "[A-Z]")),
     Rule("date", "date", 0.80, 30, (DATE,), union=True, starts=("[0-9A-Z]",)),
@@ -86,13 +95,13 @@ PROSE_RULES = TEXT_RULES + (PRODUCT_RULE,)
 # Text taken from paged documents: wider context, acronyms, addresses, marked products.
 DOCUMENT_RULES = (
     Rule("doc_person", "person", 0.75, 50, (PERSON_NAME, PERSON_TITLED), union=True, normalize=True,
-         starts=("[A-Z]", "[MDP]")),
+         starts=("[A-Z]", "[MDP]"), needs=((), TITLE_LITERALS)),
     Rule("doc_organization", "organization", 0.70, 50,
          (ORGANIZATION_WORD, ORGANIZATION_NAME, ACRONYM), union=True, normalize=True, min_length=2,
-         starts=("[A-Z]", "[A-Z]", "[A-Z]")),
+         starts=("[A-Z]", "[A-Z]", "[A-Z]"), needs=(ORGANIZATION_LITERALS, ORGANIZATION_LITERALS, ())),
     Rule("doc_date", "date", 0.80, 50, (DATE,), union=True, normalize=True, starts=("[0-9A-Z]",)),
     Rule("doc_location", "location", 0.65, 50, (LOCATION_KNOWN, STREET_ADDRESS), union=True, normalize=True,
-         starts=("[A-Z]", "[0-9]")),
+         starts=("[A-Z]", "[0-9]"), needs=((), STREET_LITERALS)),
     Rule("doc_product", "product", 0.60, 50, (CAPITALIZED_PRODUCT,), union=True, normalize=True, min_length=2,
          starts=("[A-Z]",)),
 )
@@ -196,7 +205,7 @@ CODE_RULES = (
           (r"import\s+(numpy|pandas|matplotlib|scipy|sklearn|keras|tensorflow|torch|seaborn)",),
           (r"import\s+([\w.]+)",), must_capture=True, languages=PYTHON),
     _code("py_return_types", "Return Type", 0.70, (r"\)\s*->\s*[\w\[\],\s.]+:",),
-          (r"\)\s*->\s*([\w\[\],\s.]+):",), must_capture=True, languages=PYTHON),
+          (r"\)\s*->\s*([\w\[\],\s.]+):",), must_capture=True, trim=True, languages=PYTHON),
     _code("java_annotations", "Java Annotation", 0.80, (r"@[A-Z][\w]+",), languages=JAVA),
     _code("java_packages", "Java Package", 0.85, (r"package\s+[\w.]+;",), (r"package\s+([\w.]+);",),
           must_capture=True, languages=JAVA),
