@@ -14,6 +14,7 @@ from docloom.operators.extraction import extract, extract_code
 from docloom.operators.rules import CODE_RULES, PROSE_RULES
 from docloom.operators.stats import entity_type_counts, links_per_content, with_content_count
 from docloom.options import ExtractOptions
+from docloom.session import cut_lineage
 from docloom.sources.tables import load
 
 # ------------------------------------------------------------------ shared tables, in both forms
@@ -32,11 +33,15 @@ def mentions(spark, folder):
     return extract(notes(spark, folder), ["doc_id"], "text", PROSE_RULES)
 
 
-def stored(spark, folder):
-    """Entity and link tables of the annotated documents."""
-    kinds = content(spark, folder).select(F.col("content_id").alias("doc_id"), "content_type")
-    docs = notes(spark, folder).join(kinds, "doc_id")
+def stored(spark, folder, twice=False):
+    """Entity and link tables of the annotated documents.
+
+    ``twice`` is for queries that read both: the mentions are checkpointed and extracted once.
+    """
+    docs = notes(spark, folder).withColumn("content_type", F.expr(CONTENT_TYPE))
     rows = extract(docs, ["doc_id", "content_type"], "text", PROSE_RULES)
+    if twice:
+        rows = cut_lineage(rows)
     return C.store_entities(rows.withColumnRenamed("doc_id", "content_id"))
 
 
@@ -226,7 +231,7 @@ def a02(spark, folder):
     f"""SELECT entity_id, entity_type, name, count(DISTINCT content_id) AS content_count FROM ({STORED_SQL}) GROUP BY 1, 2, 3""",
 )
 def a03(spark, folder):
-    entities, links = stored(spark, folder)
+    entities, links = stored(spark, folder, twice=True)
     return with_content_count(entities.select("entity_id", "entity_type", "name"), links)
 
 

@@ -118,7 +118,7 @@ def l04(spark, folder):
     f"SELECT entity_id, name, entity_type, relevance FROM ({STORED_SQL}) WHERE content_id = 14 GROUP BY ALL",
 )
 def j01(spark, folder):
-    entities, links = stored(spark, folder)
+    entities, links = stored(spark, folder, twice=True)
     return J.entities_of(links, entities, 14).select("entity_id", "name", "entity_type", "relevance")
 
 
@@ -128,7 +128,7 @@ def j01(spark, folder):
         WHERE contains(lower(s.name), 'smith') AND s.entity_type = 'person'""",
 )
 def j02(spark, folder):
-    entities, links = stored(spark, folder)
+    entities, links = stored(spark, folder, twice=True)
     rows = J.content_mentioning(content(spark, folder), links, entities, "Smith", "person")
     return rows.select("content_id", "name", "relevance", "title")
 
@@ -141,7 +141,7 @@ WHERE l.entity_id IN (SELECT entity_id FROM links WHERE content_id = 14) AND l.c
 GROUP BY l.content_id, c.source ORDER BY matching_entities DESC, content_id LIMIT 10""",
 )
 def j03(spark, folder):
-    _, links = stored(spark, folder)
+    _, links = stored(spark, folder, twice=True)
     return J.related_content(links, content(spark, folder).select("content_id", "source"), 14)
 
 
@@ -152,7 +152,7 @@ def j03(spark, folder):
 SELECT h.*, s.content_id, s.relevance FROM hits h LEFT JOIN (SELECT DISTINCT entity_id, content_id, relevance FROM ({STORED_SQL})) s USING (entity_id)""",
 )
 def j04(spark, folder):
-    entities, links = stored(spark, folder)
+    entities, links = stored(spark, folder, twice=True)
     mentions = links.select("entity_id", "content_id", "relevance")
     return J.search_entities(entities.select("entity_id", "name", "entity_type"), mentions, "an", ["person", "location"], 5)
 
@@ -162,7 +162,7 @@ def j04(spark, folder):
     f"""SELECT DISTINCT name, entity_type, content_id, relevance FROM ({STORED_SQL}) WHERE name = 'Anna Berg' AND entity_type = 'person'""",
 )
 def j05(spark, folder):
-    entities, links = stored(spark, folder)
+    entities, links = stored(spark, folder, twice=True)
     rows = J.get_entity(entities, links, name="Anna Berg", entity_type="person")
     return rows.select("name", "entity_type", "content_id", "relevance")
 
@@ -174,7 +174,7 @@ def j05(spark, folder):
         ORDER BY s.relevance DESC, encode(s.name), s.content_id LIMIT 10""",
 )
 def j07(spark, folder):
-    entities, links = stored(spark, folder)
+    entities, links = stored(spark, folder, twice=True)
     return J.top_mentions(entities, links, "person", "text/plain", 0.7, 10)
 
 

@@ -14,6 +14,7 @@ from docloom.functions.json_columns import entities_from_json, salvage_json
 from docloom.operators.extraction import explode_once, extract
 from docloom.operators.routing import resolve
 from docloom.operators.rules import PROSE_RULES, Rule
+from docloom.session import cut_lineage
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -56,15 +57,13 @@ def apply_filters(df: DataFrame, filters: list[Callable[[Column], Column]], text
 
 def analyse(df: DataFrame, keys: list[str], analyser: Callable[[pd.Series], pd.Series],
             text: str = "text") -> DataFrame:
-    """Raw answers of an external analyser, called with whole Arrow batches of texts."""
+    """Texts with the raw answers of an external analyser, called with whole Arrow batches."""
     rows = df.select(*keys, text)
-    schema = rows.select(*keys).schema.add("answer", "string")
+    schema = df.select(*keys, text).schema.add("answer", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[keys].copy()
-            out["answer"] = analyser(batch[text])
-            yield out
+            yield batch.assign(answer=analyser(batch[text]))
 
     return rows.mapInPandas(run, schema)
 
@@ -72,10 +71,16 @@ def analyse(df: DataFrame, keys: list[str], analyser: Callable[[pd.Series], pd.S
 def extract_with_analyser(df: DataFrame, keys: list[str], analyser: Callable[[pd.Series], pd.Series],
                           text: str = "text", rules: tuple[Rule, ...] = PROSE_RULES,
                           fallback: bool = True) -> DataFrame:
-    """Mentions the analyser finds; the rules serve the items it finds nothing for."""
+    """Mentions the analyser finds; the rules serve the items it finds nothing for.
+
+    The answers are checkpointed, so each item is sent to the analyser once, and a text travels on
+    only where the rules need it: no join brings texts and answers together.
+    """
     answers = analyse(df, keys, analyser, text).select(
-        *keys, entities_from_json(salvage_json(F.col("answer"))).alias("_entities")
+        *keys, text, entities_from_json(salvage_json(F.col("answer"))).alias("_entities")
     )
+    unserved = F.when(F.size("_entities") == 0, F.col(text)).alias(text)
+    answers = cut_lineage(answers.select(*keys, unserved, "_entities"))
     rows = explode_once(answers, keys, F.col("_entities"), "_e")
     mentions = rows.select(*keys, "ordinal", "_e.*").select(
         *keys, "ordinal", "name", F.col("type").alias("entity_type"), "description",
@@ -87,6 +92,6 @@ def extract_with_analyser(df: DataFrame, keys: list[str], analyser: Callable[[pd
     )
     if not fallback:
         return found
-    rest = df.join(found.select(*keys).distinct(), keys, "left_anti")
+    rest = answers.filter(F.size("_entities") == 0).select(*keys, text)
     by_rule = extract(rest, keys, text, rules)
     return found.unionByName(by_rule.select(*found.columns))

@@ -144,7 +144,8 @@ def compare_benchmark(report: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-EWMA_TAIL = 2048
+# Below the limit up to which each task keeps only the newest rows of a group before the shuffle.
+EWMA_TAIL = 512
 
 
 def _fold(rows: Column, low: Column, high: Column) -> Column:

@@ -28,9 +28,18 @@ def insert_unique(existing: DataFrame, new: DataFrame, keys: list[str], order: l
     return existing.unionByName(fresh)
 
 
-def patch_metadata(content: DataFrame, patch: DataFrame, now: object, key: str = "content_id") -> DataFrame:
+def last_per_key(patch: DataFrame, key: str, columns: list[str], order: list[str] | None) -> DataFrame:
+    """The last patch of every key; without an order the keys must be unique."""
+    if order is None:
+        return patch.select(key, *columns)
+    last = F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")
+    return patch.groupBy(key).agg(last).select(key, "_row.*")
+
+
+def patch_metadata(content: DataFrame, patch: DataFrame, now: object, key: str = "content_id",
+                   order: list[str] | None = None) -> DataFrame:
     """Merge JSON patches into the metadata, right side wins, and move updated_at."""
-    changes = patch.select(key, F.col("metadata").alias("_patch"))
+    changes = last_per_key(patch, key, ["metadata"], order).withColumnRenamed("metadata", "_patch")
     joined = content.join(changes, key, "left")
     changed = F.col("_patch").isNotNull()
     return joined.withColumns(
@@ -82,9 +91,10 @@ def manual_entities(df: DataFrame, content_ids: str = "content_ids") -> tuple[Da
     return entities, links
 
 
-def patch_rows(table: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def patch_rows(table: DataFrame, patch: DataFrame, key: str, columns: list[str],
+               order: list[str] | None = None) -> DataFrame:
     """Overwrite columns with the values of the patch that are not null."""
-    renamed = patch.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    renamed = last_per_key(patch, key, columns, order).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = table.join(renamed, key, "left")
     return joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*table.columns)
 

@@ -19,6 +19,7 @@ from docloom.operators.metadata import extract_metadata
 from docloom.operators.routing import content_kind, should_chunk
 from docloom.operators.rules import PROSE_RULES, Rule
 from docloom.options import ChunkOptions, ExtractOptions
+from docloom.sources.tables import write_table
 
 
 def as_content(df: DataFrame, key: str, text: str = "text", path: str | None = None) -> DataFrame:
@@ -56,6 +57,8 @@ def as_mentions(chunks: DataFrame, rules: tuple[Rule, ...] = PROSE_RULES,
 
 @dataclass(frozen=True)
 class Ingested:
+    """The tables of one ingest."""
+
     content: DataFrame
     chunks: DataFrame
     mentions: DataFrame
@@ -72,3 +75,25 @@ def ingest(df: DataFrame, key: str, text: str = "text", path: str | None = None,
     mentions = as_mentions(chunks, rules, extraction)
     entities, links = store_entities(mentions, order=["chunk_index", "ordinal"])
     return Ingested(content, chunks, mentions, entities, links)
+
+
+def ingest_to(folder: str, df: DataFrame, key: str, text: str = "text", path: str | None = None,
+              rules: tuple[Rule, ...] = PROSE_RULES, chunking: ChunkOptions = ChunkOptions(),
+              extraction: ExtractOptions | None = ExtractOptions()) -> Ingested:
+    """The same chain written as a snapshot folder.
+
+    Texts are read and searched once: entities and links are made from the written mentions, which are
+    a small part of the text.  The folder must be shared by the cluster and must not exist.
+    """
+    spark = df.sparkSession
+    lazy = ingest(df, key, text, path, rules, chunking, extraction)
+
+    def written(name: str, table: DataFrame, partition_by: str | None = None) -> DataFrame:
+        write_table(table, f"{folder}/{name}", partition_by)
+        return spark.read.parquet(f"{folder}/{name}")
+
+    content = written("content", lazy.content, "kind")
+    chunks = written("chunks", lazy.chunks)
+    mentions = written("mentions", as_mentions(chunks, rules, extraction))
+    entities, links = store_entities(mentions, order=["chunk_index", "ordinal"])
+    return Ingested(content, chunks, mentions, written("entities", entities), written("links", links))

@@ -9,7 +9,9 @@ from docloom.operators import joins as J
 from docloom.operators import lists as P
 from docloom.operators.chunking import chunk
 from docloom.operators.extraction import extract, extract_code, extract_result
+from docloom.operators.ordering import keep_newest
 from docloom.operators.search import build_index
+from docloom.operators.stats import ewma
 from docloom.sources.tables import load
 
 def plan_of(df):
@@ -46,6 +48,15 @@ def test_related_content_has_no_pairing_join(spark, small):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_top_rows_of_a_group_are_cut_ahead_of_the_shuffle(spark, small):
+    events = load(spark, small, "events").select("event_type", "ts", "event_id", F.col("user_id").alias("v"))
+    for df in (
+        keep_newest(events, ["event_type"], ["ts"]),
+        ewma(events, ["event_type"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), "v"),
+    ):
+        assert "WindowGroupLimit" in plan_of(df)
+
+
 def test_index_is_counted_ahead_of_the_shuffle(spark, small):
     plan = plan_of(build_index(load(spark, small, "documents"), "doc_id", ["text"]))
     assert plan.count("HashAggregate") >= 2 and "partial_count" in plan

@@ -13,7 +13,7 @@ from docloom.operators.registry import Registry, apply_filters, extract_with_ana
 from docloom.operators.routing import DEFAULT_EXTRACTORS, resolve
 from docloom.operators.search import build_index, query_terms, refresh_index, search_index, snippet, write_index
 from docloom.operators.stats import table_inventory
-from docloom.plans.pipeline import ingest
+from docloom.plans.pipeline import ingest, ingest_to
 from docloom.sources import files as S
 from docloom.sources.logs import read_logs, read_profiles
 from docloom.sources.tables import load, run_select, write_table
@@ -175,3 +175,20 @@ def test_ingest_chain(spark, small):
     assert out.content.count() == 200 and out.chunks.count() == 200
     assert out.links.join(out.entities, "entity_id", "left_anti").isEmpty()
     assert {"content_type", "kind", "hash", "size", "tokens", "metadata"} <= set(out.content.columns)
+
+
+def test_written_ingest_equals_the_lazy_one(spark, small, tmp_path):
+    docs = load(spark, small, "documents").select("doc_id", "text").filter("doc_id < 60")
+    lazy, out = ingest(docs, "doc_id"), ingest_to(str(tmp_path / "snap"), docs, "doc_id")
+    for name in ("chunks", "mentions", "entities", "links"):
+        a, b = getattr(lazy, name), getattr(out, name)
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(a.columns)).collect())), name
+    assert out.content.count() == 60
+
+
+def test_last_patch_wins(spark):
+    from docloom.operators.tables import patch_rows
+
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    patch = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "id long, name string, n long")
+    assert sorted(map(tuple, patch_rows(table, patch, "id", ["name"], ["n"]).collect())) == [(1, "y"), (2, "b")]
