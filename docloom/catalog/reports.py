@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.catalog.entities import CONTENT_SQL, ENTITIES_SQL, content, stored
 from docloom.catalog.registered import query
 from docloom.catalog.views import ITEMS_SQL, LOG_SQL, PROFILES_SQL, batch_items, log_lines, profiles
+from docloom.functions.text import moment
 from docloom.operators import lists as P
 from docloom.operators import ordering as O
 from docloom.operators import stats as A
@@ -69,7 +70,7 @@ def a07(spark, folder):
     ts = load(spark, folder, "events").select("ts")
     kind = ts.schema["ts"].dataType
     counts = [
-        F.count_if((F.col("ts") >= F.lit(start).cast(kind)) & (F.col("ts") <= F.lit(end).cast(kind))).alias(period)
+        F.count_if((F.col("ts") >= moment(start, kind)) & (F.col("ts") <= moment(end, kind))).alias(period)
         for period, (start, end) in ((p, A.timeframe(p, NOW)) for p in ("day", "week", "month", "year"))
     ]
     wide = ts.agg(*counts)

@@ -24,7 +24,7 @@ def _stream(spark, folder, name):
 
 def _as_instant(name: str):
     """A time without a zone taken as UTC, whatever the session's zone."""
-    return F.to_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone()).alias(name)
+    return F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone()).alias(name)
 
 
 def _run(spark, stream, name: str, keys: tuple[str, ...], mode: str = "append"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 # The characters that count as white space when names and contexts are trimmed.
 SPACE_CHARS = (
@@ -26,6 +27,11 @@ def lines_of(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
+def moment(value: object, kind: DataType) -> Column:
+    """A constant time of the given type; its wall-clock text is taken as it stands in every zone."""
+    return F.lit(str(value)).cast(kind)
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

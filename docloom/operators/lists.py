@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import contains_folded
+from docloom.functions.text import contains_folded, moment
 from docloom.options import CONFIDENCE_THRESHOLD, RETENTION_DAYS
 
 # Log levels by severity.
@@ -45,9 +45,9 @@ def batch_filter(df: DataFrame, content_types: list[str] | None = None,
     if content_types:
         df = df.filter(F.col("content_type").isin(*content_types))
     if created_after is not None:
-        df = df.filter(F.col(created) > F.lit(created_after).cast(df.schema[created].dataType))
+        df = df.filter(F.col(created) > moment(created_after, df.schema[created].dataType))
     if created_before is not None:
-        df = df.filter(F.col(created) < F.lit(created_before).cast(df.schema[created].dataType))
+        df = df.filter(F.col(created) < moment(created_before, df.schema[created].dataType))
     return df
 
 
@@ -84,6 +84,5 @@ def logs_at_least(df: DataFrame, level: str, column: str = "level") -> DataFrame
 
 def retain(df: DataFrame, ts: str, now: datetime | str, days: int = RETENTION_DAYS) -> DataFrame:
     """Rows of the last days.  The bound is a constant, so old files and partitions are skipped."""
-    kind = df.schema[ts].dataType
-    bound = F.lit(now).cast(kind) - F.expr(f"INTERVAL {int(days)} DAYS")
+    bound = moment(now, df.schema[ts].dataType) - F.expr(f"INTERVAL {int(days)} DAYS")
     return df.filter(F.col(ts) >= bound)

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import moment
 from docloom.operators.ordering import with_ranks
 from docloom.options import PROFILE_TOP
 
@@ -33,9 +34,9 @@ def links_per_content(links: DataFrame) -> DataFrame:
 
 def _between(df: DataFrame, ts: str, start: object, end: object) -> DataFrame:
     if start is not None:
-        df = df.filter(F.col(ts) >= F.lit(start).cast(df.schema[ts].dataType))
+        df = df.filter(F.col(ts) >= moment(start, df.schema[ts].dataType))
     if end is not None:
-        df = df.filter(F.col(ts) <= F.lit(end).cast(df.schema[ts].dataType))
+        df = df.filter(F.col(ts) <= moment(end, df.schema[ts].dataType))
     return df
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.json_columns import merge_json
 from docloom.functions.names import entity_key
+from docloom.functions.text import moment
 from docloom.operators.joins import check_edges
 
 
@@ -46,7 +47,7 @@ def patch_metadata(content: DataFrame, patch: DataFrame, now: object, key: str =
         {
             "metadata": F.when(changed, merge_json(F.col("metadata"), F.col("_patch")))
             .otherwise(F.col("metadata")),
-            "updated_at": F.when(changed, F.lit(now).cast(content.schema["updated_at"].dataType))
+            "updated_at": F.when(changed, moment(now, content.schema["updated_at"].dataType))
             .otherwise(F.col("updated_at")),
         }
     ).select(*content.columns)
