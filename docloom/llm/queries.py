@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.decontaminate import contained_items
+from docloom.llm.repeats import remove_repeats
+from docloom.llm.ring import assign_shards
 from docloom.llm.simhash import simhash_groups
 from docloom.sources.tables import load
 
 
+def op2_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(load(spark, sf_dir, "documents"), 40).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.selectExpr("id AS doc_id", "item AS item_id", "hits", "containment")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -16,6 +35,24 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hash_ring_shards": op2_hash_ring_shards,
+    "op4_fixed_block_anchors": op4_fixed_block_anchors,
+    "op6_containment_search": op6_containment_search,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+#: Exact containment of five-word shingles, without signatures; punctuation is a space and A-Z lower case.
+OP6_SQL = r"""
+WITH plain AS (
+    SELECT kind, id, string_split(trim(regexp_replace(regexp_replace(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[!-/:-@\[-`{-~]', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')), ' ') AS words
+    FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark)
+), parts AS (
+    SELECT DISTINCT kind, id, array_to_string(words[p:p + 4], ' ') AS part
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM plain)
+), sizes AS (SELECT id AS item_id, count(*) AS size FROM parts WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS hits, count(*) / any_value(size)::DOUBLE AS containment
+FROM parts d JOIN parts i ON d.part = i.part AND d.kind = 'd' AND i.kind = 'i' JOIN sizes ON sizes.item_id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(size)
+"""
+ORACLES: dict[str, str] = {"op6_containment_search": OP6_SQL}
