@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.bytebpe import encode_documents
 from docloom.llm.decontaminate import contained_items
+from docloom.llm.idstore import stored_ids
 from docloom.llm.repeats import remove_repeats
 from docloom.llm.ring import assign_shards
 from docloom.llm.simhash import simhash_groups
@@ -23,11 +26,21 @@ def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_overlapping_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode_documents(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
 def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contained_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.selectExpr("id AS doc_id", "item AS item_id", "hits", "containment")
 
 
+def op7_perfect_hash_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored_ids(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.selectExpr("id AS doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -37,7 +50,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_hash_ring_shards": op2_hash_ring_shards,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
+    "op5_overlapping_chunk_bpe": op5_overlapping_chunk_bpe,
     "op6_containment_search": op6_containment_search,
+    "op7_perfect_hash_store": op7_perfect_hash_store,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 #: Exact containment of five-word shingles, without signatures; punctuation is a space and A-Z lower case.
