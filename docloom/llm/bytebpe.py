@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 32_768, 512
-CACHE = 200_000
+CACHE = 400_000
+SHORT, NEVER = 24, 1 << 62
 _AHEAD = 2  # characters beyond a boundary that the pattern may look at (a contraction after an apostrophe)
 
 
@@ -50,6 +52,18 @@ class Encoder:
         if raw in ranks:
             return [ranks[raw]]
         size = len(raw)
+        if size <= SHORT:
+            parts = [raw[i:i + 1] for i in range(size)]
+            found = [ranks.get(raw[i:i + 2], NEVER) for i in range(size - 1)]
+            while found and (least := min(found)) != NEVER:
+                at = found.index(least)
+                parts[at] += parts.pop(at + 1)
+                del found[at]
+                if at < len(found):
+                    found[at] = ranks.get(parts[at] + parts[at + 1], NEVER)
+                if at:
+                    found[at - 1] = ranks.get(parts[at - 1] + parts[at], NEVER)
+            return [ranks[p] for p in parts]
         after, before, stop = list(range(1, size + 1)), list(range(-1, size - 1)), list(range(1, size + 1))
         heap = [(ranks[raw[i:i + 2]], i, i + 2) for i in range(size - 1) if raw[i:i + 2] in ranks]
         heapq.heapify(heap)
@@ -81,7 +95,8 @@ class Encoder:
         for part in parts:
             ids = cache.get(part)
             if ids is None:
-                ids = np.array(self.piece(part.encode()), dtype="<u4").tobytes()
+                got = self.piece(part.encode())
+                ids = struct.pack(f"<{len(got)}I", *got)
                 if len(part) < 64:
                     cache[part] = ids
             out.append(ids)

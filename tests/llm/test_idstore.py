@@ -60,3 +60,11 @@ def test_index_is_minimal_and_perfect():
         seeds = S.displacements(hashes)
         group = ((hashes >> np.uint64(32)) % np.uint64(len(seeds))).astype(np.int64)
         assert sorted(S.slot(hashes, seeds[group], size)) == list(range(size))
+
+
+def test_words_equal_library():
+    texts = ["a, b. c!? don't, it's. x), (y), 'll, 'll 's!", "İİ a İ, İb.", "½, ³. 12,5 a1. 一二三, Ω…, e.́ ́, a,́ b", "ÉCOLE école É. ß, ǅ ÄÖ, 각",
+             "TH!! A,, |,| ## $$$ a### " * 3, "Été, " * 50 + "q" * 200 + ", " + "Z" * 64 + ". " + "z" * 63]
+    code = S.WordEncoder(PATH)
+    for got, text in zip(code.encode(texts, 1), texts, strict=True):
+        assert np.frombuffer(got, code.kind).tolist() == ids_of(text), text
