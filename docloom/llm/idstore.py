@@ -90,7 +90,8 @@ class WordEncoder:
         new = {}
         for word in {w for own in split for w in own if w not in words}:
             core = word.rstrip(_TAIL)
-            if not unicodedata.normalize("NFC", core[-1:]).lower()[-1:].isalnum():
+            last = core[-1:]
+            if not (last if last.isascii() else unicodedata.normalize("NFC", last).lower()[-1:]).isalnum():
                 core = word  # what ends the core in the tokenizer's form may run on into the punctuation
             new[word] = (core.lower() if core.isascii() else core, word[len(core):])
         self._learn(list({p for pair in new.values() for p in pair if p not in parts}))

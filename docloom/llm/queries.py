@@ -12,6 +12,7 @@ from docloom.llm.idstore import stored_ids
 from docloom.llm.repeats import remove_repeats
 from docloom.llm.ring import assign_shards
 from docloom.llm.simhash import simhash_groups
+from docloom.llm.toxicity import score_documents
 from docloom.sources.tables import load
 
 
@@ -47,6 +48,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op2_hash_ring_shards": op2_hash_ring_shards,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
@@ -54,6 +59,7 @@ QUERIES = {
     "op6_containment_search": op6_containment_search,
     "op7_perfect_hash_store": op7_perfect_hash_store,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_factorization_machine": op9_factorization_machine,
 }
 #: Exact containment of five-word shingles, without signatures; punctuation is a space and A-Z lower case.
 OP6_SQL = r"""
