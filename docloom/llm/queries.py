@@ -12,6 +12,7 @@ from docloom.llm.idstore import stored_ids
 from docloom.llm.repeats import remove_repeats
 from docloom.llm.ring import assign_shards
 from docloom.llm.simhash import simhash_groups
+from docloom.llm.templates import drop_recurring
 from docloom.llm.toxicity import score_documents
 from docloom.sources.tables import load
 
@@ -52,6 +53,45 @@ def op9_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op10_log_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_recurring(load(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+#: The same rules on strings instead of hashes.
+OP10_SQL = r"""
+WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT text, string_split(text, chr(10)) AS content FROM texts),
+numbered AS (SELECT text, unnest(range(0, len(content))) AS line, unnest(content) AS content FROM parts),
+lines AS (
+    SELECT text, line, list_filter(string_split(regexp_replace(translate(content, chr(9) || chr(13) || chr(11) || chr(12), '    '),
+        '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda x: x <> '') AS tokens FROM numbered
+), full_lines AS (SELECT text, line, tokens, [len(tokens)::VARCHAR] || tokens[1:3] AS leaf FROM lines WHERE len(tokens) > 0),
+leaves AS (SELECT leaf FROM full_lines GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+held AS (SELECT f.* FROM full_lines f SEMI JOIN leaves USING (leaf)),
+forms AS (SELECT leaf, tokens, count(DISTINCT text) AS texts FROM held GROUP BY leaf, tokens),
+placed AS (SELECT leaf, tokens, texts, unnest(range(0, len(tokens))) AS place, unnest(tokens) AS token FROM forms),
+named AS (SELECT * FROM placed WHERE token <> '<*>'),
+constant AS (SELECT leaf, place, token FROM named GROUP BY leaf, place, token HAVING sum(texts) >= 10),
+templates AS (
+    SELECT leaf, tokens, any_value(texts) AS texts, list({'place': place, 'token': token} ORDER BY place) AS template
+    FROM named SEMI JOIN constant USING (leaf, place, token) GROUP BY leaf, tokens HAVING count(*) >= 0.6 * len(tokens)
+), common AS (SELECT leaf, template FROM templates GROUP BY leaf, template HAVING sum(texts) >= 10),
+gone AS (
+    SELECT text, list(line) AS gone FROM held SEMI JOIN (SELECT leaf, tokens FROM templates SEMI JOIN common USING (leaf, template)) USING (leaf, tokens)
+    GROUP BY text
+), judged AS (
+    SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS content, g.gone,
+        (SELECT count(*) FROM full_lines f WHERE f.text = d.text) AS full_count
+    FROM documents d LEFT JOIN gone g ON d.text = g.text
+)
+SELECT doc_id, coalesce(len(content), 0)::BIGINT AS n_lines,
+    (CASE WHEN gone IS NOT NULL AND len(gone) < full_count THEN len(gone) ELSE 0 END)::BIGINT AS n_dropped,
+    md5(CASE WHEN gone IS NOT NULL AND len(gone) < full_count
+        THEN array_to_string([content[i + 1] for i in range(0, len(content)) if NOT list_contains(gone, i)], chr(10)) ELSE text END) AS text_md5
+FROM judged
+"""
+
 QUERIES = {
     "op2_hash_ring_shards": op2_hash_ring_shards,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
@@ -60,6 +100,7 @@ QUERIES = {
     "op7_perfect_hash_store": op7_perfect_hash_store,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_factorization_machine": op9_factorization_machine,
+    "op10_log_template_lines": op10_log_template_lines,
 }
 #: Exact containment of five-word shingles, without signatures; punctuation is a space and A-Z lower case.
 OP6_SQL = r"""
@@ -76,4 +117,4 @@ SELECT d.id AS doc_id, i.id AS item_id, count(*) AS hits, count(*) / any_value(s
 FROM parts d JOIN parts i ON d.part = i.part AND d.kind = 'd' AND i.kind = 'i' JOIN sizes ON sizes.item_id = i.id
 GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(size)
 """
-ORACLES: dict[str, str] = {"op6_containment_search": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_containment_search": OP6_SQL, "op10_log_template_lines": OP10_SQL}
