@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.bytebpe import encode_documents
 from docloom.llm.decontaminate import contained_items
+from docloom.llm.descent import near_vectors
 from docloom.llm.idstore import stored_ids
 from docloom.llm.repeats import remove_repeats
 from docloom.llm.ring import assign_shards
@@ -24,6 +25,10 @@ def op2_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -94,6 +99,7 @@ FROM judged
 
 QUERIES = {
     "op2_hash_ring_shards": op2_hash_ring_shards,
+    "op3_nn_descent": op3_nn_descent,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
     "op5_overlapping_chunk_bpe": op5_overlapping_chunk_bpe,
     "op6_containment_search": op6_containment_search,

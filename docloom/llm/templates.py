@@ -31,11 +31,16 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, " "), "")
 
 
+def _has_token(line: Column) -> Column:
+    """Whether a line has a token; tested without making tokens."""
+    return F.length(F.btrim(line, F.lit(" \t\r\v\f"))) > 0
+
+
 def _lines(docs: DataFrame, text_column: str, depth: int) -> DataFrame:
     """Lines with a token: (mark, line, tokens, leaf); a mark stands for all rows of one text."""
     return (
         docs.select(F.xxhash64(text_column).alias("mark"), F.posexplode(F.split(text_column, "\n")).alias("line", "content"))
-        .select("mark", "line", tokens(F.col("content")).alias("tokens")).where(F.size("tokens") > 0)
+        .where(_has_token(F.col("content"))).select("mark", "line", tokens(F.col("content")).alias("tokens"))
         .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
     )
 
@@ -72,7 +77,7 @@ def drop_recurring(docs: DataFrame, text_column: str = "text", counts: bool = Fa
     parts = F.split(text_column, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    with_tokens = F.exists(left, lambda i: F.size(tokens(F.get(parts, i))) > 0)
+    with_tokens = F.exists(left, lambda i: _has_token(F.get(parts, i)))
     changed = F.col("_gone").isNotNull() & with_tokens
     joined = docs.withColumn("_mark", F.xxhash64(text_column)).join(gone, "_mark", "left").withColumn("_changed", changed)
     out = joined.withColumn("_text", F.when(F.col("_changed"), kept).otherwise(F.col(text_column)))
