@@ -10,6 +10,7 @@ from docloom.llm.bytebpe import encode_documents
 from docloom.llm.decontaminate import contained_items
 from docloom.llm.descent import near_vectors
 from docloom.llm.idstore import stored_ids
+from docloom.llm.quotations import as_mail, link_conversations
 from docloom.llm.repeats import remove_repeats
 from docloom.llm.ring import assign_shards
 from docloom.llm.simhash import simhash_groups
@@ -18,6 +19,12 @@ from docloom.llm.toxicity import score_documents
 from docloom.sources.tables import load
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mail = as_mail(load(spark, sf_dir, "conversations"))
+    return link_conversations(mail, thread_column="conv_id").selectExpr(
+        "id AS msg_id", "parent AS parent_id", "root AS root_id", "depth", "n_quotes", "n_linked", "text")
+
+
 def op2_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(load(spark, sf_dir, "documents"), 40).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -98,6 +105,7 @@ FROM judged
 """
 
 QUERIES = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op2_hash_ring_shards": op2_hash_ring_shards,
     "op3_nn_descent": op3_nn_descent,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
