@@ -30,7 +30,7 @@ from docloom.llm.shared import shared_path
 from docloom.llm.wordhash import mix
 
 SHARD_BYTES, BUCKET_KEYS, GROUP = 4 << 20, 4096, 4
-CACHE = 1_000_000
+CACHE = 1_500_000
 NULL_ID = -(1 << 63)
 _TAIL = ",.!?;:|&%$#"
 
@@ -88,7 +88,7 @@ class WordEncoder:
             self._forget()
         words, parts = self.words, self.parts
         new = {}
-        for word in {w for own in split for w in own if w not in words}:
+        for word in set().union(*split).difference(words):
             core = word.rstrip(_TAIL)
             last = core[-1:]
             if not (last if last.isascii() else unicodedata.normalize("NFC", last).lower()[-1:]).isalnum():
@@ -125,8 +125,8 @@ def _pack(path: str, end: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, rows, size, last, nth = word_encoder(path), [], 0, None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 for key, blob in zip(part.column(0).to_pylist(), code.encode(part.column(1).to_pylist(), end), strict=True):
                     nth = nth + 1 if key == last else 0
                     last = key
