@@ -272,7 +272,8 @@ ITEM_STATUS = (
 ITEMS_SQL = (
     "SELECT l_orderkey AS batch_id, l_linenumber AS line, l_partkey AS part, "
     f"{ITEM_STATUS} AS status, CAST(l_quantity AS BIGINT) AS duration_ms, "
-    "CAST(l_quantity AS BIGINT) % 5 AS priority, l_shipdate AS started_at FROM lineitem"
+    "CAST(l_quantity AS BIGINT) % 5 AS priority, l_shipdate AS started_at, "
+    "CAST(l_shipdate AS TIMESTAMP) + to_milliseconds(CAST(l_quantity AS BIGINT)) AS completed_at FROM lineitem"
 )
 
 
@@ -283,4 +284,5 @@ def batch_items(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").cast("long").alias("duration_ms"),
         (F.col("l_quantity").cast("long") % 5).alias("priority"),
         F.col("l_shipdate").alias("started_at"),
+        F.timestamp_add("MILLISECOND", F.col("l_quantity").cast("long"), F.col("l_shipdate").cast("timestamp_ntz")).alias("completed_at"),
     )

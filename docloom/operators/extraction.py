@@ -283,11 +283,10 @@ def extract_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataF
     body = F.col(text)
     per_rule = []
     for entity_type, relevance, pattern in OFFSET_RULES:
-        # The lazy part in front of each match gives the gaps, whose lengths add up to offsets.
-        spaced = "(?s)(.*?)(" + pattern + ")"
-        steps = F.arrays_zip(
-            find_all(body, spaced, 1).alias("gap"), find_all(body, spaced, 2).alias("name")
-        )
+        # What lies between matches: lengths of gaps and names add up to offsets, in two linear passes.
+        names = find_all(body, pattern)
+        gaps = F.slice(F.split(body, pattern, -1), 1, F.size(names))
+        steps = F.arrays_zip(gaps.alias("gap"), names.alias("name"))
         start = F.struct(
             F.lit(0).alias("next"),
             F.array().cast("array<struct<name:string,at:int>>").alias("out"),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import contains_folded
 from docloom.options import RELATED_ENTITY_CAP, RELATED_LIMIT
-from docloom.session import broadcast_if_small
 
 
 def entities_of(links: DataFrame, entities: DataFrame, content_id: object,
@@ -43,11 +42,10 @@ def related_content(links: DataFrame, content: DataFrame, content_id: object,
                     k: int = RELATED_LIMIT) -> DataFrame:
     """Other content that shares entities with an item, most shared entities first.
 
-    The probe side is the entity set of one item, broadcast once its size is known to be small.  The
-    link table is filtered by it where it lies and is never paired with itself row by row.
+    The probe side is the entity set of one item; adaptive execution knows its size and broadcasts it
+    where it is small.  The link table is filtered by it where it lies and is never paired with itself row by row.
     """
     mine = links.filter(F.col("content_id") == F.lit(content_id)).select("entity_id").distinct()
-    mine = broadcast_if_small(mine)
     shared = (
         links.filter(F.col("content_id") != F.lit(content_id))
         .join(mine, "entity_id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.json_columns import parse_or_text
-from docloom.functions.text import contains_folded
+from docloom.functions.text import contains_folded, quoted_regex
 from docloom.options import SEARCH_LIMIT
 
 # What separates tokens, and the reach of a snippet.
@@ -92,7 +92,7 @@ def search_like(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
 
 def snippet(columns: list[str], query: str, table: str) -> Column:
     """The surroundings of the first hit in the first matching column, every hit marked."""
-    literal = r"\Q" + query + r"\E"
+    literal = quoted_regex(query)
     options = []
     for name in columns:
         value = F.col(name)

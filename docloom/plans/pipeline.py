@@ -21,6 +21,9 @@ from docloom.operators.rules import PROSE_RULES, Rule
 from docloom.options import ChunkOptions, ExtractOptions
 from docloom.sources.tables import write_table
 
+#: The chain keeps every entity; a caller who wants the best few of each chunk passes ``max_entities``.
+WHOLE = ExtractOptions(max_entities=None)
+
 
 def as_content(df: DataFrame, key: str, text: str = "text", path: str | None = None) -> DataFrame:
     """Content rows: type by path and text, kind, hash, size, token estimate and metadata."""
@@ -49,7 +52,7 @@ def as_chunks(content: DataFrame, options: ChunkOptions = ChunkOptions(), text:
 
 
 def as_mentions(chunks: DataFrame, rules: tuple[Rule, ...] = PROSE_RULES,
-                options: ExtractOptions | None = ExtractOptions()) -> DataFrame:
+                options: ExtractOptions | None = WHOLE) -> DataFrame:
     return extract(
         chunks, ["content_id", "content_type", "chunk_index"], "chunk_text", rules, None, options
     )
@@ -68,7 +71,7 @@ class Ingested:
 
 def ingest(df: DataFrame, key: str, text: str = "text", path: str | None = None,
            rules: tuple[Rule, ...] = PROSE_RULES, chunking: ChunkOptions = ChunkOptions(),
-           extraction: ExtractOptions | None = ExtractOptions()) -> Ingested:
+           extraction: ExtractOptions | None = WHOLE) -> Ingested:
     """The whole chain as lazy tables; only entities and links need a shuffle."""
     content = as_content(df, key, text, path)
     chunks = as_chunks(content, chunking, text)
@@ -79,7 +82,7 @@ def ingest(df: DataFrame, key: str, text: str = "text", path: str | None = None,
 
 def ingest_to(folder: str, df: DataFrame, key: str, text: str = "text", path: str | None = None,
               rules: tuple[Rule, ...] = PROSE_RULES, chunking: ChunkOptions = ChunkOptions(),
-              extraction: ExtractOptions | None = ExtractOptions()) -> Ingested:
+              extraction: ExtractOptions | None = WHOLE) -> Ingested:
     """The same chain written as a snapshot folder.
 
     Texts are read and searched once: entities and links are made from the written mentions, which are

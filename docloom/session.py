@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every plan of this library is written for.
 DEFAULTS = {
@@ -33,22 +32,21 @@ def local_session(app: str = "docloom", cores: int | str = "*", shuffle_partitio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one for a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not folder:
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="docloom-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side has few rows; else leave it to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so a lost executor does not replay the whole history."""
     ensure_checkpoint_dir(df.sparkSession)

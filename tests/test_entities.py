@@ -118,3 +118,33 @@ def test_related_content_counts_shared_entities(spark):
     links = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "y"), (4, "z")], "content_id long, entity_id string")
     content = spark.createDataFrame([(i,) for i in range(1, 5)], "content_id long")
     assert [(r.content_id, r.matching_entities) for r in related_content(links, content, 1).collect()] == [(2, 2), (3, 1)]
+
+
+def test_chain_keeps_every_entity_of_a_chunk(spark):
+    from docloom.plans.pipeline import ingest
+
+    names = [f"{a}{b}" for a in ("Anna", "Berta", "Clara", "Dora", "Emma", "Frida", "Greta", "Hanna") for b in ("", "lee", "rose", "may", "lyn", "bell", "dine", "ette")]
+    text = ". ".join(f"Mr. {n} Smith" for n in names)
+    df = spark.createDataFrame([(1, text)], "k long, text string")
+    assert ingest(df, "k").mentions.select("name").distinct().count() > 60
+
+
+def test_offsets_of_a_long_text_without_a_match_are_quick(spark):
+    import time
+
+    from docloom.operators.extraction import extract_offsets
+
+    df = spark.createDataFrame([(1, "no match here, only words " * 40_000), (2, "x Ann Lee y\n2024-01-02")], "k long, text string")
+    start = time.time()
+    got = {(r.name, r.position) for r in extract_offsets(df, ["k"]).collect()}
+    assert got == {("Ann Lee", 2), ("2024-01-02", 12)} and time.time() - start < 10
+
+
+def test_snippet_takes_any_query(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.operators.search import snippet
+
+    df = spark.createDataFrame([(r"open c:\Exx now",)], "t string")
+    assert df.select(snippet(["t"], r"c:\Exx", "t").alias("s")).first().s == r"open <mark>c:\Exx</mark> now"
+    assert df.select(F.lit(1)).count() == 1

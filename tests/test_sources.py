@@ -192,3 +192,17 @@ def test_last_patch_wins(spark):
     table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     patch = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "id long, name string, n long")
     assert sorted(map(tuple, patch_rows(table, patch, "id", ["name"], ["n"]).collect())) == [(1, "y"), (2, "b")]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    import types
+
+    from docloom.session import ensure_checkpoint_dir
+
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    context = types.SimpleNamespace(master="spark://host:7077", getConf=Unset, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(types.SimpleNamespace(conf=Unset(), sparkContext=context))
