@@ -176,12 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         for batch in batches:
             found = [held.value.features(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
+                [batch.column(1), batch.column(2), pa.array([np.array(f[0], dtype="<i4").tobytes() for f in found], pa.binary()),
+                 pa.array([np.array(f[1], dtype="<f4").tobytes() for f in found], pa.binary())],
                 names=["label", "id", "places", "values"])
 
-    made = rows.select("text", "label", "id").mapInArrow(features, "label int, id long, places array<int>, values array<double>").collect()
+    made = rows.select("text", "label", "id").mapInArrow(features, "label int, id long, places binary, values binary").collect()
     made.sort(key=lambda r: (r.id, r.label, r.places, r["values"]))
-    return train([(r.label, r.places, r["values"]) for r in made], terms)
+    # Packed bytes: a row of the sample is a few hundred bytes in the driver.
+    return train([(r.label, np.frombuffer(r.places, "<i4"), np.frombuffer(r["values"], "<f4")) for r in made], terms)
 
 
 def held_out(id_column: str) -> Column:
