@@ -30,7 +30,7 @@ CONTENT_SQL = f"SELECT doc_id AS content_id, {CONTENT_TYPE} AS content_type, sub
 
 
 def mentions(spark, folder):
-    return extract(notes(spark, folder), ["doc_id"], "text", PROSE_RULES)
+    return extract(notes(spark, folder), ["doc_id"], "text", PROSE_RULES, one_pass=True)
 
 
 def stored(spark, folder, twice=False):

@@ -49,7 +49,7 @@ SETS = {
 def _register(name: str, rules: tuple[R.Rule, ...]) -> None:
     @query(name, oracle.prose_sql(NOTES_SQL, rules))
     def run(spark, folder):
-        return extract(notes(spark, folder), ["doc_id"], "text", rules).select("doc_id", *SHOWN)
+        return extract(notes(spark, folder), ["doc_id"], "text", rules, one_pass=True).select("doc_id", *SHOWN)
 
 
 for _name, _rules in SETS.items():

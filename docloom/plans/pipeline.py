@@ -54,7 +54,7 @@ def as_chunks(content: DataFrame, options: ChunkOptions = ChunkOptions(), text:
 def as_mentions(chunks: DataFrame, rules: tuple[Rule, ...] = PROSE_RULES,
                 options: ExtractOptions | None = WHOLE) -> DataFrame:
     return extract(
-        chunks, ["content_id", "content_type", "chunk_index"], "chunk_text", rules, None, options
+        chunks, ["content_id", "content_type", "chunk_index"], "chunk_text", rules, None, options, one_pass=True
     )
 
 

@@ -37,9 +37,12 @@ def stream_files(spark: SparkSession, folder: str, glob: str = "*", recursive: b
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of a folder; none where there is no such folder yet.  Other errors are raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -58,7 +61,7 @@ class EntitySink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mentions = extract(batch, ["content_id", "content_type"], self.text, self.rules).persist()
+        mentions = extract(batch, ["content_id", "content_type"], self.text, self.rules, one_pass=True).persist()
         entities, links = store_entities(mentions)
         known = read_or_none(spark, f"{self.folder}/entities")
         if known is not None:
@@ -69,6 +72,8 @@ class EntitySink:
         mentions.unpersist()
         postings = build_index(batch, "content_id", [self.text])
         postings.write.mode("overwrite").parquet(f"{self.folder}/postings/batch_id={batch_id}")
+        seen = batch.select("content_id").distinct()
+        seen.write.mode("overwrite").parquet(f"{self.folder}/versions/batch_id={batch_id}")
 
     def entities(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/entities").drop("batch_id")
@@ -80,9 +85,10 @@ class EntitySink:
         return rows.groupBy(*LINK).agg(latest).select(*LINK, "_l.*")
 
     def postings(self, spark: SparkSession) -> DataFrame:
-        """Postings of the newest version of every document."""
+        """Postings of the newest version of every document; a version without tokens has none."""
         rows = spark.read.parquet(f"{self.folder}/postings")
-        newest = rows.groupBy("content_id").agg(F.max("batch_id").alias("batch_id"))
+        versions = spark.read.parquet(f"{self.folder}/versions")
+        newest = versions.groupBy("content_id").agg(F.max("batch_id").alias("batch_id"))
         return rows.join(newest, ["content_id", "batch_id"], "left_semi").drop("batch_id")
 
 

@@ -1,12 +1,13 @@
 """Extraction rules on inline texts and against a plain model."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from docloom.operators.extraction import (
     extract, extract_code, extract_document_text, extract_json_keys, extract_offsets, extract_result,
-    extract_tag_names,
+    extract_tag_names, place,
 )
 from docloom.operators.outline import extract_outline
 from docloom.operators.rules import PROSE_RULES
@@ -68,6 +69,24 @@ def test_position_and_context_follow_the_model(spark, small):
     assert got
     for r in got:
         assert (r.position, r.context) == context_model(body[r.doc_id], r.match, 30), r
+    assert sorted(got) == sorted(extract(rows, ["doc_id"], one_pass=True).collect())
+
+
+def test_places_in_a_long_text(spark):
+    """8,000 names in half a megabyte; the work grows with the text, not with text times names."""
+    word = ["".join(chr(97 + n // 26 ** k % 26) for k in range(3)) for n in range(8000)]
+    body = "\n".join(f"the meeting was then held by Jo{w} Be{w}son there and so on" for w in word)
+    extract(texts(spark, "Ann Lee", None), ["id"], one_pass=True).collect()
+    start = time.time()
+    rows = extract(texts(spark, body, None, ""), ["id"], one_pass=True).filter("match LIKE 'Jo% Be%'").collect()
+    assert time.time() - start < 10
+    at = {r.match: r.position for r in rows}
+    assert all(at[f"Jo{w} Be{w}son"] == n for n, w in enumerate(word, 1))
+
+
+def test_place_of_absent_and_inner_names():
+    spots = place("Joann Leeds\nAnn Lee", ["ann Lee", "Ann Lee", "Bob", ""], [3, 3, 3, 3])
+    assert [(s["position"], s["context"]) for s in spots] == [(1, "Joann Leeds"), (2, "Ann Lee"), (0, "Bob"), (0, "")]
 
 
 def test_offsets(spark):

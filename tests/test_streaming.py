@@ -114,3 +114,10 @@ def test_file_stream(spark, tmp_path):
     sink = LatestRows(str(tmp_path / "rows"), ("path",))
     run_available(stream_files(spark, str(tmp_path / "docs"), "*.txt"), sink, str(tmp_path / "cp"))
     assert [r.text for r in sink.read(spark).collect()] == ["hello"]
+
+
+def test_postings_of_an_emptied_document(spark, tmp_path):
+    sink = EntitySink(str(tmp_path / "tables"))
+    for number, text in enumerate(("hello Ann Lee", "...")):
+        sink(spark.createDataFrame([(1, "text/plain", text)], "content_id long, content_type string, text string"), number)
+    assert sink.postings(spark).count() == 0
