@@ -137,12 +137,16 @@ def y09(spark, folder):
 
 
 # ------------------------------------------------------------------ files
+#: A file of the export holds so many pages at most, whatever the table's size.
+PAGES_PER_FILE = 1000
+
+
 def _export(spark, folder, name: str) -> str:
-    """The page texts as files, one folder per language, written by Spark."""
+    """The page texts as files, one folder per part; every task of the scan writes files of its own."""
     target = scratch(spark, name)
     pages = load(spark, folder, "pages").select(
         F.replace("html", F.lit("\n"), F.lit(" ")).alias("value"), F.concat(F.lit("p"), F.pmod("page_id", F.lit(3)).cast("string")).alias("part"))
-    pages.repartition("part").write.partitionBy("part").text(target)
+    pages.write.option("maxRecordsPerFile", PAGES_PER_FILE).partitionBy("part").text(target)
     return target
 
 
@@ -164,8 +168,8 @@ def s01(spark, folder):
 
 @query("s04_s05_s06_named_files", "SELECT 'p0' AS part, count(*) AS pages FROM pages WHERE page_id % 3 = 0")
 def s05(spark, folder):
-    """A file list taken from the first files of a scan, read again by name."""
-    found = S.cap_files(S.scan_files(spark, _export(spark, folder, "named"), glob="*.txt"), 1)
+    """The files of one part, taken from a scan and read again by name; a list of names has 10,000 at most."""
+    found = S.cap_files(S.scan_files(spark, _export(spark, folder, "named") + "/part=p0", glob="*.txt"), 10_000)
     names = [row.path for row in found.select("path").collect()]
     rows = S.scan_paths(spark, names).select(
         F.regexp_extract("path", "part=(p[0-9])", 1).alias("part"), S.text_of(F.col("content")).alias("text"))
