@@ -75,17 +75,23 @@ def links(messages: DataFrame) -> DataFrame:
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(id, root, depth) of every id of ``parents`` (id, parent), by doubling the step to an ancestor."""
-    now = shared_table(parents.select("id", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "roots")
+    """(id, root, depth) of every id of ``parents`` (id, parent), by doubling the step to an ancestor.
+
+    Ids that have come to their root are set aside, so later rounds hold only those of longer chains.
+    """
+    first = parents.select("id", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"))
+    now = shared_table(first, "roots")
+    placed = now.limit(0)
     while True:
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        new = now.join(up, "root", "left").select(
-            "id", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")
+        up = placed.unionByName(now).select(F.col("id").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"), F.col("done").alias("ended"))
+        step = now.join(up, "root", "left").select(
+            "id", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.coalesce("ended", F.lit(True)).alias("done"),
         )
-        new = shared_table(new, "roots")
-        if new.where("moved").limit(1).count() == 0:
-            return new.drop("moved")
-        now = new.drop("moved")
+        step = shared_table(step, "roots")
+        placed, now = placed.unionByName(step.where("done")), step.where("NOT done")
+        if now.limit(1).count() == 0:
+            return placed.drop("done")
 
 
 def without_quotes(text: Column) -> Column:
