@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.shared import free_name
 from docloom.llm.wordhash import word_batches
 
 SIZE, SHARE, BLOCK_ROWS = 5, 0.8, 20_000
@@ -132,7 +133,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id"
 def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                   share: float = SHARE) -> DataFrame:
     """Rows of ``docs`` that hold no item; rows with a null id are judged by their text like all others."""
-    keyed = docs.select(F.xxhash64(id_column, text_column).alias("_key"), text_column)
-    hits = contained_items(keyed, items, "_key", text_column, share=share)
-    gone = hits.select(F.col("id").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64(id_column, text_column)).join(gone, "_key", "left_anti").select(*docs.columns)
+    key = free_name(docs, "_key")
+    keyed = docs.select(F.xxhash64(id_column, text_column).alias(key), text_column)
+    hits = contained_items(keyed, items, key, text_column, share=share)
+    gone = hits.select(F.col("id").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64(id_column, text_column)).join(gone, key, "left_anti").select(*docs.columns)

@@ -14,6 +14,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/docloom-{label}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like the given one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and return the written one, which has no lineage."""
     path = shared_path(df.sparkSession, label)

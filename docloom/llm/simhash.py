@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
 from docloom.llm.shared import shared_table
+from docloom.llm.similar import SURE, candidates, judged, signatures
 
 SEGMENTS, WIDTH, MOST = 16, 4, 3
 TILE = 1024
@@ -50,16 +51,19 @@ def simhash(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp) with the fingerprint as a signed long, one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3,
+                 also: str | None = None) -> DataFrame:
+    """(id, fp) with the fingerprint as a signed long, one row for each row of ``docs``; ``also`` names a long to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([simhash(x.as_py(), size) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["id", "fp"])
+            more = [batch.column(2)] if also else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64)), *more], names=["id", "fp", *kept])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    kind, kept = docs.schema[id_column].dataType.simpleString(), [also] if also else []
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *kept)
+    return rows.mapInArrow(run, f"id {kind}, fp long" + "".join(f", {c} long" for c in kept))
 
 
 def _chained(left: np.ndarray, right: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -131,8 +135,8 @@ def _and_end(batches):
     yield None
 
 
-def near_fingerprints(marks: DataFrame) -> DataFrame:
-    """(node, component) of all distinct fingerprints in column ``fp`` that link with another one."""
+def linked_fingerprints(marks: DataFrame) -> DataFrame:
+    """(a, b): links that connect all fingerprints in column ``fp`` of at most 3 differing bits."""
     turn = "(shiftleft(fp, s) | shiftrightunsigned(fp, 64 - s))"
     keys = (
         marks.select("fp").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENTS - 1))))
@@ -151,25 +155,49 @@ def near_fingerprints(marks: DataFrame) -> DataFrame:
             "fp", "start",
         )
     )
-    edges = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    return components(edges, "a", "b")
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp, component_id): fingerprint and smallest id reachable by links of at most 3 differing bits."""
-    marks = shared_table(fingerprints(docs, id_column, text_column, size), "fingerprints")
-    linked = shared_table(near_fingerprints(marks), "components")
+def near_fingerprints(marks: DataFrame) -> DataFrame:
+    """(node, component) of all distinct fingerprints in column ``fp`` that link with another one."""
+    return components(linked_fingerprints(marks), "a", "b")
+
+
+def _named(marks: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, component_id): the smallest id of each fingerprint's component."""
     least = (
         marks.groupBy("fp").agg(F.min("id").alias("first")).join(linked.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumn("group", F.coalesce("component", "fp"))
     )
     named = least.groupBy("group").agg(F.min("first").alias("component_id"))
-    by_mark = least.join(named, "group").select("fp", "component_id")
-    return marks.join(by_mark, "fp").select("id", "fp", "component_id")
+    return least.join(named, "group").select("fp", "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3) -> DataFrame:
+    """(id, fp, component_id): fingerprint and smallest id reachable by links of at most 3 differing bits."""
+    marks = shared_table(fingerprints(docs, id_column, text_column, size), "fingerprints")
+    linked = shared_table(near_fingerprints(marks), "components")
+    return marks.join(_named(marks, linked), "fp").select("id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its group; rows with a null id stay."""
-    groups = simhash_groups(docs, id_column, text_column)
-    gone = groups.where("id != component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_column] == F.col("_gone"), "left_anti")
+    """Rows of ``docs`` whose id is the smallest of its group; rows with a null id stay.
+
+    Fingerprints of at most 3 differing bits link, and so do texts whose five-word shingles have a similarity of 0.8 or
+    more (``docloom.llm.similar``).  Of rows of one id only those whose text is in a group with a smaller id go.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    marks = shared_table(fingerprints(rows, "id", "text", also="mark"), "fingerprints")
+    one = shared_table(marks.groupBy("fp").agg(F.min("mark").alias("mark")), "representatives")
+    texts = rows.join(one.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]).join(one, "mark").select("fp", "mark", "text")
+    items = shared_table(signatures(texts), "signatures")
+    pairs = shared_table(candidates(items), "candidates")
+    doubt = pairs.where(F.col("share") < SURE)
+    asked = doubt.select(F.col("a").alias("fp")).unionByName(doubt.select(F.col("b").alias("fp"))).distinct().join(one, "fp")
+    judge = rows.join(asked.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]).join(asked, "mark").select("fp", "text")
+    links = linked_fingerprints(marks).unionByName(pairs.where(F.col("share") >= SURE).select("a", "b")).unionByName(judged(doubt, judge))
+    groups = marks.join(_named(marks, shared_table(components(links, "a", "b"), "components")), "fp")
+    gone = groups.where("id != component_id").select(F.col("id").alias("_gone"), F.col("mark").alias("_gone_mark")).distinct()
+    mark = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
+    return docs.join(gone, (docs[id_column] == gone["_gone"]) & (mark == gone["_gone_mark"]), "left_anti")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import shared_table
+from docloom.llm.shared import free_name, shared_table
 
 DEPTH, MIN_TEXTS, MIN_CONSTANT = 3, 10, 0.6
 FIELD = "<*>"
@@ -73,18 +73,19 @@ def recurring_lines(docs: DataFrame, text_column: str = "text", depth: int = DEP
 
 def drop_recurring(docs: DataFrame, text_column: str = "text", counts: bool = False, **limits) -> DataFrame:
     """``docs`` without lines of recurring templates; with ``counts`` also ``n_lines`` and ``n_dropped``."""
-    gone = recurring_lines(docs, text_column, **limits).withColumnRenamed("mark", "_mark").withColumnRenamed("gone", "_gone")
+    mark, lost, edited, new = (free_name(docs, n) for n in ("_mark", "_gone", "_changed", "_text"))
+    gone = recurring_lines(docs, text_column, **limits).withColumnRenamed("mark", mark).withColumnRenamed("gone", lost)
     parts = F.split(text_column, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
     kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     with_tokens = F.exists(left, lambda i: _has_token(F.get(parts, i)))
-    changed = F.col("_gone").isNotNull() & with_tokens
-    joined = docs.withColumn("_mark", F.xxhash64(text_column)).join(gone, "_mark", "left").withColumn("_changed", changed)
-    out = joined.withColumn("_text", F.when(F.col("_changed"), kept).otherwise(F.col(text_column)))
-    columns = [F.col("_text").alias(c) if c == text_column else F.col(c) for c in docs.columns]
+    changed = F.col(lost).isNotNull() & with_tokens
+    joined = docs.withColumn(mark, F.xxhash64(text_column)).join(gone, mark, "left").withColumn(edited, changed)
+    out = joined.withColumn(new, F.when(F.col(edited), kept).otherwise(F.col(text_column)))
+    columns = [F.col(new).alias(c) if c == text_column else F.col(c) for c in docs.columns]
     if "n_chars" in docs.columns:
-        columns[docs.columns.index("n_chars")] = F.when(F.col("_changed"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+        columns[docs.columns.index("n_chars")] = F.when(F.col(edited), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
     if counts:
         columns.append(F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"))
-        columns.append(F.when(F.col("_changed"), F.size("_gone")).otherwise(0).cast("long").alias("n_dropped"))
+        columns.append(F.when(F.col(edited), F.size(lost)).otherwise(0).cast("long").alias("n_dropped"))
     return out.select(*columns)

@@ -158,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     )
     # The sample has fit_rows rows of two numbers at most, whatever the tables hold.
     rows = (
-        docs.join(F.broadcast(sample), docs[id_column] == F.col("_id")).select(F.col(text_column).alias("text"), F.col("_label").alias("label"), F.col("_id").alias("id"))
+        docs.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("text"))
+        .join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+        .select("text", F.col("_label").alias("label"), F.col("_id").cast("long").alias("id"))
     )
     rows = shared_table(rows, "labelled")
     size = rows.agg(F.count("*"), F.sum("label")).first()

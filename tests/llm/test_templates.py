@@ -33,3 +33,17 @@ def test_odd_rows(spark):
     assert all(line not in got[i].text for i in range(4, 16)) and all(got[i].text == "copy one\ncopy two" for i in range(16, 46))
     assert got[46].text == "é " * 90000
     assert T.drop_recurring(docs.limit(0)).collect() == []
+
+
+def test_columns_of_clashing_names_come_back(spark):
+    """Names that the filtering operators use inside stay the table's own."""
+    from docloom.llm import decontaminate, simhash, toxicity
+    names = ["_mark", "_gone", "_changed", "_text", "_key", "_id", "_label", "_doc", "_gone_mark", "id", "label", "component_id", "score"]
+    shared = "all rights reserved by the owner"
+    docs = spark.createDataFrame([(i, f"{shared}\n{'abcdefghijkl'[i] * 4} more", *range(len(names))) for i in range(12)],
+                                 "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    items = spark.createDataFrame([(1, "nothing like any of these words at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    for out in (T.drop_recurring(docs), simhash.near_dedup(docs), decontaminate.decontaminate(docs, items), toxicity.drop_toxic(docs, labels)):
+        rows = out.collect()
+        assert out.columns == docs.columns and all(tuple(r)[2:] == tuple(range(len(names))) for r in rows)
