@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from docloom.llm.shared import shared_table
 
 _MARKS = "^ {0,3}((?:>[ \t]?)+)"
+#: A message id is its conversation times this plus its turn, so conversations of up to so many turns never share ids.
+MOST_TURNS = 1 << 24
 
 
 def _level(line: Column) -> Column:
@@ -126,4 +128,4 @@ def as_mail(turns: DataFrame) -> DataFrame:
         return said.select("conv_id", (F.col("turn") + back).alias("turn"), F.concat(F.lit(">" * back + " "), F.replace("said", F.lit("\n"), F.lit("\n" + ">" * back + " "))).alias(name))
 
     mail = turns.select("conv_id", "turn", "text").join(quoted("one", 1), ["conv_id", "turn"], "left").join(quoted("two", 2), ["conv_id", "turn"], "left")
-    return mail.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "conv_id", F.concat_ws("\n", "two", "one", F.lit(""), "text").alias("text"))
+    return mail.select((F.col("conv_id").cast("long") * MOST_TURNS + F.col("turn")).alias("msg_id"), "conv_id", F.concat_ws("\n", "two", "one", F.lit(""), "text").alias("text"))

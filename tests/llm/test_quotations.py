@@ -6,11 +6,11 @@ from docloom.llm.queries import op1_quotation_linking
 
 def test_query_links_each_turn_to_the_one_before(spark, small):
     turns = spark.read.parquet(f"{small}/conversations.parquet").collect()
-    own = {r.conv_id * 1000 + r.turn: r.text for r in turns}
+    own = {r.conv_id * Q.MOST_TURNS + r.turn: r.text for r in turns}
     rows = op1_quotation_linking(spark, small).collect()
     assert sorted(r.msg_id for r in rows) == sorted(own)
     for r in rows:
-        first = r.msg_id // 1000 * 1000
+        first = r.msg_id // Q.MOST_TURNS * Q.MOST_TURNS
         assert (r.parent_id, r.root_id, r.depth) == ((r.msg_id - 1 if r.msg_id > first else None), first, r.msg_id - first), r
         assert r.text == own[r.msg_id].strip("\n") and r.n_linked == r.n_quotes == min(2, r.msg_id - first)
 
