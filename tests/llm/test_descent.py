@@ -65,3 +65,16 @@ def test_odd_rows(spark):
     want = plain(ids, [v if v is None or None in v or not np.isfinite(v).all() or not np.any(v) else (np.array(v) / np.abs(v).max()).tolist() for v in x])
     assert got == want
     assert run(spark, [], []) == []
+
+
+def test_recall_holds_beyond_the_audited_nodes(spark, monkeypatch):
+    monkeypatch.setattr(D, "TABLES", 1)
+    monkeypatch.setattr(D, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=(700, 24))
+    other = one + rng.normal(size=one.shape) * 0.3
+    x = [v.tolist() for pair in zip(one, other, strict=True) for v in pair]
+    near = (one * other).sum(axis=1) / np.linalg.norm(one, axis=1) / np.linalg.norm(other, axis=1) >= 0.9
+    got = {i: links for i, links, _ in run(spark, list(range(len(x))), x)}
+    found = np.array([got[2 * k] > 0 for k in np.flatnonzero(near)])
+    assert near.sum() > 500 and found.mean() >= 0.97
