@@ -3,14 +3,16 @@
 1. Vectors that are equal are one node.  Blocks of at most about ``BLOCK`` nodes with equal signs under random
    hyperplanes, ``TABLES`` times over, give each node a first list of its ``LIST`` nearest nodes.
 2. Rounds refine the lists: a node's neighbours and the nodes that have it as neighbour are compared with each other,
-   and each keeps its nearest.  Rounds end when no further node gets a threshold neighbour.
-3. A list full of threshold neighbours is saturated.  Lists are then enlarged to the whole threshold component: all
-   pairs in it are compared.  Nodes within half the threshold angle of the component's pivot are linked with each other
+   and each keeps its nearest.  Rounds end when no further node gets a threshold neighbour and lists hardly improve.
+3. A list full of threshold neighbours may hide more.  So passes with new tables follow, whose lists hold the ``LIST``
+   nearest nodes of other components; links they find join components, and their nodes are in the way no longer.
+   Passes end when one finds no link between components.
+4. Within a threshold component all pairs are compared.  Nodes within half the threshold angle of the component's pivot are linked with each other
    by the triangle inequality, so a group of near copies costs one comparison each; only the other nodes meet all
    nodes of the component, tile by tile.
-4. An audit compares ``AUDIT`` nodes with all nodes, other ones each time.  Its recall is the mean over nodes with links
+5. An audit compares ``AUDIT`` nodes with all nodes, other ones each time.  Its recall is the mean over nodes with links
    and knows nothing of links that audits found; those join the graph at the end.  While it is below ``RECALL`` twice as
-   many tables and further rounds follow.
+   many tables and further passes follow.
 
 Links have a cosine in double precision of at least the threshold.  Null, zero and non-finite vectors, and those with
 null components, link with nothing; vectors of different length never link.  Repeated rows are vectors of their own; a
@@ -32,6 +34,8 @@ from docloom.llm.shared import shared_table
 
 THRESHOLD, LIST, TABLES, BLOCK, TILE = 0.9, 8, 10, 128, 512
 AUDIT, RECALL = 512, 0.99
+#: Rounds go on while the sum of the lists' similarities grows by more.
+GAIN = 1.02
 #: Links so near to the threshold depend on rounding; they count, but not against the recall.
 SLACK = 1e-9
 _EDGES = "src long, dst long, sim double"
@@ -83,27 +87,29 @@ def _codes(bits: int, tables: int, seed: int):
     return run
 
 
-def _nearest(nodes: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each node's nearest other ones among the given."""
+def _nearest(nodes: np.ndarray, labels: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each node's nearest ones of other labels among the given."""
     sims = x @ x.T
-    np.fill_diagonal(sims, -2.0)
+    sims[labels[:, None] == labels[None, :]] = -2.0
     most = min(most, len(nodes) - 1)
     pick = np.argpartition(-sims, most - 1, axis=1)[:, :most] if most > 0 else np.zeros((len(nodes), 0), dtype=np.int64)
-    return np.repeat(nodes, max(most, 0)), nodes[pick].ravel(), np.take_along_axis(sims, pick, axis=1).ravel()
+    near = np.take_along_axis(sims, pick, axis=1).ravel()
+    other = near > -1.5
+    return np.repeat(nodes, max(most, 0))[other], nodes[pick].ravel()[other], near[other]
 
 
 def _block(block: pa.Table) -> pa.Table:
-    nodes = block.column("node").to_numpy()
-    return pa.Table.from_batches([_edges(*_nearest(nodes, unit(block.column("vec").to_pylist()), LIST))])
+    nodes, labels = block.column("node").to_numpy(), block.column("label").to_numpy()
+    return pa.Table.from_batches([_edges(*_nearest(nodes, labels, unit(block.column("vec").to_pylist()), LIST))])
 
 
 def first_lists(nodes: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
-    """Edges among nodes of equal signs; blocks that are too large are cut by a hash of the node."""
+    """Edges among nodes of equal signs and different labels; blocks that are too large are cut by a hash of the node."""
     bits = max(1, int(np.ceil(np.log2(max(2, count / (BLOCK / 2))))))
     codes = nodes.select("node", "vec").mapInArrow(_codes(min(bits, 32), tables, seed), "node long, t int, code long")
     large = codes.groupBy("t", "code").count().where(F.col("count") > BLOCK)
     placed = codes.join(large, ["t", "code"], "left").withColumn("part", F.expr(f"pmod(xxhash64(node, t), coalesce(ceil(count / {BLOCK}), 1))"))
-    return placed.join(nodes.select("node", "vec"), "node").groupBy("t", "code", "part").applyInArrow(_block, _EDGES)
+    return placed.join(nodes.select("node", "label", "vec"), "node").groupBy("t", "code", "part").applyInArrow(_block, _EDGES)
 
 
 def best(edges: DataFrame) -> DataFrame:
@@ -114,10 +120,10 @@ def best(edges: DataFrame) -> DataFrame:
 
 def _meet(group: pa.Table) -> pa.Table:
     """Compare the members around each pivot with each other."""
-    pivots, members = group.column("pivot").to_numpy(), group.column("member").to_numpy()
+    pivots, members, labels = (group.column(n).to_numpy() for n in ("pivot", "member", "label"))
     x, order = unit(group.column("vec").to_pylist()), np.argsort(pivots, kind="stable")
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(pivots[order])) + 1, [len(order)]])
-    found = [_nearest(members[order[a:b]], x[order[a:b]], 3) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
+    found = [_nearest(members[order[a:b]], labels[order[a:b]], x[order[a:b]], 3) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
     if not found:
         return pa.Table.from_batches([_edges(*([],) * 3)])
     src, dst, sim = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -125,22 +131,36 @@ def _meet(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_edges(src[keep], dst[keep], sim[keep])])
 
 
-def refine(edges: DataFrame, nodes: DataFrame, count: int, turn: int) -> DataFrame:
-    """One round: neighbours of neighbours, over a node's list and as many of those that list it."""
+def refine(edges: DataFrame, nodes: DataFrame, count: int, turn: int, near: DataFrame | None = None) -> DataFrame:
+    """One round: neighbours of neighbours, over a node's list, as many of those that list it, and its list in ``near``."""
     order = Window.partitionBy("dst").orderBy(F.xxhash64("src", F.lit(turn)))
     back = edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LIST)
     around = (
         edges.selectExpr("src AS pivot", "dst AS member").unionByName(back.selectExpr("dst AS pivot", "src AS member"))
-        .unionByName(edges.selectExpr("src AS pivot", "src AS member")).distinct()
+        .unionByName(edges.selectExpr("src AS pivot", "src AS member"))
     )
+    if near is not None:
+        around = around.unionByName(near.selectExpr("src AS pivot", "dst AS member"))
     groups = count // 64 + 1
     met = (
-        around.join(nodes.selectExpr("node AS member", "vec"), "member").withColumn("bucket", F.pmod(F.xxhash64("pivot"), F.lit(groups)))
+        around.distinct().join(nodes.selectExpr("node AS member", "label", "vec"), "member").withColumn("bucket", F.pmod(F.xxhash64("pivot"), F.lit(groups)))
         .groupBy("bucket").applyInArrow(_meet, _EDGES)
     )
     return best(edges.unionByName(met))
 
 
+def search(nodes: DataFrame, count: int, tables: int, seed: int, threshold: float, near: DataFrame | None = None) -> DataFrame:
+    """Lists of the nearest nodes of other labels, from new tables and rounds."""
+    edges = shared_table(best(first_lists(nodes, count, tables, seed)), "lists")
+    state, before = (F.count_distinct(F.when(F.col("sim") >= threshold, F.col("src"))), F.sum(F.col("sim") + 1)), (-1, 0.0)
+    while True:
+        now, gain = edges.agg(*state).first()
+        if not gain or (now <= before[0] and gain <= before[1] * GAIN):
+            return edges
+        before, seed = (now, gain), seed + 1
+        edges = shared_table(refine(edges, nodes, count, seed, near), "lists")
+
+
 def audit(nodes: DataFrame, groups: DataFrame, threshold: float, turn: int) -> tuple[float, DataFrame]:
     """Mean recall over the nodes with links in a bounded sample, another one each turn, and those links that lie between components."""
     sample = nodes.orderBy(F.xxhash64("node", F.lit(5 + turn))).limit(AUDIT).select("node", "vec").collect()
@@ -232,22 +252,23 @@ def near_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: str
         .withColumn("node", F.xxhash64("vec")), "nodes"
     )
     count, tables, seed = nodes.count(), TABLES, 0
-    edges = shared_table(best(first_lists(nodes, count, tables, seed)), "lists")
-    extra, turn = None, 0
+    placed = nodes.withColumn("label", F.col("node"))
+    near = search(placed, count, tables, seed, threshold)
+    close, extra, turn = near.where(F.col("sim") >= threshold), None, 0
     while True:
-        reached = -1
-        while (now := edges.where(F.col("sim") >= threshold).select("src").distinct().count()) > reached:
-            reached = now
-            edges = shared_table(refine(edges, nodes, count, seed), "lists")
-            seed += 1
-        close = edges.where(F.col("sim") >= threshold)
-        groups = shared_table(components(close, "src", "dst"), "components")
+        while True:
+            groups = shared_table(components(close, "src", "dst"), "components")
+            placed = nodes.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+            seed += 1000
+            across = search(placed, count, tables, seed, threshold, near).where(F.col("sim") >= threshold)
+            if across.isEmpty():
+                break
+            close = close.unionByName(across)
         recall, missed = audit(nodes, groups, threshold, turn)
         extra = missed if extra is None else extra.unionByName(missed)
         if recall >= RECALL or count <= AUDIT:  # of so few nodes the audit has found all links
             break
         turn, tables = turn + 1, 2 * tables
-        edges = shared_table(best(edges.unionByName(first_lists(nodes, count, tables, 1000 + seed))), "lists")
     groups = shared_table(components(close.unionByName(extra), "src", "dst"), "components")
     links = link_counts(groups, nodes, threshold)
     named = groups.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))

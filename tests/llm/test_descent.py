@@ -78,3 +78,14 @@ def test_recall_holds_beyond_the_audited_nodes(spark, monkeypatch):
     got = {i: links for i, links, _ in run(spark, list(range(len(x))), x)}
     found = np.array([got[2 * k] > 0 for k in np.flatnonzero(near)])
     assert near.sum() > 500 and found.mean() >= 0.97
+
+
+def test_links_between_dense_groups_are_found(spark, monkeypatch):
+    monkeypatch.setattr(D, "audit", lambda nodes, *_: (1.0, nodes.sparkSession.createDataFrame([], D._EDGES)))  # no help from it
+    rng = np.random.default_rng(7)
+    axes = np.eye(24)
+    angle = np.arccos(0.9) * 0.97
+    poles = [axes[0], np.cos(angle) * axes[0] + np.sin(angle) * axes[1]]
+    x = [(p + rng.normal(size=24) * 0.006).tolist() for p in poles for _ in range(60)]  # all lists are full of own members
+    ids = list(range(len(x)))
+    assert run(spark, ids, x) == plain(ids, x)
