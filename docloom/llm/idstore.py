@@ -16,6 +16,7 @@ empty table gives an empty store; other columns are ignored.  Rows of one id sha
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -39,10 +40,11 @@ class WordEncoder:
     """A tokenizer whose words never depend on others, so each distinct word is encoded once.
 
     A word is its core and the ASCII punctuation after a final letter or digit; both are met more often than it.
-    Cores of letters alone are encoded many at a time and told apart by the tokens that end a word.
+    Cores of letters alone are encoded many at a time and told apart by the tokens that end a word.  With ``special``,
+    texts are cut at the special tokens first, which then have ids of their own as in the library; without, they are text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,10 +54,14 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        added = self.tokenizer.get_added_tokens_decoder().items() if special else []
+        # No word has a line feed, so these are no words.
+        self.marks = {"\n" + token.content: np.array([i], dtype=self.kind).tobytes() for i, token in added if token.special}
+        self.cut = re.compile("(" + "|".join(re.escape(m[1:]) for m in self.marks) + ")") if self.marks else None
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b"", **self.marks}
         self.parts: dict[str, bytes] = {"": b""}
 
     def _learn(self, parts: list[str]) -> None:
@@ -83,7 +89,11 @@ class WordEncoder:
             for white in "\t\n\v\f\r":
                 if white in text:
                     text = text.replace(white, " ")
-            split.append(text.split(" "))
+            if self.cut is not None and self.cut.search(text):
+                pieces = self.cut.split(text)
+                split.append([w for k, piece in enumerate(pieces) for w in (["\n" + piece] if k % 2 else piece.split(" "))])
+            else:
+                split.append(text.split(" "))
         if len(self.words) + len(self.parts) > CACHE:
             self._forget()
         words, parts = self.words, self.parts
@@ -101,16 +111,16 @@ class WordEncoder:
         return [b"".join(map(words.__getitem__, own)) + last for own in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def word_encoder(path: str, special: bool = False) -> WordEncoder:
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = WordEncoder(path, special)
+    return _ENCODERS[path, special]
 
 
-def _pack(path: str, end: int, shard_bytes: int):
+def _pack(path: str, end: int, shard_bytes: int, special: bool):
     """Shard records from rows in ascending id order."""
     names = ["first_id", "first_nth", "ids", "nths", "sizes", "payload"]
 
@@ -123,7 +133,7 @@ def _pack(path: str, end: int, shard_bytes: int):
             names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, rows, size, last, nth = word_encoder(path), [], 0, None, 0
+        code, rows, size, last, nth = word_encoder(path, special), [], 0, None, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -226,13 +236,13 @@ def _bucketed(keys: DataFrame, buckets: int) -> DataFrame:
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_column: str = "doc_id",
-                text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
+                text_column: str = "text", shard_bytes: int = SHARD_BYTES, special: bool = False) -> None:
     """Encode all documents and write payload, directory and index below ``folder``."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     (
         rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-        .mapInArrow(_pack(tokenizer, end, shard_bytes),
+        .mapInArrow(_pack(tokenizer, end, shard_bytes, special),
                     "first_id long, first_nth int, ids array<bigint>, nths array<int>, sizes array<int>, payload binary")
         .write.option("compression", "zstd").parquet(f"{folder}/payload")
     )
@@ -312,5 +322,5 @@ def document_keys(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def stored_ids(docs: DataFrame, tokenizer: str, end: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Write a store to the shared folder and read every document back through its index."""
     folder = shared_path(docs.sparkSession, "idstore")
-    write_store(docs, folder, tokenizer, end, id_column, text_column)
+    write_store(docs, folder, tokenizer, end, id_column, text_column, special=True)
     return read_store(docs.sparkSession, folder, document_keys(docs, id_column), word_encoder(tokenizer).kind.itemsize)

@@ -68,3 +68,14 @@ def test_words_equal_library():
     code = S.WordEncoder(PATH)
     for got, text in zip(code.encode(texts, 1), texts, strict=True):
         assert np.frombuffer(got, code.kind).tolist() == ids_of(text), text
+
+
+def test_special_tokens_equal_unchanged_library(spark):
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b<|startoftext|>", "<|ENDOFTEXT|> x", "don<|endoftext|>'t\n<|endoftext|><|endoftext|>", "e<|endoftext|>\u0301 plain"]
+    library = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = 0
+    for row in sorted(S.stored_ids(docs, PATH).collect(), key=lambda r: r.id):
+        ids = [*library.encode(texts[row.id], add_special_tokens=False).ids, 1]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (at, len(ids), crc(ids)), texts[row.id]
+        at += len(ids)
