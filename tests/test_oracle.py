@@ -5,8 +5,9 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, compare
+from docloom.catalog import load_all
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = load_all()
 
 
 @pytest.fixture(scope="module")
@@ -28,5 +29,10 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_every_query_is_exposed():
+    assert set(QUERIES) <= set(queries())
+    assert set(ORACLES) <= set(oracle_sql())
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["entity_type", "count"]
