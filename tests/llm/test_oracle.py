@@ -1,0 +1,22 @@
+"""Corpus queries that SQL can express, against DuckDB."""
+
+import duckdb
+import pytest
+
+from check import TABLES, compare
+from docloom.llm.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def duck(small):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, duck, small, name):
+    state, _, _, note = compare(spark, duck, name, QUERIES[name], ORACLES[name], small)
+    assert state == "ok", f"{state}: {note}"
+    assert "types" not in note, note
