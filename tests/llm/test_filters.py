@@ -72,11 +72,11 @@ def test_matrix_is_the_texts(spark, monkeypatch):
     """Small shards: terms are one id for one word over all shards, counts are those of the texts."""
     texts = [f"the {k} and the {k % 7} of word{k % 50} " * (k % 4) for k in range(300)] + [None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
-    local = A.shards(docs, "text", ["id"], most=2_000)
+    local = A.shards(docs, "text", ["id"], most=500)
     assert local.count() > 10 and local.select("shard").distinct().count() == local.count()
-    monkeypatch.setattr(A.shards, "__defaults__", (2_000,))
+    monkeypatch.setattr(A.shards, "__defaults__", (500,))
     word_of = {}
-    for r in A.terms(A.shards(docs.orderBy("id"), "text", ["id"], 2_000)).collect():
+    for r in A.terms(A.shards(docs.orderBy("id"), "text", ["id"], 500)).collect():
         assert word_of.setdefault(r.term, r.word) == r.word
     assert len(set(word_of.values())) == len(word_of) == len({w for t in texts if t for w in t.split()})
     seen = {}
