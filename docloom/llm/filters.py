@@ -55,7 +55,7 @@ class Shard:
 
     def add(self, text: bytes) -> None:
         words = text.split()
-        self.found.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+        self.found.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.bytes += len(text)
 
     def row(self, shard: int, names: list[str]) -> pa.RecordBatch:
@@ -65,12 +65,12 @@ class Shard:
         starts = np.searchsorted(cells, np.arange(len(sizes) + 1) << 32)
         table = pa.Table.from_batches(self.kept)
         lists = [table.column(n).combine_chunks() for n in names] + [
-            pa.array(starts.astype(np.int32)), pa.array((cells & 0xFFFFFFFF).astype(np.int32)), pa.array(counts.astype(np.int32)),
+            pa.array(starts.astype(np.int32)), pa.array(np.diff((cells & 0xFFFFFFFF).astype(np.int32), prepend=np.int32(0))), pa.array(counts.astype(np.int32)),
             pa.array(list(self.number), pa.binary()).cast(pa.string()),
         ]
         lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
         columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *columns], names=["shard", *names, "starts", "columns", "counts", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *columns], names=["shard", *names, "starts", "steps", "counts", "words"])
 
 
 class _Numbers(dict):
@@ -85,7 +85,10 @@ class _Numbers(dict):
 
 
 def shards(docs: DataFrame, text_column: str, names: list[str], most: int = SHARD_BYTES) -> DataFrame:
-    """Rows (shard, lists of ``names``, starts, columns, counts, words) that hold all rows of ``docs``."""
+    """Rows (shard, lists of ``names``, starts, steps, counts, words) that hold all rows of ``docs``.
+
+    ``steps`` are the differences of the column numbers, which are small and take less room than the numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = Shard(), TaskContext.get().partitionId() << 32
@@ -106,16 +109,16 @@ def shards(docs: DataFrame, text_column: str, names: list[str], most: int = SHAR
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     lists = "".join(f", `{n}` array<{kinds[n]}>" for n in names)
     return docs.select(*names, F.col(text_column)).mapInArrow(
-        run, f"shard long{lists}, starts array<int>, columns array<int>, counts array<int>, words array<string>")
+        run, f"shard long{lists}, starts array<int>, steps array<int>, counts array<int>, words array<string>")
 
 
 def terms(written: DataFrame) -> DataFrame:
-    """(shard, number, word, term): the term id of each word of each shard, one id for one word."""
+    """(shard, number, bucket, word, term): the term id of each word of each shard, one id for one word."""
     total = written.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
     buckets = max(total // BUCKET_WORDS, int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     words = written.select("shard", F.posexplode("words").alias("number", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long") - 1
-    return words.select("shard", "number", "word", (rank * buckets + F.col("bucket")).alias("term"))
+    return words.select("shard", "number", "bucket", "word", (rank * buckets + F.col("bucket")).alias("term"))
 
 
 def matrix(docs: DataFrame, text_column: str = "text", names: list[str] | None = None) -> DataFrame:
@@ -124,25 +127,30 @@ def matrix(docs: DataFrame, text_column: str = "text", names: list[str] | None =
     written = shared_table(shards(docs, text_column, names), "matrix")
 
     def renumber(rows: pa.Table, ids: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return rows.select(["shard", *names, "starts"]).append_column("terms", pa.array([], pa.list_(pa.int64()))).append_column("counts", rows.column("counts"))
-        own = np.zeros(ids.num_rows, dtype=np.int64)
-        own[ids.column("number").to_numpy()] = ids.column("term").to_numpy()
-        columns = rows.column("columns").combine_chunks()
-        columns = columns.chunk(0) if isinstance(columns, pa.ChunkedArray) else columns
-        global_ids = own[columns.flatten().to_numpy()] if len(columns.flatten()) else own[:0]
-        listed = pa.ListArray.from_arrays(pa.array([0, len(global_ids)], pa.int32()), pa.array(global_ids))
+        numbers, found = (_flat(ids, n) for n in ("numbers", "terms"))
+        own = np.zeros(len(numbers), dtype=np.int64)
+        own[numbers] = found
+        columns = own[np.cumsum(_flat(rows, "steps"), dtype=np.int32)]
+        listed = pa.ListArray.from_arrays(pa.array([0, len(columns)][:rows.num_rows + 1], pa.int32()), pa.array(columns))
         return rows.select(["shard", *names, "starts"]).append_column("terms", listed).append_column("counts", rows.column("counts"))
 
     kinds = {f.name: f.dataType.simpleString() for f in written.schema}
     lists = "".join(f", `{n}` {kinds[n]}" for n in names)
-    ids = terms(written.select("shard", "words")).drop("word")
+    # A bucket's task packs what each shard gets from it ahead of the shuffle by shard.
+    ids = terms(written.select("shard", "words")).groupBy("shard", "bucket").agg(
+        F.collect_list("number").alias("numbers"), F.collect_list("term").alias("terms"))
     return (
-        written.drop("words").groupBy("shard").cogroup(ids.groupBy("shard"))
+        written.drop("words").groupBy("shard").cogroup(ids.drop("bucket").groupBy("shard"))
         .applyInArrow(renumber, f"shard long{lists}, starts array<int>, terms array<bigint>, counts array<int>")
     )
 
 
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    """All values of a column of lists."""
+    column = table.column(name)
+    return np.concatenate([c.flatten().to_numpy() for c in column.chunks]) if column.num_chunks else np.zeros(0, dtype=np.int64)
+
+
 def measured(shards_of: DataFrame, names: list[str]) -> DataFrame:
     """``names`` of every row with its row sum and its nonzero count: (…, words, distinct)."""
     names = list(names)
