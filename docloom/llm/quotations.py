@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.shared import shared_table
+from docloom.llm.shared import bound, shared_table
 
-_MARKS = "^ {0,3}((?:>[ \t]?)+)"
+# Possessive, as a group that may give back what it took recurses once a mark.
+_MARKS = "^ {0,3}((?:>[ \t]?)++)"
 #: A message id is its conversation times this plus its turn, so conversations of up to so many turns never share ids.
 MOST_TURNS = 1 << 24
 
@@ -99,7 +100,22 @@ def roots(parents: DataFrame) -> DataFrame:
 def without_quotes(text: Column) -> Column:
     """A text's own lines, without blank lines at either end."""
     own = F.filter(F.split(text, "\n"), lambda line: ~line.rlike(_MARKS))
-    return F.regexp_replace(F.array_join(own, "\n"), r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", "")
+
+    def inner(lines: Column) -> Column:
+        full = F.transform(lines, lambda line: F.length(F.btrim(line, F.lit(" \t"))) > 0)
+        first, behind = F.array_position(full, True), F.array_position(F.reverse(full), True)
+        length = F.size(lines) - first - behind + 2
+        return F.when(first > 0, F.array_join(F.slice(lines, first.cast("int"), length.cast("int")), "\n")).otherwise("")
+
+    return F.when(text.isNotNull(), bound(own, inner))
+
+
+def quoted_runs(text: Column) -> Column:
+    """Number of quoted passages: changes to a level above zero from one full line to the next."""
+    levels = F.transform(F.split(text, "\n"), lambda line: F.when(_normal(line) != "", _level(line)))
+    ahead = lambda x: F.concat(F.array(F.lit(0)), x)
+    starts = bound(F.filter(levels, lambda x: x.isNotNull()), lambda x: F.size(F.filter(F.zip_with(x, ahead(x), lambda a, b: (a > 0) & (a != b)), lambda s: s)))
+    return F.when(text.isNotNull(), starts).otherwise(0).cast("long")
 
 
 def link_conversations(messages: DataFrame, id_column: str = "msg_id", thread_column: str | None = None, text_column: str = "text") -> DataFrame:
@@ -111,10 +127,7 @@ def link_conversations(messages: DataFrame, id_column: str = "msg_id", thread_co
     parent = F.max_by("original", F.struct(-F.col("level"), "hits", "original")).alias("parent")
     parents = shared_table(lowest.groupBy("id").agg(parent), "parents")
     placed = parents.join(roots(parents), "id").join(found.groupBy("id").agg(F.count("*").alias("n_linked")), "id")
-    levels = F.transform(F.split("text", "\n"), lambda line: F.when(_normal(line) != "", _level(line)))
-    levels = F.filter(levels, lambda x: x.isNotNull())
-    starts = F.filter(F.transform(levels, lambda x, i: (x > 0) & ((i == 0) | (F.get(levels, i - 1) != x))), lambda x: x)
-    return rows.withColumn("n_quotes", F.coalesce(F.size(starts), F.lit(0)).cast("long")).join(placed, "id", "left").select(
+    return rows.withColumn("n_quotes", quoted_runs(F.col("text"))).join(placed, "id", "left").select(
         "id", "parent", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quotes",
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), without_quotes(F.col("text")).alias("text"),
     )

@@ -1,4 +1,5 @@
 import re
+import time
 
 from docloom.llm import quotations as Q
 from docloom.llm.queries import op1_quotation_linking
@@ -79,3 +80,16 @@ def test_common_lines_link_within_their_thread(spark):
     frame = spark.createDataFrame(rows, "msg_id long, thread long, text string")
     got = Q.link_conversations(frame, thread_column="thread").collect()
     assert all(r.parent == (r.id - 1 if r.id % 10 else None) for r in got)
+
+
+def test_very_long_messages(spark):
+    """Marks, blank lines and lines by the ten thousand: no recursion, and time in proportion."""
+    rows = [(1, "start\nover"), (2, ">" * 100_000 + " deep\nx"), (3, "> start\n> over\n\n" + "\n \t\n" * 100_000 + "a" + "\n" * 100_000 + "b\n \n"),
+            (4, "\n".join("> start\nown" + str(k) for k in range(10_000)))]
+    frame = spark.createDataFrame(rows, "msg_id long, text string")
+    start = time.time()
+    got = {r.id: r for r in Q.link_conversations(frame).collect()}
+    assert time.time() - start < 30
+    assert got[2].n_quotes == 1 and got[2].text == "x"
+    assert (got[3].parent, got[3].n_quotes, got[3].n_linked) == (1, 1, 1) and got[3].text == "a" + "\n" * 100_000 + "b"
+    assert (got[4].parent, got[4].n_quotes, got[4].n_linked) == (1, 10_000, 10_000) and got[4].text.count("\n") == 9_999
