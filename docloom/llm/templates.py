@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import free_name, shared_table
+from docloom.llm.shared import bound, free_name, shared_table
 
 DEPTH, MIN_TEXTS, MIN_CONSTANT = 3, 10, 0.6
 FIELD = "<*>"
@@ -39,7 +39,8 @@ def _has_token(line: Column) -> Column:
 def _lines(docs: DataFrame, text_column: str, depth: int) -> DataFrame:
     """Lines with a token: (mark, line, tokens, leaf); a mark stands for all rows of one text."""
     return (
-        docs.select(F.xxhash64(text_column).alias("mark"), F.posexplode(F.split(text_column, "\n")).alias("line", "content"))
+        docs.select(F.xxhash64(text_column).alias("mark"), F.col(text_column).alias("text"))  # a hash once a text, not once a line
+        .select("mark", F.posexplode(F.split("text", "\n")).alias("line", "content"))
         .where(_has_token(F.col("content"))).select("mark", "line", tokens(F.col("content")).alias("tokens"))
         .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
     )
@@ -77,11 +78,11 @@ def drop_recurring(docs: DataFrame, text_column: str = "text", counts: bool = Fa
     gone = recurring_lines(docs, text_column, **limits).withColumnRenamed("mark", mark).withColumnRenamed("gone", lost)
     parts = F.split(text_column, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
-    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    with_tokens = F.exists(left, lambda i: _has_token(F.get(parts, i)))
-    changed = F.col(lost).isNotNull() & with_tokens
-    joined = docs.withColumn(mark, F.xxhash64(text_column)).join(gone, mark, "left").withColumn(edited, changed)
-    out = joined.withColumn(new, F.when(F.col(edited), kept).otherwise(F.col(text_column)))
+    lines = bound(parts, lambda p: F.transform(left, lambda i: F.get(p, i)))  # the text is split once, not once a line
+    kept = bound(lines, lambda k: F.when(F.exists(k, _has_token), F.array_join(k, "\n")))
+    joined = docs.withColumn(mark, F.xxhash64(text_column)).join(gone, mark, "left")
+    out = joined.withColumn(new, F.when(F.col(lost).isNotNull(), kept)).withColumn(edited, F.col(new).isNotNull())
+    out = out.withColumn(new, F.coalesce(new, text_column))
     columns = [F.col(new).alias(c) if c == text_column else F.col(c) for c in docs.columns]
     if "n_chars" in docs.columns:
         columns[docs.columns.index("n_chars")] = F.when(F.col(edited), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")

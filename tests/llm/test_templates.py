@@ -1,3 +1,5 @@
+import time
+
 from docloom.llm import templates as T
 
 
@@ -35,6 +37,16 @@ def test_odd_rows(spark):
     assert T.drop_recurring(docs.limit(0)).collect() == []
 
 
+def test_text_of_many_lines(spark):
+    shared = [f"this is the shared line {'abcdefghijkl'[k]}{'mnopqrstuvwx'[k]} of all texts" for k in range(12)]
+    texts = ["\n".join(shared + [f"own {'abcdefghijkl'[i] * 3}"]) for i in range(12)]
+    long = "\n".join(w for k in range(50_000) for w in (shared[k % 12], "zz" + "abcdefghij"[k % 10] * (k % 17 + 1)))
+    start = time.time()
+    got = {r.doc_id: r for r in T.drop_recurring(frame(spark, [*texts, long]), counts=True).collect()}
+    assert time.time() - start < 30
+    assert got[12].n_lines == 100_000 and got[12].n_dropped == 50_000 and "shared" not in got[12].text and got[12].text.count("\n") == 49_999
+
+
 def test_columns_of_clashing_names_come_back(spark):
     """Names that the filtering operators use inside stay the table's own."""
     from docloom.llm import decontaminate, simhash, toxicity
