@@ -144,23 +144,39 @@ SELECT operation, runs, h / 100 AS ewma FROM folded"""
 
 @query("a13_ewma", _EWMA.format(source=PROFILES_SQL).replace("floor(acc * 4 / 5)", "(acc * 4) // 5"))
 def a13(spark, folder):
-    return A.ewma(profiles(spark, folder), ["operation"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")))
+    return A.ewma(profiles(spark, folder), ["operation"], ["ts", "event_id"])
 
 
 @query("a13_ewma_by_user", _EWMA.format(source=PROFILES_SQL.replace("event_type AS operation", "CAST(user_id AS STRING) AS operation"))
        .replace("floor(acc * 4 / 5)", "(acc * 4) // 5"))
 def a13_users(spark, folder):
     rows = profiles(spark, folder).withColumn("operation", F.col("mem_diff").cast("string"))
-    return A.ewma(rows, ["operation"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")))
+    return A.ewma(rows, ["operation"], ["ts", "event_id"])
 
 
-@query(
-    "a14_s08_u02_table_counts",
-    "SELECT 'documents' AS table_name, count(*) AS rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages "
-    "UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem",
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations",
 )
+_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in TABLES)
+
+
+@query("a14_s08_u02_table_counts", _COUNTS)
 def a14(spark, folder):
-    return A.table_counts({n: load(spark, folder, n) for n in ("documents", "pages", "events", "lineitem")})
+    return A.table_counts({n: load(spark, folder, n) for n in TABLES})
+
+
+@query(
+    "s08_table_inventory",
+    f"""WITH counts AS ({_COUNTS})
+SELECT c.table_name, CAST(column_index AS INTEGER) AS ordinal, column_name, rows,
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float'
+    WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>'
+    WHEN 'SMALLINT' THEN 'smallint' WHEN 'TINYINT' THEN 'tinyint' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(data_type) END AS data_type
+FROM duckdb_columns() c JOIN counts ON c.table_name = counts.table_name""",
+)
+def s08(spark, folder):
+    return A.table_inventory({n: load(spark, folder, n) for n in TABLES})
 
 
 @query(
@@ -253,7 +269,7 @@ SELECT event_id, event_type FROM ranked WHERE n <= 37 OR (event_type, p) IN (SEL
 )
 def w04(spark, folder):
     rows = load(spark, folder, "events").select("event_id", "event_type", "ts")
-    sample = O.systematic_sample(rows, ["event_type"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"], 37)
+    sample = O.systematic_sample(rows, ["event_type"], ["ts", "event_id"], 37)
     return sample.select("event_id", "event_type")
 
 
@@ -299,11 +315,11 @@ _RUNNING = f"""SELECT event_id, operation, row_number() OVER w AS r, count(*) OV
 
 @query("w07_remaining_time", f"SELECT event_id, operation, round(so_far / r * (n - r), 3) AS eta_ms FROM ({_RUNNING})")
 def w07(spark, folder):
-    rows = O.remaining_time(profiles(spark, folder), ["operation"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"])
+    rows = O.remaining_time(profiles(spark, folder), ["operation"], ["ts", "event_id"])
     return rows.select("event_id", "operation", F.round("eta_ms", 3).alias("eta_ms"))
 
 
 @query("w08_running_progress", f"SELECT event_id, operation, round(CAST(r AS DOUBLE) * 100 / n, 6) AS progress FROM ({_RUNNING})")
 def w08(spark, folder):
-    rows = O.running_progress(profiles(spark, folder), ["operation"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"])
+    rows = O.running_progress(profiles(spark, folder), ["operation"], ["ts", "event_id"])
     return rows.select("event_id", "operation", F.round(F.col("progress").cast("double"), 6).alias("progress"))

@@ -1,9 +1,10 @@
 """Order-dependent operators that never pull a whole group into one task.
 
-A plain window over a group needs all its rows in one task.  Where the group may be huge the rank is
-built in two steps: rows are counted per (group, bucket) with a partial aggregate, where a bucket is a
-coarse step of the order column; the small bucket table gets running totals; and rows are ranked only
-within their bucket.
+A plain window over a group needs all its rows in one task.  Here rows are dealt to ranges of (group, order) and
+written; the rows of each group are counted in each range; running totals of these counts, one row for each group and
+range, say how many rows of its group are ahead of a range; and rows are ranked only within their range.  Rows that
+are equal in all order columns are dealt by a hash of the row and then by their place in the input, so a single value that
+all rows share is cut into as many ranges as any other.
 """
 
 from __future__ import annotations
@@ -12,40 +13,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.options import KEPT_VERSIONS, LOG_RESULT_LIMIT
+from docloom.session import cut_lineage
 
+RANGE, TIES = "_range", ("_tie", "_at")
 
-def with_ranks(df: DataFrame, groups: list[str], bucket: Column, order: list[str],
-               value: str | None = None) -> DataFrame:
-    """Add ``rank`` (1-based), ``group_size`` and, with ``value``, ``running_sum`` within each group.
 
-    ``bucket`` must never decrease along ``order`` and should cut a large group into many parts.
+def in_ranges(df: DataFrame, groups: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` dealt to ranges of (groups, order) and written, with the number of each row's range and what breaks ties.
+
+    Rows that are equal in everything are in an order of their own; it changes no result, as nothing tells them apart.
     """
-    df = df.withColumn("_bucket", bucket)
-    sums = [F.sum(value).alias("_bucket_sum")] if value else []
-    parts = df.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_bucket_rows"), *sums)
-    ahead = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    parts = parts.withColumns(
-        {
-            "_rows_ahead": F.coalesce(F.sum("_bucket_rows").over(ahead), F.lit(0)),
-            "group_size": F.sum("_bucket_rows").over(whole),
-        }
-    )
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = [F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = df.withColumns({TIES[0]: F.xxhash64(*hashed), TIES[1]: F.monotonically_increasing_id()})
+    return cut_lineage(rows.repartitionByRange(parts, *groups, *order, *TIES).withColumn(RANGE, F.spark_partition_id()))
+
+
+def totals_ahead(rows: DataFrame, groups: list[str], value: str | None = None) -> DataFrame:
+    """For each group and range: ``_rows_ahead`` and ``group_size``; with ``value`` also its sum ahead, least and greatest."""
+    ahead = Window.partitionBy(*groups).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)  # a group has at most one row for each range here
+    facts = {"_rows": F.count(F.lit(1))}
     if value:
-        parts = parts.withColumn("_sum_ahead", F.coalesce(F.sum("_bucket_sum").over(ahead), F.lit(0)))
-    parts = parts.drop("_bucket_rows", "_bucket_sum")
-    rows = df.join(parts, [*groups, "_bucket"])
-    inner = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    rows = rows.withColumn("rank", F.row_number().over(inner) + F.col("_rows_ahead"))
+        facts |= {"_sum": F.sum(value), "_low": F.min(value), "_high": F.max(value)}
+    parts = rows.groupBy(*groups, RANGE).agg(*[how.alias(name) for name, how in facts.items()])
+    out = {"_rows_ahead": F.coalesce(F.sum("_rows").over(ahead), F.lit(0)), "group_size": F.sum("_rows").over(whole)}
     if value:
-        so_far = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumn("running_sum", F.sum(value).over(so_far) + F.col("_sum_ahead"))
-    return rows.drop("_bucket", "_rows_ahead", "_sum_ahead")
+        out |= {"_sum_ahead": F.coalesce(F.sum("_sum").over(ahead), F.lit(0)),
+                "group_low": F.min("_low").over(whole), "group_high": F.max("_high").over(whole)}
+    return parts.select(*groups, RANGE, *[how.alias(name) for name, how in out.items()])
+
+
+def ranked(rows: DataFrame, heads: DataFrame, groups: list[str], order: list[str], value: str | None = None) -> DataFrame:
+    """Rows of ``in_ranges`` with ``rank``, ``running_sum`` of ``value``, and the other columns of ``heads``.
+
+    ``heads`` has one row for each group and range, which goes first in its range; so totals come along with the one
+    shuffle that ranking needs, without a join.
+    """
+    carried = [c for c in heads.columns if c not in (*groups, RANGE)]
+    both = rows.withColumn("_head", F.lit(0)).unionByName(heads.withColumn("_head", F.lit(1)), allowMissingColumns=True)
+    inner = Window.partitionBy(*groups, RANGE).orderBy(F.desc("_head"), *order, *TIES)
+    so_far = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    facts = {c: F.first(c).over(so_far) for c in carried}
+    out = {"rank": F.row_number().over(inner) - 1 + facts["_rows_ahead"]}
+    if value:
+        out["running_sum"] = F.sum(value).over(so_far) + facts["_sum_ahead"]
+    out |= {c: how for c, how in facts.items() if not c.startswith("_")}
+    plain = [c for c in rows.columns if c not in (RANGE, *TIES)]
+    return both.select(*plain, "_head", *[how.alias(c) for c, how in out.items()]).filter("_head = 0").drop("_head")
+
+
+def with_ranks(df: DataFrame, groups: list[str], order: list[str], value: str | None = None) -> DataFrame:
+    """Add ``rank`` (1-based), ``group_size`` and, with ``value``, ``running_sum`` within each group."""
+    rows = in_ranges(df, groups, order)
+    out = ranked(rows, totals_ahead(rows, groups, value), groups, order, value)
+    return out.drop("group_low", "group_high")
 
 
-def systematic_sample(df: DataFrame, groups: list[str], bucket: Column, order: list[str], k: int) -> DataFrame:
+def systematic_sample(df: DataFrame, groups: list[str], order: list[str], k: int) -> DataFrame:
     """k of n rows per group at the places floor(i * n / k); all of them if there are no more than k."""
-    rows = with_ranks(df, groups, bucket, order)
+    rows = with_ranks(df, groups, order)
     place, size = F.col("rank") - 1, F.col("group_size")
     near = F.floor(place * k / size)
     taken = size <= k
@@ -55,16 +82,15 @@ def systematic_sample(df: DataFrame, groups: list[str], bucket: Column, order: l
     return rows.filter(taken).drop("rank", "group_size")
 
 
-def running_progress(df: DataFrame, groups: list[str], bucket: Column, order: list[str]) -> DataFrame:
+def running_progress(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     """Share of the group that is done once each row is done, in percent."""
-    rows = with_ranks(df, groups, bucket, order)
+    rows = with_ranks(df, groups, order)
     return rows.withColumn("progress", F.col("rank") * 100.0 / F.col("group_size"))
 
 
-def remaining_time(df: DataFrame, groups: list[str], bucket: Column, order: list[str],
-                   duration: str = "duration_ms") -> DataFrame:
+def remaining_time(df: DataFrame, groups: list[str], order: list[str], duration: str = "duration_ms") -> DataFrame:
     """Mean item time so far times the items that remain."""
-    rows = with_ranks(df, groups, bucket, order, duration)
+    rows = with_ranks(df, groups, order, duration)
     mean = F.col("running_sum") / F.col("rank")
     return rows.withColumn("eta_ms", mean * (F.col("group_size") - F.col("rank")))
 
@@ -153,7 +179,7 @@ def sort_column(kind: str, field: str) -> str:
 
 def page(df: DataFrame, sort: str, key: str, order: str = "desc", limit: int = 20, offset: int = 0,
          cap: int | None = None) -> DataFrame:
-    """One page of rows; the key breaks ties, so pages never overlap."""
+    """One page of rows; the key breaks ties, so pages never overlap.  A limit above ``cap`` counts as ``cap``."""
     if order not in ("asc", "desc"):
         raise ValueError(f"unknown order: {order}")
     size = limit if cap is None else min(limit, cap)

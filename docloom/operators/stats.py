@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import moment
-from docloom.operators.ordering import with_ranks
+from docloom.operators.ordering import in_ranges, ranked, totals_ahead
 from docloom.options import PROFILE_TOP
+from docloom.session import cut_lineage
 
 
 def entity_type_counts(entities: DataFrame) -> DataFrame:
@@ -145,99 +149,91 @@ def compare_benchmark(report: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-# Below the limit up to which each task keeps only the newest rows of a group before the shuffle.
-EWMA_TAIL = 512
+# Rows of one block, and maps that are composed at once.
+EWMA_BLOCK, EWMA_FAN = 512, 64
 
 
-def _fold(rows: Column, low: Column, high: Column) -> Column:
-    """Both bounds of the average, in hundredths, carried through the rows in order."""
-    start = F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
-    return F.aggregate(
-        rows, start,
-        lambda acc, r: F.struct(
-            (F.floor(acc["low"] * 4 / F.lit(5)) + r["v"] * 20).cast("long").alias("low"),
-            (F.floor(acc["high"] * 4 / F.lit(5)) + r["v"] * 20).cast("long").alias("high"),
-        ),
-    )
+def _floor_div(x: Column, n: int) -> Column:
+    return F.call_function("div", x - F.pmod(x, F.lit(n)), F.lit(n)).cast("long")
 
 
-def ewma(df: DataFrame, groups: list[str], order: list[str], bucket: Column,
-         value: str = "duration_ms", tail: int = EWMA_TAIL) -> DataFrame:
-    """Running benchmark 0.8 * old + 0.2 * new per group, cut to two decimals at every step.
+def _fold(values: Column, start: Column) -> Column:
+    """The average, in hundredths, carried through values in order and cut at every step."""
+    return F.aggregate(values, start.cast("long"), lambda h, v: _floor_div(h * 4, 5) + v * 20)
+
+
+def _unfold(values: Column, end: Column) -> Column:
+    """The least average ahead of the values from which at least ``end`` comes out."""
+    return F.aggregate(F.reverse(values), end, lambda y, v: _floor_div((y - v * 20) * 5 + 3, 4))
 
-    ``value`` is a whole number; ``bucket`` never decreases along ``order`` (see ``with_ranks``).  The
-    steps cannot be reordered, but each one shrinks the distance of two starting values, and the
-    average always lies between the least and the greatest value.  So the last rows of a long group
-    are folded from both bounds: where the two meet, that is the exact result.  Groups whose bounds do
-    not meet are folded block by block.  No task holds more than ``tail`` rows of a group.
-    """
-    rows = df.select(*groups, *order, bucket.alias("_at"), F.col(value).cast("long").alias("v"))
-    newest = Window.partitionBy(*groups).orderBy(*[F.desc(c) for c in order])
-    last = (
-        rows.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= tail)
-        .groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(*order, "v"))).alias("_rows"))
-    )
-    bounds = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("runs"),
-        (F.min("v") * 100).alias("_low"),
-        (F.max("v") * 100).alias("_high"),
-    )
-    whole = F.col("runs") <= tail
-    first = F.element_at("_rows", 1)["v"] * 100
-    rest = F.when(whole, F.slice("_rows", 2, tail)).otherwise(F.col("_rows"))
-    folded = (
-        last.join(bounds, groups)
-        .withColumn("_end", _fold(rest, F.when(whole, first).otherwise(F.col("_low")),
-                                  F.when(whole, first).otherwise(F.col("_high"))))
-        .select(*groups, "runs", "_low", "_high", "_end.low", "_end.high")
-    )
-    met = folded.filter(F.col("low") == F.col("high")).select(*groups, "runs", (F.col("low") / 100).alias("ewma"))
-    apart = folded.filter(F.col("low") != F.col("high")).select(*groups, "runs", "_low", "_high")
-    return met.unionByName(_ewma_by_blocks(rows.join(apart.select(*groups), groups, "left_semi"),
-                                           apart, groups, order, tail))
 
+def _compose(older: Column, newer: Column) -> Column:
+    """One map after another; each is what the least average becomes, and where one more comes out."""
+    base = newer["base"] + F.size(F.filter(newer["cuts"], lambda x: x <= older["base"]))
+    cuts = F.filter(older["cuts"], lambda x, i: F.array_contains(newer["cuts"], older["base"] + i + 1))
+    return F.struct(base.cast("long").alias("base"), cuts.alias("cuts"))
 
-def _ewma_by_blocks(rows: DataFrame, bounds: DataFrame, groups: list[str], order: list[str],
-                    size: int) -> DataFrame:
-    """The same average for groups of any length, exact whatever their values.
 
-    After a full block the two bounds differ by a few hundredths at most.  Each block is folded from
-    those few possible starting values, and the resulting small maps are chained per group.
+def ewma_maps(df: DataFrame, groups: list[str], order: list[str], value: str = "duration_ms",
+              block: int = EWMA_BLOCK, start: DataFrame | None = None) -> DataFrame:
+    """(groups, block, runs, map) of every ``block`` rows of a group, counted from its newest row.
+
+    A map says what a block makes of every average that can come into it.  One more in gives one more out or none, so a
+    map is the least outcome (``base``) and the averages at which one more comes out (``cuts``).  Only the oldest block can be
+    short; its start is known, so its map is a constant.  The others shrink what comes in to few outcomes: after 128 rows at most
+    five for any values below a billion.
     """
-    ranked = with_ranks(rows, groups, F.col("_at"), order)
-    blocks = (
-        ranked.withColumn("_block", F.floor((F.col("rank") - 1) / size))
-        .groupBy(*groups, "_block")
-        .agg(F.array_sort(F.collect_list(F.struct(*order, "v"))).alias("_rows"))
-        .join(bounds, groups)
-    )
-    opening = F.col("_block") == 0
-    seed = F.element_at("_rows", 1)["v"] * 100
-    blocks = blocks.withColumns(
-        {
-            "_low": F.when(opening, seed).otherwise(F.col("_low")),
-            "_high": F.when(opening, seed).otherwise(F.col("_high")),
-            "_rows": F.when(opening, F.slice("_rows", 2, size)).otherwise(F.col("_rows")),
-        }
-    )
-    ends = blocks.select(
-        *groups, (F.col("_block") + 1).alias("_block"), _fold(F.col("_rows"), F.col("_low"), F.col("_high")).alias("_start")
-    )
-    maps = (
-        blocks.join(ends, [*groups, "_block"], "left")
-        .withColumn("_from", F.coalesce("_start.low", "_low"))
-        .withColumn("_until", F.coalesce("_start.high", "_high"))
-        .withColumn("_ends", F.transform(F.sequence("_from", "_until"),
-                                         lambda s: _fold(F.col("_rows"), s, s)["low"]))
-    )
-    chain = maps.groupBy(*groups, "runs").agg(
-        F.array_sort(F.collect_list(F.struct("_block", "_from", "_ends"))).alias("_maps")
-    )
-    value = F.aggregate(
-        "_maps", F.element_at("_maps", 1)["_from"],
-        lambda x, m: F.element_at(m["_ends"], (x - m["_from"] + 1).cast("int")),
-    )
-    return chain.select(*groups, "runs", (value / 100).alias("ewma"))
+    slim = df.select(*groups, *order, F.col(value).cast("long").alias("v"))
+    rows = in_ranges(slim, groups, order)
+    heads = totals_ahead(rows, groups, "v").withColumn("group_start", F.lit(None).cast("long"))
+    if start is not None:
+        known = start.select(*[F.col(g).alias(f"_own_{g}") for g in groups], F.col("hundredths").alias("_start"), F.col("runs").alias("_before"))
+        same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_own_{g}")) for g in groups])
+        heads = heads.join(known, same, "left").withColumn("group_start", F.col("_start")).withColumn("group_before", F.col("_before"))
+        heads = heads.drop("_start", "_before", *[f"_own_{g}" for g in groups])
+    else:
+        heads = heads.withColumn("group_before", F.lit(0).cast("long"))
+    facts = ["group_size", "group_low", "group_high", "group_start", "group_before"]
+    at = F.floor((F.col("group_size") - F.col("rank")) / block).alias("block")
+    blocks = ranked(rows, heads, groups, order).groupBy(*groups, at).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "v")))["v"].alias("vs"), *[F.first(c).alias(c) for c in facts])
+    oldest = F.col("block") == F.floor((F.col("group_size") - 1) / block)
+    seed = F.element_at("vs", 1) * 100
+    known_start = F.coalesce("group_start", seed)
+    fed = F.when(F.col("group_start").isNull(), F.slice("vs", 2, block)).otherwise(F.col("vs"))
+    low = F.least(F.col("group_low") * 100, "group_start")
+    high = F.greatest(F.col("group_high") * 100, "group_start")
+    ends = blocks.withColumns({
+        "base": F.when(oldest, _fold(fed, known_start)).otherwise(_fold(F.col("vs"), low)),
+        "top": F.when(oldest, None).otherwise(_fold(F.col("vs"), high)),
+    })
+    outcomes = F.when(F.col("top") > F.col("base"), F.sequence(F.col("base") + 1, F.col("top"))).otherwise(F.array().cast("array<bigint>"))
+    cuts = F.transform(outcomes, lambda y: _unfold(F.col("vs"), y))
+    runs = (F.col("group_size") + F.coalesce("group_before", F.lit(0))).alias("runs")
+    return ends.select(*groups, "block", runs, F.struct("base", cuts.alias("cuts")).alias("map"))
+
+
+def ewma_level(maps: DataFrame, groups: list[str], fan: int = EWMA_FAN) -> DataFrame:
+    """``maps`` with up to ``fan`` neighbours composed to one."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("block")).alias("at"), "map")))["map"]
+    joined = maps.groupBy(*groups, "runs", F.floor(F.col("block") / fan).alias("block")).agg(listed.alias("_maps"))
+    whole = F.aggregate(F.slice("_maps", 2, fan), F.element_at("_maps", 1), _compose)
+    return joined.select(*groups, "block", "runs", whole.alias("map"))
+
+
+def ewma(df: DataFrame, groups: list[str], order: list[str], value: str = "duration_ms", block: int = EWMA_BLOCK,
+         start: DataFrame | None = None, fan: int = EWMA_FAN) -> DataFrame:
+    """Running benchmark 0.8 * old + 0.2 * new per group, cut to two decimals at every step.
+
+    ``value`` is a whole number.  Steps that cut can't be reordered, but they can be composed: every ``block`` rows become a map in a
+    task of their own, and maps are composed ``fan`` at a time, level by level.  No array is longer than ``block`` or ``fan``, and a
+    group of any length is spread over all tasks.  ``start`` (groups, hundredths, runs) carries on earlier averages.
+    """
+    maps = cut_lineage(ewma_maps(df, groups, order, value, block, start))
+    longest = maps.agg(F.max("block")).first()[0]
+    while longest:
+        maps, longest = ewma_level(maps, groups, fan), longest // fan
+    return maps.select(*groups, "runs", (F.col("map.base") / 100).alias("ewma"))
 
 
 def search_term_stats(log: DataFrame) -> DataFrame:
@@ -263,6 +259,20 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return total
 
 
-def table_inventory(spark: SparkSession) -> DataFrame:
-    """Tables and views of the session with their columns and row counts."""
-    return table_counts({t.name: spark.table(t.name) for t in spark.catalog.listTables()})
+def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
+    """Columns of every table in order, with their types and the table's row count.
+
+    Counts need no column, so a Parquet table answers from its footers; names and types come from its schema.
+    """
+    counts = table_counts(tables)
+    shape = "struct<ordinal: int, column_name: string, data_type: string>"
+    columns = F.lit(None).cast(f"array<{shape}>")
+    for name, df in tables.items():
+        listed = [{"ordinal": at, "column_name": c, "data_type": kind} for at, (c, kind) in enumerate(df.dtypes, 1)]
+        columns = F.when(F.col("table_name") == name, F.from_json(F.lit(json.dumps(listed)), f"array<{shape}>")).otherwise(columns)
+    return counts.select("table_name", "rows", F.explode(columns).alias("_c")).select("table_name", "_c.*", "rows")
+
+
+def session_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """Tables and views of the session's current database by name."""
+    return {t.name: spark.table(t.name) for t in spark.catalog.listTables()}

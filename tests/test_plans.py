@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from docloom.operators import joins as J
 from docloom.operators import lists as P
 from docloom.operators.chunking import chunk
-from docloom.operators.extraction import extract, extract_code, extract_result
+from docloom.operators.extraction import extract, extract_code, extract_offsets, extract_result
 from docloom.operators.ordering import keep_newest
 from docloom.operators.search import build_index
-from docloom.operators.stats import ewma
 from docloom.sources.tables import load
 
 def plan_of(df):
@@ -25,7 +24,7 @@ def test_extraction_and_chunking_do_not_shuffle(spark, small):
     docs = load(spark, small, "documents")
     code = docs.withColumn("language", F.lit("python"))
     for df in (
-        extract(docs, ["doc_id"]), extract_code(code, ["doc_id"]), extract_result(docs, ["doc_id"]),
+        extract(docs, ["doc_id"], one_pass=False), extract_code(code, ["doc_id"], one_pass=False), extract_result(docs, ["doc_id"]),
         *(chunk(docs, ["doc_id"], s, 400, 40) for s in ("paragraph", "line", "token", "character", "sentence", "blank_line")),
     ):
         plan = plan_of(df)
@@ -33,6 +32,14 @@ def test_extraction_and_chunking_do_not_shuffle(spark, small):
         assert "struct<doc_id:bigint,text:string>" in plan
 
 
+def test_placing_names_in_one_pass_does_not_shuffle(spark, small):
+    docs = load(spark, small, "documents")
+    for df in (extract(docs, ["doc_id"]), extract_offsets(docs, ["doc_id"])):
+        plan = plan_of(df)
+        assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2  # the node and its details
+        assert "struct<doc_id:bigint,text:string>" in plan
+
+
 def test_filters_reach_the_scan(spark, small):
     rows = load(spark, small, "orders")
     plan = plan_of(P.batch_filter(rows.withColumnRenamed("o_orderstatus", "content_type"), ["F"], "1996-01-01", None, "o_orderdate").select("o_orderkey"))
@@ -49,12 +56,8 @@ def test_related_content_has_no_pairing_join(spark, small):
 
 
 def test_top_rows_of_a_group_are_cut_ahead_of_the_shuffle(spark, small):
-    events = load(spark, small, "events").select("event_type", "ts", "event_id", F.col("user_id").alias("v"))
-    for df in (
-        keep_newest(events, ["event_type"], ["ts"]),
-        ewma(events, ["event_type"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), "v"),
-    ):
-        assert "WindowGroupLimit" in plan_of(df)
+    events = load(spark, small, "events").select("event_type", "ts", "event_id")
+    assert "WindowGroupLimit" in plan_of(keep_newest(events, ["event_type"], ["ts"]))
 
 
 def test_index_is_counted_ahead_of_the_shuffle(spark, small):
