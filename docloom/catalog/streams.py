@@ -10,12 +10,12 @@ from docloom.catalog.registered import query
 from docloom.catalog.reports import JOB_EVENT, JOBS_SQL, STATUS_SQL, _EWMA
 from docloom.catalog.search import POSTINGS_SQL
 from docloom.catalog.views import NOTE, PROFILES_SQL
-from docloom.catalog.writes import scratch
 from docloom.functions.mime import mime_by_text
 from docloom.functions.text import md5_hash
+from docloom.session import scratch
 from docloom.sources.tables import load
-from docloom.streaming.ingest import EntitySink, LatestRows, run_available, stream_table
-from docloom.streaming.jobs import event_counts, ewma_stream, job_status_stream, job_transitions, without_repeats
+from docloom.streaming.ingest import AppendedRows, EntitySink, LatestRows, run_available, stream_table
+from docloom.streaming.jobs import RunningAverage, event_counts, job_status_stream, job_transitions, without_repeats
 
 
 def _stream(spark, folder, name):
@@ -77,11 +77,14 @@ def t03(spark, folder):
 )
 def t03_transitions(spark, folder):
     base = scratch(spark, "transitions")
-    stream = job_transitions(_job_stream(spark, folder))
-    rows = LatestRows(f"{base}/rows", ("job_id",))
-    run_available(stream, rows, f"{base}/checkpoint", "append")
-    walked = spark.read.parquet(f"{base}/rows")
-    return walked.groupBy("job_id").agg(
+    # A last row, far ahead in time, moves the watermark past all events, so that none waits on.
+    end = "job_id string, event string, ts timestamp"
+    spark.sql("SELECT CAST(NULL AS STRING) AS job_id, CAST(NULL AS STRING) AS event, TIMESTAMP '2100-01-01' AS ts").write.parquet(f"{base}/end")
+    rows = _job_stream(spark, folder).withColumn("ts", _as_instant("ts"))
+    closed = rows.unionByName(spark.readStream.schema(end).parquet(f"{base}/end"))
+    walked = AppendedRows(f"{base}/rows")
+    run_available(job_transitions(closed), walked, f"{base}/checkpoint", "append")
+    return walked.read(spark).filter("job_id IS NOT NULL").groupBy("job_id").agg(
         F.max_by("status", F.struct("ts", "event")).alias("status"), F.count(F.lit(1)).alias("seen"),
         F.count_if((F.col("event") == "canceled") & ~F.col("accepted")).alias("rejected_cancels"))
 
@@ -89,8 +92,11 @@ def t03_transitions(spark, folder):
 @query("t04_streamed_ewma", _EWMA.format(source=PROFILES_SQL).replace("floor(acc * 4 / 5)", "(acc * 4) // 5"))
 def t04(spark, folder):
     rows = _stream(spark, folder, "events").select(
-        F.col("event_type").alias("operation"), "ts", F.round(F.col("value") * 100).cast("long").alias("duration_ms"))
-    return _run(spark, ewma_stream(rows), "ewma", ("operation",), "update")
+        F.col("event_type").alias("operation"), "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("duration_ms"))
+    base = scratch(spark, "ewma")
+    sink = RunningAverage(f"{base}/rows", ("ts", "event_id"))
+    run_available(rows, sink, f"{base}/checkpoint")
+    return sink.averages(spark)
 
 
 @query("t05_streamed_event_counts",

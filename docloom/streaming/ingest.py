@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +13,7 @@ from docloom.operators.consolidate import LINK, store_entities
 from docloom.operators.extraction import extract
 from docloom.operators.rules import PROSE_RULES, Rule
 from docloom.operators.search import build_index
+from docloom.streaming.tiers import TieredTable
 
 
 def stream_table(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet",
@@ -36,60 +36,45 @@ def stream_files(spark: SparkSession, folder: str, glob: str = "*", recursive: b
     return files.select("path", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table of a folder; none where there is no such folder yet.  Other errors are raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-@dataclass
 class EntitySink:
-    """Entities, links and postings of each micro-batch, one folder per batch.
+    """Entities, links and postings over micro-batches, as tables that are merged by size (``TieredTable``).
 
-    A batch writes only its own rows: entities not known before, its links, its postings.  Repeating a
-    batch replaces its folder and nothing else, so a restart changes no result.  Readers see the newest
-    row per key.  ``input`` rows carry content_id, content_type and the text.
+    A batch reads and writes only its own rows; it need not know which entities are known, as of an entity's rows the first
+    counts when runs are merged or read.  Of a link the newest row counts.  Postings are one row a document, so the newest version
+    replaces all of an older one, even where it has no token.  Repeating a batch or restarting between its tables changes no result.
+    ``input`` rows carry content_id, content_type and the text.
     """
 
-    folder: str
-    text: str = "text"
-    rules: tuple[Rule, ...] = PROSE_RULES
+    def __init__(self, folder: str, text: str = "text", rules: tuple[Rule, ...] = PROSE_RULES, buckets: int = 8):
+        self.text, self.rules = text, rules
+        self.tables = {
+            "entities": TieredTable(f"{folder}/entities", ("entity_id",), "first", buckets),
+            "links": TieredTable(f"{folder}/links", tuple(LINK), "last", buckets),
+            "postings": TieredTable(f"{folder}/postings", ("content_id",), "last", buckets),
+        }
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         mentions = extract(batch, ["content_id", "content_type"], self.text, self.rules, one_pass=True).persist()
         entities, links = store_entities(mentions)
-        known = read_or_none(spark, f"{self.folder}/entities")
-        if known is not None:
-            earlier = known.filter(F.col("batch_id") < batch_id).select("entity_id")
-            entities = entities.join(earlier, "entity_id", "left_anti")
-        entities.write.mode("overwrite").parquet(f"{self.folder}/entities/batch_id={batch_id}")
-        links.write.mode("overwrite").parquet(f"{self.folder}/links/batch_id={batch_id}")
+        self.tables["entities"].write(entities, batch_id)
+        self.tables["links"].write(links, batch_id)
         mentions.unpersist()
-        postings = build_index(batch, "content_id", [self.text])
-        postings.write.mode("overwrite").parquet(f"{self.folder}/postings/batch_id={batch_id}")
-        seen = batch.select("content_id").distinct()
-        seen.write.mode("overwrite").parquet(f"{self.folder}/versions/batch_id={batch_id}")
+        index = build_index(batch, "content_id", [self.text])
+        held = [F.col(c) for c in index.columns if c != "content_id"]
+        own = index.groupBy("content_id").agg(F.collect_list(F.struct(*held)).alias("postings"))  # the tokens of one document
+        versions = batch.select("content_id").distinct().join(own, "content_id", "left")
+        self.tables["postings"].write(versions, batch_id)
 
     def entities(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/entities").drop("batch_id")
+        return self.tables["entities"].read(spark)
 
     def links(self, spark: SparkSession) -> DataFrame:
         """The newest link per key."""
-        rows = spark.read.parquet(f"{self.folder}/links")
-        latest = F.max_by(F.struct("relevance", "context"), "batch_id").alias("_l")
-        return rows.groupBy(*LINK).agg(latest).select(*LINK, "_l.*")
+        return self.tables["links"].read(spark)
 
     def postings(self, spark: SparkSession) -> DataFrame:
         """Postings of the newest version of every document; a version without tokens has none."""
-        rows = spark.read.parquet(f"{self.folder}/postings")
-        versions = spark.read.parquet(f"{self.folder}/versions")
-        newest = versions.groupBy("content_id").agg(F.max("batch_id").alias("batch_id"))
-        return rows.join(newest, ["content_id", "batch_id"], "left_semi").drop("batch_id")
+        return self.tables["postings"].read(spark).select("content_id", F.explode("postings").alias("_p")).select("content_id", "_p.*")
 
 
 def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -102,18 +87,18 @@ def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append"
     return query
 
 
+class LatestRows(TieredTable):
+    """Keyed rows of an updating stream; readers take the newest row per key."""
+
+
 @dataclass
-class LatestRows:
-    """Keyed rows of an updating stream: each batch adds a folder, readers take the newest per key."""
+class AppendedRows:
+    """Rows of a stream that only adds: each batch is a folder, and a repeated batch replaces its own."""
 
     folder: str
-    keys: tuple[str, ...]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.folder}/batch_id={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        rows = spark.read.parquet(self.folder)
-        values = [c for c in rows.columns if c not in (*self.keys, "batch_id")]
-        latest = F.max_by(F.struct(*values), "batch_id").alias("_row")
-        return rows.groupBy(*self.keys).agg(latest).select(*self.keys, "_row.*")
+        return spark.read.parquet(self.folder).drop("batch_id")

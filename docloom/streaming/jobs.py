@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docloom.operators.ordering import CANCELABLE, JOB_STATUS, TERMINAL, latest_status
+from docloom.operators.stats import ewma
+from docloom.streaming.tiers import TieredTable
 
-TRANSITIONS = "job_id string, ts timestamp, event string, status string, accepted boolean"
+TRANSITIONS = "job_id string, us long, event string, status string, accepted boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def job_status_stream(events: DataFrame) -> DataFrame:
@@ -19,56 +24,99 @@ def job_status_stream(events: DataFrame) -> DataFrame:
     return latest_status(events, ["ts", "event"])
 
 
-def _walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status = state.get[0] if state.exists else "pending"
-    if state.hasTimedOut:
-        state.remove()
-        return
-    events = pd.concat(list(frames)).sort_values(["ts", "event"], kind="stable")
-    statuses, accepted = [], []
-    for event in events["event"]:
-        target = JOB_STATUS.get(event)
-        legal = target is not None and status not in TERMINAL
-        if event == "canceled":
-            legal = status in CANCELABLE
-        status = target if legal else status
-        statuses.append(status)
-        accepted.append(legal)
-    state.update((status,))
-    yield pd.DataFrame(
-        {"job_id": key[0], "ts": events["ts"].values, "event": events["event"].values,
-         "status": statuses, "accepted": accepted}
-    )
+class JobWalk(StatefulProcessor):
+    """The walk of one job through its states, by event-time timers.
+
+    Events wait, by their millisecond, until the watermark has passed them, so those that come late or in other batches take
+    their place in time; each waiting time has one timer, and timers fire in order.  A job's word of state is kept for
+    ``memory`` after its last event, ended or not, so that an event of an ended job is known to be illegal; then the job leaves the
+    store altogether.
+    """
 
+    def __init__(self, memory: timedelta):
+        self.memory = int(memory.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "events string")
+        self.state = handle.getValueState("state", "status string, last long")  # one timer a job looks whether it may go
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for ms, group in frame.groupby(frame["us"] // 1000):
+                added = [f"{us} {event}" for us, event in zip(group["us"], group["event"], strict=True)]
+                ms = int(ms)
+                held = self.waiting.getValue((ms,))
+                if held is None:
+                    self.handle.registerTimer(ms)
+                else:
+                    added.insert(0, held[0])
+                self.waiting.updateValue((ms,), ("\n".join(added),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, known = expiredTimerInfo.getExpiryTimeInMs(), self.state.get()
+        status, last = known or ("pending", now)
+        held = self.waiting.getValue((now,))
+        if held is None:
+            if now >= last + self.memory:
+                self.state.clear()
+            else:
+                self.handle.registerTimer(last + self.memory)
+            return
+        due = sorted((int(us), event) for us, event in (line.split(" ", 1) for line in held[0].split("\n")))
+        self.waiting.removeKey((now,))
+        rows = []
+        for us, event in due:
+            legal = event in JOB_STATUS and status not in TERMINAL
+            if event == "canceled":
+                legal = status in CANCELABLE
+            status = JOB_STATUS[event] if legal else status
+            rows.append((key[0], us, event, status, legal))
+        self.state.update((status, now))
+        if known is None:
+            self.handle.registerTimer(now + self.memory)
+        yield pd.DataFrame(rows, columns=["job_id", "us", "event", "status", "accepted"])
+
+    def close(self) -> None:
+        pass
+
+
+def job_transitions(events: DataFrame, lateness: str = "1 hour", memory: timedelta = timedelta(days=1)) -> DataFrame:
+    """Every event with the status after it and whether it was allowed, in time order (ties: by name).
+
+    A row comes out once the watermark has passed its event; events that are later than ``lateness`` are dropped.  The state store
+    must be RocksDB's, which this sets where the session names none.
+    """
+    spark = events.sparkSession
+    if spark.conf.get(PROVIDER, None) != ROCKSDB:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    ts = F.col("ts").cast("timestamp")
+    rows = events.select("job_id", ts.alias("ts"), F.unix_micros(ts).alias("us"), "event").withWatermark("ts", lateness)
+    walked = rows.groupBy("job_id").transformWithStateInPandas(JobWalk(memory), TRANSITIONS, "append", "EventTime")
+    return walked.select("job_id", F.timestamp_micros("us").alias("ts"), "event", "status", "accepted")
 
-def job_transitions(events: DataFrame) -> DataFrame:
-    """Every event with the status after it and whether it was allowed.
 
-    The state per job is one word.  Events of a job are taken in time order within a micro-batch.
+class RunningAverage(TieredTable):
+    """Running benchmark per operation over micro-batches: (operation, hundredths, runs).
+
+    A batch's rows are cut into ranges and blocks over all tasks, as in ``ewma``, and carried on from the average before it; so
+    one hot operation is as parallel as many.  Rows are ordered by ``ts`` and what follows in ``order`` within a batch.
     """
-    rows = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event")
-    return rows.groupBy("job_id").applyInPandasWithState(
-        _walk, TRANSITIONS, "status string", "append", GroupStateTimeout.NoTimeout
-    )
 
+    def __init__(self, folder: str, order: tuple[str, ...] = ("ts",), value: str = "duration_ms", **layout):
+        super().__init__(folder, ("operation",), **layout)
+        self.order, self.value = list(order), value
 
-def _average(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hundredths, runs = state.get if state.exists else (None, 0)
-    rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-    for value in rows["duration_ms"].astype("int64"):
-        hundredths = value * 100 if hundredths is None else hundredths * 4 // 5 + value * 20
-    runs += len(rows)
-    state.update((int(hundredths), int(runs)))
-    yield pd.DataFrame({"operation": [key[0]], "runs": [runs], "ewma": [hundredths / 100]})
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        known = self.lookup(batch.select("operation"), before=batch_id)
+        rows = ewma(batch, ["operation"], self.order, self.value, start=known)
+        super().write(rows.select("operation", F.round(F.col("ewma") * 100).cast("long").alias("hundredths"), "runs"), batch_id)
 
+    __call__ = write
 
-def ewma_stream(profiles: DataFrame) -> DataFrame:
-    """Running benchmark per operation; the state is the average and the number of runs."""
-    rows = profiles.select("operation", F.col("ts").cast("timestamp").alias("ts"), "duration_ms")
-    return rows.groupBy("operation").applyInPandasWithState(
-        _average, "operation string, runs long, ewma double", "hundredths long, runs long", "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    def averages(self, spark: SparkSession) -> DataFrame:
+        return self.read(spark).select("operation", "runs", (F.col("hundredths") / 100).alias("ewma"))
 
 
 def event_counts(events: DataFrame, kind: str = "event_type", ts: str = "ts", width: str = "1 day",
