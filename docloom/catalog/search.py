@@ -8,6 +8,8 @@ from docloom.catalog.entities import ENTITIES_SQL, stored
 from docloom.catalog.registered import query
 from docloom.operators import search as R
 from docloom.operators.joins import in_search_result
+from docloom.operators.stored_search import SubstringIndex, TokenIndex
+from docloom.session import scratch
 from docloom.sources.tables import load, spread
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
@@ -22,11 +24,22 @@ def postings(spark, folder):
     return R.build_index(documents(spark, folder), "doc_id", ["text"])
 
 
+def stored_postings(spark, folder):
+    index = TokenIndex(scratch(spark, "postings"), "doc_id")
+    index.write(postings(spark, folder))
+    return index
+
+
 @query("r01_build_index", POSTINGS_SQL)
 def r01(spark, folder):
     return postings(spark, folder)
 
 
+@query("r01_stored_index", POSTINGS_SQL)
+def r01_stored(spark, folder):
+    return stored_postings(spark, folder).read(spark)
+
+
 @query(
     "r02_build_entity_index",
     f"""SELECT token, entity_id, count(*) AS tf FROM (
@@ -55,7 +68,7 @@ def r03(spark, folder):
         GROUP BY doc_id HAVING count(*) FILTER (token = 'the') > 0 AND count(*) FILTER (token = 'and') > 0 AND count(*) FILTER (starts_with(token, 'thr')) > 0""",
 )
 def r04(spark, folder):
-    return R.search_index(postings(spark, folder), "The AND thr", "doc_id")
+    return stored_postings(spark, folder).search(spark, "The AND thr")
 
 
 @query(
@@ -66,6 +79,16 @@ def r05(spark, folder):
     return R.search_like(spread(load(spark, folder, "pages")), "TION the", ["html", "url"]).select("page_id", "url")
 
 
+@query(
+    "r05_stored_substring_search",
+    "SELECT page_id, url FROM pages WHERE contains(lower(html), 'tion the') OR contains(lower(url), 'tion the')",
+)
+def r05_stored(spark, folder):
+    index = SubstringIndex(scratch(spark, "grams"), "page_id", ("html", "url"))
+    index.build(load(spark, folder, "pages"))
+    return index.search(spark, "TION the").select("page_id", "url")
+
+
 def _snippet_sql(column: str, query_text: str, table: str) -> str:
     at = f"(strpos(lower({column}), '{query_text.lower()}') - 1)"
     start = f"greatest({at} - 30, 0)"
@@ -128,5 +151,5 @@ def r08(spark, folder):
     f"""SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM ({POSTINGS_SQL}) WHERE starts_with(token, 'license'))""",
 )
 def j12(spark, folder):
-    hits = R.search_index(postings(spark, folder), "license", "doc_id")
+    hits = stored_postings(spark, folder).search(spark, "license")
     return in_search_result(load(spark, folder, "documents").select("doc_id", "source"), hits, "doc_id")
