@@ -12,9 +12,10 @@ from docloom.functions.names import normalize_name
 from docloom.operators import consolidate as C
 from docloom.operators.extraction import extract, extract_code
 from docloom.operators.rules import CODE_RULES, PROSE_RULES
+from docloom.operators.snapshots import BucketedTable
 from docloom.operators.stats import entity_type_counts, links_per_content, with_content_count
 from docloom.options import ExtractOptions
-from docloom.session import cut_lineage
+from docloom.session import cut_lineage, scratch
 from docloom.sources.tables import load
 
 # ------------------------------------------------------------------ shared tables, in both forms
@@ -33,18 +34,23 @@ def mentions(spark, folder):
     return extract(notes(spark, folder), ["doc_id"], "text", PROSE_RULES, one_pass=True)
 
 
-def stored(spark, folder, twice=False):
+def stored(spark, folder, twice=False, rules=PROSE_RULES):
     """Entity and link tables of the annotated documents.
 
-    ``twice`` is for queries that read both: the mentions are checkpointed and extracted once.
+    ``twice`` is for queries that read both: the mentions are checkpointed and extracted once.  ``rules`` may be those of
+    the types of entity that a query asks for.
     """
     docs = notes(spark, folder).withColumn("content_type", F.expr(CONTENT_TYPE))
-    rows = extract(docs, ["doc_id", "content_type"], "text", PROSE_RULES)
+    rows = extract(docs, ["doc_id", "content_type"], "text", rules)
     if twice:
         rows = cut_lineage(rows)
     return C.store_entities(rows.withColumnRenamed("doc_id", "content_id"))
 
 
+def rules_of(entity_type):
+    return tuple(rule for rule in PROSE_RULES if rule.entity_type == entity_type)
+
+
 def content(spark, folder):
     docs = load(spark, folder, "documents")
     return docs.select(
@@ -140,23 +146,34 @@ def m05(spark, folder):
     return C.upsert_entities(old, rows, ["doc_id", "ordinal"])
 
 
-@query(
-    "m06_upsert_links",
-    """SELECT l_orderkey AS content_id, 'order' AS content_type, l_suppkey AS entity_id,
+LINE_LINKS_SQL = """SELECT l_orderkey AS content_id, 'order' AS content_type, l_suppkey AS entity_id,
         arg_max(l_quantity, (l_shipdate, l_linenumber, l_partkey)) AS relevance,
-        arg_max(l_returnflag, (l_shipdate, l_linenumber, l_partkey)) AS context FROM lineitem GROUP BY 1, 2, 3""",
-)
-def m06(spark, folder):
+        arg_max(l_returnflag, (l_shipdate, l_linenumber, l_partkey)) AS context FROM lineitem GROUP BY 1, 2, 3"""
+LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey"]
+
+
+def _line_links(spark, folder):
+    """Links of order lines, split by date: the newer ones overwrite the older."""
     rows = load(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("content_id"), F.lit("order").alias("content_type"),
         F.col("l_suppkey").alias("entity_id"), F.col("l_quantity").alias("relevance"),
-        F.col("l_returnflag").alias("context"), "l_shipdate", "l_linenumber", "l_partkey",
+        F.col("l_returnflag").alias("context"), *LINE_ORDER,
     )
-    order = ["l_shipdate", "l_linenumber", "l_partkey"]
-    cut = F.lit("1999-01-01").cast(rows.schema["l_shipdate"].dataType)
-    # Split by date into a stored table and new rows: the newer ones overwrite.
-    old = C.upsert_links(None, rows.filter(F.col("l_shipdate") < cut), order)
-    return C.upsert_links(old, rows.filter(F.col("l_shipdate") >= cut), order)
+    newer = F.col("l_shipdate") >= F.lit("1999-01-01").cast(rows.schema["l_shipdate"].dataType)
+    return rows.filter(~newer), rows.filter(newer)
+
+
+@query("m06_upsert_links", LINE_LINKS_SQL)
+def m06(spark, folder):
+    old, new = _line_links(spark, folder)
+    return C.upsert_links(C.upsert_links(None, old, LINE_ORDER), new, LINE_ORDER)
+
+
+@query("m06_bucketed_upsert", LINE_LINKS_SQL)
+def m06_bucketed(spark, folder):
+    old, new = (C.upsert_links(None, rows, LINE_ORDER) for rows in _line_links(spark, folder))
+    table = BucketedTable(scratch(spark, "links"), tuple(C.LINK)).write(old)
+    return table.upsert(new)
 
 
 @query("m07_stored_entities", f"{ENTITIES_SQL}")
@@ -171,13 +188,13 @@ def m07_links(spark, folder):
 
 
 @query("m08_mentions_with_source",
-       f"SELECT doc_id, name, 'frame' AS source FROM ({MENTIONS_SQL}) WHERE entity_type = 'person' UNION ALL "
-       f"SELECT doc_id, name, 'audio' AS source FROM ({MENTIONS_SQL}) WHERE entity_type = 'date'")
+       f"SELECT doc_id, name, 'video_frame' AS source, 'Frame ' || (doc_id % 7 + 1) AS timestamp FROM ({MENTIONS_SQL}) WHERE entity_type = 'person' UNION ALL "
+       f"SELECT doc_id, name, 'audio' AS source, NULL AS timestamp FROM ({MENTIONS_SQL}) WHERE entity_type = 'date'")
 def m08(spark, folder):
     rows = mentions(spark, folder).select("doc_id", "entity_type", "name")
-    frame = C.with_source(rows.filter(F.col("entity_type") == "person"), "frame")
+    frame = C.with_frame(rows.filter(F.col("entity_type") == "person"), F.col("doc_id") % 7)
     audio = C.with_source(rows.filter(F.col("entity_type") == "date"), "audio")
-    return frame.unionByName(audio).drop("entity_type")
+    return frame.unionByName(audio.withColumn("timestamp", F.lit(None).cast("string"))).drop("entity_type")
 
 
 @query(

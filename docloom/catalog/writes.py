@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from docloom.catalog.content import sniff_sql
+from docloom.catalog.entities import LINKS_SQL
 from docloom.catalog.graph import GRAPH_EDGES, GRAPH_ENTITIES, graph
 from docloom.catalog.registered import query
+from docloom.catalog.views import LOG_SQL, NOTES_SQL, PROFILES_SQL, log_lines, notes, profiles
 from docloom.operators import tables as Y
+from docloom.operators.joins import union_of_matches
 from docloom.operators.lists import select_items
-from docloom.session import ensure_checkpoint_dir
+from docloom.operators.snapshots import BucketedTable
+from docloom.plans.pipeline import ingest_to
+from docloom.session import scratch
 from docloom.sources import files as S
+from docloom.sources.logs import read_logs, read_profiles
 from docloom.sources.tables import load, write_table
-
-
-def scratch(spark, name: str) -> str:
-    """A new folder in the shared folder the session names."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from docloom.streaming.ingest import LatestRows, run_available, stream_files
 
 
 @query(
     "y01_insert_unique",
-    """WITH old AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
+    _INSERTED := """WITH old AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
  new AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)
 SELECT * FROM old UNION ALL SELECT * FROM new WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM old)""",
 )
@@ -33,6 +34,14 @@ def y01(spark, folder):
     return Y.insert_unique(old, rows, keys, ["l_partkey"])
 
 
+@query("y01_bucketed_insert", _INSERTED)
+def y01_bucketed(spark, folder):
+    rows = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    keys = ["l_orderkey", "l_linenumber"]
+    old, new = (Y.insert_unique(rows.limit(0), r, keys, ["l_partkey"]) for r in (rows.filter("l_linenumber <= 3"), rows))
+    return BucketedTable(scratch(spark, "lines"), tuple(keys)).write(old).insert(new)
+
+
 @query(
     "y02_patch_metadata",
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"k":"' || (props ->> '$.k') || '","seen":"yes"}' ELSE props END AS metadata,
@@ -141,6 +150,10 @@ def y09(spark, folder):
 PAGES_PER_FILE = 1000
 
 
+#: Above any file; the query shows admission by size and drops nothing.
+NO_LIMIT = 1 << 60
+
+
 def _export(spark, folder, name: str) -> str:
     """The page texts as files, one folder per part; every task of the scan writes files of its own."""
     target = scratch(spark, name)
@@ -157,7 +170,7 @@ def _export(spark, folder, name: str) -> str:
 def s01(spark, folder):
     """Directory scan, suffix filter, size admission and whole-file text over written files."""
     files = S.scan_files(spark, _export(spark, folder, "scan"))
-    files = S.filter_max_size(S.filter_extensions(files, "*.txt,.md"))
+    files = S.filter_max_size(S.filter_extensions(files, "*.txt,.md"), NO_LIMIT)
     files = S.filter_files(files, F.col("length") > 0)
     rows = files.select(
         F.regexp_extract("path", "part=(p[0-9])", 1).alias("part"), "length", S.text_of(F.col("content")).alias("text"))
@@ -166,17 +179,76 @@ def s01(spark, folder):
         F.sum("length").alias("bytes"))
 
 
-@query("s04_s05_s06_named_files", "SELECT 'p0' AS part, count(*) AS pages FROM pages WHERE page_id % 3 = 0")
+@query("s04_s05_s06_named_files", "SELECT 'p' || page_id % 3 AS part, count(*) AS pages FROM pages GROUP BY 1")
 def s05(spark, folder):
-    """The files of one part, taken from a scan and read again by name; a list of names has 10,000 at most."""
-    found = S.cap_files(S.scan_files(spark, _export(spark, folder, "named") + "/part=p0", glob="*.txt"), 10_000)
-    names = [row.path for row in found.select("path").collect()]
-    rows = S.scan_paths(spark, names).select(
+    """The files of all parts, whatever their number: a scan finds them, and their folders are read again by name."""
+    found = S.cap_files(S.scan_files(spark, _export(spark, folder, "named"), glob="*.txt"), 0)
+    folders = found.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct()
+    rows = S.scan_paths(spark, [row.folder for row in folders.collect()]).select(  # one name a part
         F.regexp_extract("path", "part=(p[0-9])", 1).alias("part"), S.text_of(F.col("content")).alias("text"))
     return rows.groupBy("part").agg(
         F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("pages"))
 
 
+_PARTS = "SELECT 'p' || page_id % 3 AS part, count(*) AS pages FROM pages GROUP BY 1"
+
+
+@query("t01_streamed_files", _PARTS)
+def t01_files(spark, folder):
+    """Files of a folder as a stream, whole texts as rows, the newest version of each file."""
+    base, source = scratch(spark, "files"), _export(spark, folder, "stream")
+    files = stream_files(spark, source, "*.txt")
+    sink = LatestRows(f"{base}/rows", ("path",))
+    run_available(files, sink, f"{base}/checkpoint")
+    rows = sink.read(spark).withColumn("part", F.regexp_extract("path", "part=(p[0-9])", 1))
+    return rows.groupBy("part").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("pages"))
+
+
+@query(
+    "s10_log_files",
+    f"""SELECT line ->> '$.level' AS level, line ->> '$.context.module' AS module, CAST(line ->> '$.context.line' AS INTEGER) AS line_number, count(*) AS records
+        FROM (SELECT {LOG_SQL} AS line FROM events) GROUP BY 1, 2, 3""",
+)
+def s10_files(spark, folder):
+    """JSON-lines files, one folder a log, read with the schema of a log record."""
+    path = scratch(spark, "logs")
+    log_lines(spark, folder).select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    rows = read_logs(spark, path)
+    return rows.groupBy("level", "context.module", F.col("context.line").alias("line_number")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(
+    "s11_profile_files",
+    f"""SELECT operation, CASE WHEN mem_diff % 2 = 0 THEN 'u' || mem_diff || ':x' END AS info, duration_ms, mem_diff, CAST(cpu AS DOUBLE) AS cpu FROM ({PROFILES_SQL})""",
+)
+def s11_files(spark, folder):
+    """CSV files without a header, the operation with its info in the first column."""
+    path = scratch(spark, "profiles")
+    even = F.col("mem_diff") % 2 == 0
+    name = F.when(even, F.concat("operation", F.lit(":u"), F.col("mem_diff").cast("string"), F.lit(":x"))).otherwise(F.col("operation"))
+    rows = profiles(spark, folder).select(name.alias("operation"), "duration_ms", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"), "mem_diff", "cpu")
+    rows.write.csv(path)
+    return read_profiles(spark, path).select("operation", "info", "duration_ms", "mem_diff", "cpu")
+
+
+@query("l01_ingested_chain_links", f"SELECT DISTINCT CAST(content_id AS VARCHAR) AS content_id, entity_id, relevance FROM ({LINKS_SQL})")
+def ingested_links(spark, folder):
+    """The whole chain from texts to links, written as a snapshot."""
+    tables = ingest_to(scratch(spark, "chain"), notes(spark, folder), "doc_id")
+    return tables.links.select("content_id", "entity_id", "relevance")
+
+
+@query(
+    "l01_ingested_chain_content",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS content_id, {sniff_sql('text')} AS content_type, md5(text) AS hash, octet_length(encode(text)) AS size,
+        CAST(floor(octet_length(encode(text)) / 4) AS BIGINT) AS tokens, CAST(1 AS BIGINT) AS chunks FROM ({NOTES_SQL})""",
+)
+def ingested_content(spark, folder):
+    tables = ingest_to(scratch(spark, "chain"), notes(spark, folder), "doc_id")
+    chunks = tables.chunks.groupBy("content_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return tables.content.join(chunks, "content_id").select("content_id", "content_type", "hash", "size", "tokens", "chunks")
+
+
 @query(
     "s07_inline_items",
     "SELECT conv_id || '.' || turn AS item_id, text AS content, 'text/plain' AS content_type, CAST(0 AS INTEGER) AS priority FROM conversations",
@@ -199,5 +271,5 @@ def s12(spark, folder):
 @query("u01_union_of_matches",
        "SELECT DISTINCT doc_id FROM (SELECT doc_id FROM documents WHERE contains(text, 'License') UNION ALL SELECT doc_id FROM labels WHERE toxic = 1)")
 def u01(spark, folder):
-    a = load(spark, folder, "documents").filter(F.col("text").contains("License")).select("doc_id")
-    return a.unionByName(load(spark, folder, "labels").filter("toxic = 1").select("doc_id")).distinct()
+    named = load(spark, folder, "documents").filter(F.col("text").contains("License"))
+    return union_of_matches([named, load(spark, folder, "labels").filter("toxic = 1")], ["doc_id"])
