@@ -463,10 +463,10 @@ def s14(spark, folder):
 )
 def g01(spark, folder):
     def hook(name):
-        return lambda df: df.select("id", "mime", F.lit(name).alias("hook"), F.length("text").cast("long").alias("size"))
+        return lambda: F.array(F.struct("id", "mime", F.lit(name).alias("hook"), F.length("text").cast("long").alias("size")))
 
-    registry = Registry().register("text/html", hook("page")).register("text/*", hook("text"))
-    registry.register("application/*", hook("data"))
+    registry = Registry().register_rows("text/html", hook("page")).register_rows("text/*", hook("text"))
+    registry.register_rows("application/*", hook("data"))
     rows = all_texts(spark, folder).withColumn("mime", mime_by_text(F.col("text")))
     return registry.apply(rows, "mime")
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.catalog.entities import CONTENT_SQL, ENTITIES_SQL, STORED_SQL, content, stored
+from docloom.catalog.entities import CONTENT_SQL, ENTITIES_SQL, STORED_SQL, content, rules_of, stored
 from docloom.catalog.registered import query
 from docloom.catalog.views import ITEMS_SQL, batch_items
 from docloom.operators import joins as J
 from docloom.operators import lists as P
 from docloom.operators import ordering as O
+from docloom.session import cut_lineage
 from docloom.sources.tables import load
 
 TYPED_LINKS = (
@@ -122,6 +123,17 @@ def j01(spark, folder):
     return J.entities_of(links, entities, 14).select("entity_id", "name", "entity_type", "relevance")
 
 
+@query(
+    "j01_entities_with_mentions",
+    f"""SELECT entity_id, name, type, count(*) AS n_mentions, list(relevance ORDER BY relevance DESC) AS relevances
+        FROM (SELECT DISTINCT entity_id, name, entity_type AS type, relevance FROM ({STORED_SQL}) WHERE content_id = 14) GROUP BY 1, 2, 3""",
+)
+def j01_nested(spark, folder):
+    entities, links = stored(spark, folder, twice=True)
+    rows = J.entities_with_mentions(links, entities, 14)
+    return rows.select("entity_id", "name", "type", F.size("mentions").cast("long").alias("n_mentions"), F.col("mentions.relevance").alias("relevances"))
+
+
 @query(
     "j02_content_mentioning",
     f"""SELECT DISTINCT s.content_id, s.name, s.relevance, c.title FROM ({STORED_SQL}) s JOIN ({CONTENT_SQL}) c USING (content_id)
@@ -141,7 +153,8 @@ WHERE l.entity_id IN (SELECT entity_id FROM links WHERE content_id = 14) AND l.c
 GROUP BY l.content_id, c.source ORDER BY matching_entities DESC, content_id LIMIT 10""",
 )
 def j03(spark, folder):
-    _, links = stored(spark, folder, twice=True)
+    # Only the two ids are written, so contexts are neither made nor stored.
+    links = cut_lineage(stored(spark, folder)[1].select("content_id", "entity_id"))
     return J.related_content(links, content(spark, folder).select("content_id", "source"), 14)
 
 
@@ -174,7 +187,7 @@ def j05(spark, folder):
         ORDER BY s.relevance DESC, encode(s.name), s.content_id LIMIT 10""",
 )
 def j07(spark, folder):
-    entities, links = stored(spark, folder, twice=True)
+    entities, links = stored(spark, folder, rules=rules_of("person"))
     return J.top_mentions(entities, links, "person", "text/plain", 0.7, 10)
 
 

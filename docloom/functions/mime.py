@@ -39,6 +39,7 @@ MIME_BY_EXTENSION = {
     "bin": "application/octet-stream", "iso": "application/x-iso9660-image",
 }
 
+# Fixed value: how many opening characters are looked at unless a caller says otherwise.
 SNIFF_LENGTH = 4096
 
 
@@ -74,9 +75,10 @@ def mime_by_text(text: Column) -> Column:
     )
 
 
-def detect_content_type(path: Column, text: Column) -> Column:
-    """By suffix, else by the opening characters of the text."""
-    return F.coalesce(mime_by_extension(path), mime_by_text(F.substring(text, 1, SNIFF_LENGTH)))
+def detect_content_type(path: Column, text: Column, sniff: int | None = SNIFF_LENGTH) -> Column:
+    """By suffix, else by the opening characters of the text; ``None`` looks at all of it."""
+    head = text if sniff is None else F.substring(text, 1, sniff)
+    return F.coalesce(mime_by_extension(path), mime_by_text(head))
 
 
 def mime_by_first_line(text: Column) -> Column:

@@ -173,6 +173,16 @@ def with_source(mentions: DataFrame, source: str) -> DataFrame:
     return mentions.withColumn("source", F.lit(source))
 
 
+# The origin of a frame's mentions, and how its place is named.
+FRAME_SOURCE, FRAME_NAME = "video_frame", "Frame "
+
+
+def with_frame(mentions: DataFrame, index: Column) -> DataFrame:
+    """Mentions of a frame with their origin and the frame's name; ``index`` counts from 0, names from 1."""
+    named = F.concat(F.lit(FRAME_NAME), (index + 1).cast("string"))
+    return with_source(mentions, FRAME_SOURCE).withColumn("timestamp", named)
+
+
 def tag_mentions(mentions: Column, source: str) -> Column:
     """The same on nested mentions."""
     return F.transform(mentions, lambda m: m.withField("source", F.lit(source)))

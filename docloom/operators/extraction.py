@@ -271,26 +271,27 @@ def _place(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def extract(df: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] = PROSE_RULES,
-            language: str | None = None, options: ExtractOptions | None = None, one_pass: bool = False) -> DataFrame:
+            language: str | None = None, options: ExtractOptions | None = None, one_pass: bool = True) -> DataFrame:
     """Mention rows of every text: one row per rule, pattern and distinct match.
 
-    ``ordinal`` is the order of the mention in its text (rule order, then binary order).  Line and context come
-    from built-in functions, whose cost is text length times names; with ``one_pass`` an Arrow function finds them
-    in one pass over each text, as texts with thousands of names need.  The rows are the same.
+    ``ordinal`` is the order of the mention in its text (rule order, then binary order).  An Arrow function finds lines and
+    contexts in one pass over each text.  Without ``one_pass`` built-in functions do, which cost text length times names: less for
+    short texts with few names.  The rows are the same.
     """
     keep = list(dict.fromkeys([*keys, text]))
     rows = with_candidates(df, keep, text, rules, language, options)
     if one_pass:
         # Places are found ahead of the explode, so that no mention row carries the text.
         spots = _spots(F.col(text), F.col("_candidates.match"), F.col("_candidates.width"))
-        rows = rows.select(*keys, "_candidates", spots.alias("_spots"))
-        keep, spot = [*keys, "_spots"], F.get("_spots", F.col("ordinal"))
-    rows = rows.select(*keep, F.posexplode_outer("_candidates").alias("ordinal", "_c"))
-    rows = rows.filter(F.length(strip(F.col("_c.match"))) > 0)
-    c = F.col("_c")
+        rows = rows.select(*keys, F.col("_candidates").alias("c"), spots.alias("s"))
+        keep = keys
+    each = F.arrays_zip("c", "s") if one_pass else F.col("_candidates")
+    rows = rows.select(*keep, F.posexplode_outer(each).alias("ordinal", "_c"))
+    c, spot = (F.col("_c.c"), F.col("_c.s")) if one_pass else (F.col("_c"), None)
+    rows = rows.filter(F.length(strip(c["match"])) > 0)
     described = F.coalesce(c["description"], F.concat(c["label"], F.lit(": "), c["name"]))
     placed = [spot["context"].alias("context"), spot["position"].alias("position")] if one_pass else []
-    rows = rows.select(*(keys if one_pass else keep), c["match"].alias("match"), c["rule_id"].alias("rule_id"), "ordinal",
+    rows = rows.select(*keep, c["match"].alias("match"), c["rule_id"].alias("rule_id"), "ordinal",
                        c["name"].alias("name"), c["entity_type"].alias("entity_type"),
                        described.alias("description"), *placed, c["width"].alias("width"),
                        c["relevance"].alias("relevance"))
@@ -302,15 +303,15 @@ def extract(df: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rul
 
 
 def extract_document_text(df: DataFrame, keys: list[str], text: str = "text",
-                          options: ExtractOptions | None = None, one_pass: bool = False) -> DataFrame:
+                          options: ExtractOptions | None = None, one_pass: bool = True) -> DataFrame:
     """The rules for text taken from paged documents; names come out normalised."""
     return extract(df, keys, text, DOCUMENT_RULES, None, options, one_pass)
 
 
 def extract_code(df: DataFrame, keys: list[str], text: str = "text", language: str = "language",
-                 options: ExtractOptions | None = None) -> DataFrame:
+                 options: ExtractOptions | None = None, one_pass: bool = True) -> DataFrame:
     """Code rules: the common set first, then those of the row's language."""
-    return extract(df, keys, text, CODE_RULES, language, options)
+    return extract(df, keys, text, CODE_RULES, language, options, one_pass)
 
 
 def extract_result(df: DataFrame, keys: list[str], text: str = "text",
@@ -328,47 +329,48 @@ def extract_result(df: DataFrame, keys: list[str], text: str = "text",
     )
 
 
-def _offset_mention(entity_type: str, relevance: float):
-    return lambda m: F.struct(
-        m["name"].alias("name"), F.lit(entity_type).alias("entity_type"),
-        m["at"].alias("position"), F.lit(relevance).alias("relevance"),
-    )
+def offsets_of(text: str, names: list[str], gaps: list[int], sizes: list[int]) -> list[dict]:
+    """Offset and surroundings of each name, given the lengths of the gaps ahead of it; ``sizes`` names of a rule start over."""
+    out, at = [], 0
+    for size in sizes:
+        here = 0
+        for name, gap in zip(names[at:at + size], gaps[at:at + size], strict=True):
+            here += gap
+            out.append({"position": here, "context": text[max(0, here - OFFSET_WIDTH):here + len(name) + OFFSET_WIDTH]})
+            here += len(name)
+        at += size
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("position", "integer").add("context", "string")))
+def _offsets(text: pa.Array, names: pa.Array, gaps: pa.Array, sizes: pa.Array) -> pa.Array:
+    """``offsets_of`` for every row; running sums as array expressions would copy what is summed for each match."""
+    kind = pa.list_(pa.struct([("position", pa.int32()), ("context", pa.string())]))
+    rows = zip(text, names, gaps, sizes, strict=True)
+    return pa.array((offsets_of(*(x.as_py() for x in row)) if row[0].is_valid else [] for row in rows), kind)
+
+
+def _typed(entity_type: str, relevance: float):
+    return lambda m: F.struct(m.alias("name"), F.lit(entity_type).alias("entity_type"), F.lit(relevance).alias("relevance"))
 
 
 def extract_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Every match of the offset rules with its 0-based character offset and its surroundings."""
-    body = F.col(text)
-    per_rule = []
-    for entity_type, relevance, pattern in OFFSET_RULES:
-        # What lies between matches: lengths of gaps and names add up to offsets, in two linear passes.
-        names = find_all(body, pattern)
-        gaps = F.slice(F.split(body, pattern, -1), 1, F.size(names))
-        steps = F.arrays_zip(gaps.alias("gap"), names.alias("name"))
-        start = F.struct(
-            F.lit(0).alias("next"),
-            F.array().cast("array<struct<name:string,at:int>>").alias("out"),
-        )
-        walked = F.aggregate(
-            steps, start,
-            lambda acc, step: F.struct(
-                (acc["next"] + F.length(step["gap"]) + F.length(step["name"])).alias("next"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(step["name"].alias("name"),
-                                     (acc["next"] + F.length(step["gap"])).alias("at"))),
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        per_rule.append(F.transform(walked, _offset_mention(entity_type, relevance)))
-    rows = explode_once(df, dict.fromkeys([*keys, text]), F.concat(*per_rule), "_m")
-    start = F.greatest(F.col("position") - OFFSET_WIDTH, F.lit(0))
-    end = F.col("position") + F.length("name") + OFFSET_WIDTH
-    return (
-        rows.select(*keys, text, "ordinal", "_m.*")
-        .withColumn("context", F.substring(F.col(text), start + 1, end - start))
-        .drop(*(() if text in keys else (text,)))
-    )
+    """Every match of the offset rules with its 0-based character offset and its surroundings.
+
+    Matches and what lies between them come from two linear scans per rule; offsets are the running sums of their lengths.
+    """
+    body, found = F.col(text), {}
+    for at, (entity_type, relevance, pattern) in enumerate(OFFSET_RULES):
+        found[f"_names{at}"] = find_all(body, pattern)
+        found[f"_gaps{at}"] = F.transform(F.split(body, pattern, -1), F.length)
+    rows = df.select(*dict.fromkeys([*keys, text]), *[c.alias(n) for n, c in found.items()])
+    names = [F.col(f"_names{at}") for at in range(len(OFFSET_RULES))]
+    gaps = [F.slice(f"_gaps{at}", F.lit(1), F.size(n)) for at, n in enumerate(names)]
+    spots = _offsets(body, F.concat(*names), F.concat(*gaps), F.array(*map(F.size, names)))
+    kinds = [F.transform(n, _typed(kind, relevance)) for n, (kind, relevance, _) in zip(names, OFFSET_RULES, strict=True)]
+    rows = rows.select(*keys, F.concat(*kinds).alias("m"), spots.alias("s"))
+    rows = explode_once(rows, keys, F.arrays_zip("m", "s"), "_z")
+    return rows.select(*keys, "ordinal", "_z.m.name", "_z.m.entity_type", "_z.s.position", "_z.m.relevance", "_z.s.context")
 
 
 def _plain(keys: list[str], df: DataFrame, names: Column) -> DataFrame:

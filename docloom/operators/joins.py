@@ -6,6 +6,8 @@ measured size allows it.  Nothing here pairs the members of a group with each ot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,23 @@ def entities_of(links: DataFrame, entities: DataFrame, content_id: object,
     )
 
 
+def entities_with_mentions(links: DataFrame, entities: DataFrame, content_id: object,
+                           content_type: str | None = None) -> DataFrame:
+    """Entities of a content item, each with its mentions as a list, most relevant first.
+
+    The lists are of one item; a mention's place in the text is not stored, so its position is 0.
+    """
+    mine = links.filter(F.col("content_id") == F.lit(content_id))
+    if content_type is not None:
+        mine = mine.filter(F.col("content_type") == content_type)
+    mention = F.struct((-F.col("relevance")).alias("_order"), "context", F.lit(0).alias("position"), "relevance")
+    listed = mine.groupBy("entity_id").agg(F.array_sort(F.collect_list(mention)).alias("_m"))
+    plain = F.transform("_m", lambda m: m.dropFields("_order")).alias("mentions")
+    rows = listed.select("entity_id", plain).join(entities, "entity_id")
+    return rows.select("entity_id", "name", F.col("entity_type").alias("type"), "description", "mentions").orderBy(
+        F.desc(F.col("mentions")[0]["relevance"]), "type", "name")
+
+
 def content_mentioning(content: DataFrame, links: DataFrame, entities: DataFrame, name: str,
                        entity_type: str | None = None) -> DataFrame:
     """Content linked to an entity whose name contains the given text."""
@@ -80,8 +99,8 @@ def get_entity(entities: DataFrame, mentions: DataFrame, entity_id: str | None =
 
 
 def related_entities(edges: DataFrame, entities: DataFrame, entity_id: object,
-                     relationship_type: str | None = None, limit: int = 20) -> DataFrame:
-    """Entities on the other end of the edges of one entity, with the direction."""
+                     relationship_type: str | None = None, limit: int = 20, cap: int | None = RELATED_ENTITY_CAP) -> DataFrame:
+    """Entities on the other end of the edges of one entity, with the direction; a limit above ``cap`` counts as ``cap``."""
     if relationship_type is not None:
         edges = edges.filter(F.col("relationship_type") == relationship_type)
     me = F.lit(entity_id)
@@ -92,7 +111,7 @@ def related_entities(edges: DataFrame, entities: DataFrame, entity_id: object,
         F.col("source_id").alias("entity_id"), "relationship_type", F.lit("incoming").alias("direction")
     )
     both = outgoing.unionByName(incoming).join(entities, "entity_id")
-    return both.orderBy("direction", "relationship_type", "entity_id").limit(min(limit, RELATED_ENTITY_CAP))
+    return both.orderBy("direction", "relationship_type", "entity_id").limit(limit if cap is None else min(limit, cap))
 
 
 def top_mentions(entities: DataFrame, links: DataFrame, entity_type: str, content_type: str,
@@ -107,14 +126,20 @@ def top_mentions(entities: DataFrame, links: DataFrame, entity_type: str, conten
     )
 
 
+def judge_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges with ``valid``: whether both ends exist.  One scan of the edges, whichever side is asked for."""
+    ids = entities.select("entity_id").distinct()
+    source = ids.select(F.col("entity_id").alias("source_id"), F.lit(True).alias("_source"))
+    target = ids.select(F.col("entity_id").alias("target_id"), F.lit(True).alias("_target"))
+    joined = edges.join(source, "source_id", "left").join(target, "target_id", "left")
+    valid = F.col("_source").isNotNull() & F.col("_target").isNotNull()
+    return joined.select(*edges.columns, valid.alias("valid"))
+
+
 def check_edges(edges: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges whose two ends exist, and the rejected others."""
-    ids = entities.select("entity_id")
-    source, target = ids.withColumnRenamed("entity_id", "source_id"), ids.withColumnRenamed("entity_id", "target_id")
-    valid = edges.join(source, "source_id", "left_semi").join(target, "target_id", "left_semi")
-    no_source = edges.join(source, "source_id", "left_anti")
-    no_target = edges.join(source, "source_id", "left_semi").join(target, "target_id", "left_anti")
-    return valid, no_source.unionByName(no_target)
+    judged = judge_edges(edges, entities)
+    return judged.filter("valid").drop("valid"), judged.filter("NOT valid").drop("valid")
 
 
 def with_tag(content: DataFrame, content_tags: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
@@ -136,3 +161,8 @@ def key_lookup_join(data: DataFrame, index: DataFrame, key: str, k: int = 20) ->
 def in_search_result(df: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in a search result."""
     return df.join(hits.select(key), key, "left_semi")
+
+
+def union_of_matches(matches: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Keys that any of the lists of matches has, once each; repeats of a list are folded ahead of the shuffle."""
+    return reduce(lambda a, b: a.unionByName(b), [m.select(*keys) for m in matches]).distinct()

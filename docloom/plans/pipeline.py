@@ -96,7 +96,7 @@ def ingest_to(folder: str, df: DataFrame, key: str, text: str = "text", path: st
         return spark.read.parquet(f"{folder}/{name}")
 
     content = written("content", lazy.content, "kind")
-    chunks = written("chunks", lazy.chunks)
+    chunks = written("chunks", as_chunks(content, chunking, text))
     mentions = written("mentions", as_mentions(chunks, rules, extraction))
     entities, links = store_entities(mentions, order=["chunk_index", "ordinal"])
     return Ingested(content, chunks, mentions, written("entities", entities), written("links", links))

@@ -11,15 +11,17 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, heaviest: int = 64) -> DataFrame:
-    """Use all cores for CPU-heavy work on an input of very few files.
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on an input that fewer tasks than cores would read.
 
-    A large table has more files than there are cores and stays where it is; only a table of a few
-    files, which one or two tasks would read, is dealt out.
+    The planner's estimate of the input decides, so no file is listed for it; the rows are the same either way.  An input of more
+    than one scan task a core stays where it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores * 2) if 0 < files < min(cores, heaviest) else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    task = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores * 2) if size < cores * task else df
 
 
 def run_select(spark: SparkSession, sql: str, args: dict | list | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def test_position_and_context_follow_the_model(spark, small):
     assert got
     for r in got:
         assert (r.position, r.context) == context_model(body[r.doc_id], r.match, 30), r
-    assert sorted(got) == sorted(extract(rows, ["doc_id"], one_pass=True).collect())
+    assert sorted(got) == sorted(extract(rows, ["doc_id"], one_pass=False).collect())
 
 
 def test_places_in_a_long_text(spark):
@@ -99,6 +99,23 @@ def test_offsets(spark):
         assert r.context == text[max(0, r.position - 20):r.position + len(r.name) + 20]
 
 
+def test_offsets_of_many_matches(spark):
+    """The work grows with the text: twice the matches cost about twice the time."""
+    def timed(n):
+        body = " ".join(f"on 2024-1-{k % 28 + 1} ok" for k in range(n))
+        start = time.time()
+        rows = extract_offsets(texts(spark, body), ["id"]).select("name", "position", "context").collect()
+        spent = time.time() - start
+        assert len(rows) == n and all(r.context == body[max(0, r.position - 20):r.position + len(r.name) + 20] for r in rows)
+        assert all(body[r.position:r.position + len(r.name)] == r.name for r in rows)
+        return spent
+
+    timed(2_000)
+    one, two = (min(timed(n), timed(n)) for n in (40_000, 80_000))
+    assert one < 3 and two < max(2.5 * one, 2)
+    assert extract_offsets(texts(spark, None, "", "nothing"), ["id"]).count() == 0
+
+
 def test_json_keys_and_tags(spark):
     df = texts(spark, '{"b": 1, "a": {"c": 2}}', "{broken", "[1, 2]")
     assert [r.name for r in extract_json_keys(df, ["id"]).orderBy("ordinal").collect()] == ["a", "b"]

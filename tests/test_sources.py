@@ -12,7 +12,7 @@ from docloom.operators import metadata as D
 from docloom.operators.registry import Registry, apply_filters, extract_with_analyser
 from docloom.operators.routing import DEFAULT_EXTRACTORS, resolve
 from docloom.operators.search import build_index, query_terms, refresh_index, search_index, snippet, write_index
-from docloom.operators.stats import table_inventory
+from docloom.operators.stats import session_tables, table_inventory
 from docloom.plans.pipeline import ingest, ingest_to
 from docloom.sources import files as S
 from docloom.sources.logs import read_logs, read_profiles
@@ -106,8 +106,11 @@ def test_only_select(spark):
 
 def test_inventory(spark, small):
     load(spark, small, "nation").createOrReplaceTempView("nation_view")
-    rows = {r.table_name: r.rows for r in table_inventory(spark).collect()}
-    assert rows["nation_view"] == 25
+    found = table_inventory(session_tables(spark))
+    rows = [r for r in found.collect() if r.table_name == "nation_view"]
+    assert [(r.ordinal, r.column_name, r.data_type, r.rows) for r in sorted(rows)] == [
+        (1, "n_nationkey", "int", 25), (2, "n_name", "string", 25), (3, "n_regionkey", "int", 25)]
+    assert "ReadSchema: struct<>" in found._jdf.queryExecution().toString()  # counted from the footers
     spark.catalog.dropTempView("nation_view")
 
 
@@ -139,6 +142,23 @@ def test_registry_chooses_one_hook(spark):
     assert [r.content_type for r in registry.unserved(df).collect()] == ["audio/x"]
 
 
+def test_row_hooks_share_one_scan(spark, small):
+    docs = load(spark, small, "documents").withColumn("content_type", F.expr("CASE lang WHEN 'en' THEN 'text/plain' WHEN 'de' THEN 'image/png' WHEN 'fr' THEN 'text/x-go' END"))
+
+    def hook(name, copies):
+        return lambda: F.array_repeat(F.struct("doc_id", F.lit(name).alias("hook")), copies)
+
+    registry = Registry().register_rows("text/*", hook("text", 1)).register_rows("text/plain", hook("plain", 2)).register_rows("image/*", hook("image", 0))
+    out = registry.apply(docs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    counts = {r.hook: r["count"] for r in out.groupBy("hook").count().collect()}
+    langs = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    assert counts == {"plain": 2 * langs["en"], "text": langs["fr"]}
+    # A frame hook beside them, and one that takes the place of a row hook.
+    registry.register("text/plain", lambda df: df.select("doc_id", F.lit("frame").alias("hook")))
+    assert {r.hook: r["count"] for r in registry.apply(docs).groupBy("hook").count().collect()} == {"frame": langs["en"], "text": langs["fr"]}
+
+
 def test_filters_and_analyser(spark):
     df = spark.createDataFrame([(1, "has SECRET Ann Lee"), (2, "Bob Ray")], "id long, text string")
     assert apply_filters(df, [lambda c: F.replace(c, F.lit("SECRET"), F.lit("[REDACTED]"))]).first().text == "has [REDACTED] Ann Lee"
