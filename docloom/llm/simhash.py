@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
 from docloom.llm.shared import shared_table
-from docloom.llm.similar import SURE, candidates, judged, signatures
+from docloom.llm.similar import FIRST, MORE, buckets, candidates, judged, signatures
 
 SEGMENTS, WIDTH, MOST = 16, 4, 3
 TILE = 1024
@@ -163,14 +163,14 @@ def near_fingerprints(marks: DataFrame) -> DataFrame:
     return components(linked_fingerprints(marks), "a", "b")
 
 
-def _named(marks: DataFrame, linked: DataFrame) -> DataFrame:
-    """(fp, component_id): the smallest id of each fingerprint's component."""
+def _named(marks: DataFrame, linked: DataFrame, node: str = "fp") -> DataFrame:
+    """(node, component_id): the smallest id of each node's component; ``node`` is a column of ``marks``."""
     least = (
-        marks.groupBy("fp").agg(F.min("id").alias("first")).join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-        .withColumn("group", F.coalesce("component", "fp"))
+        marks.groupBy(node).agg(F.min("id").alias("first")).join(linked.withColumnRenamed("node", node), node, "left")
+        .withColumn("group", F.coalesce("component", node))
     )
     named = least.groupBy("group").agg(F.min("first").alias("component_id"))
-    return least.join(named, "group").select("fp", "component_id")
+    return least.join(named, "group").select(node, "component_id")
 
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3) -> DataFrame:
@@ -189,15 +189,40 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     marks = shared_table(fingerprints(rows, "id", "text", also="mark"), "fingerprints")
-    one = shared_table(marks.groupBy("fp").agg(F.min("mark").alias("mark")), "representatives")
-    texts = rows.join(one.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]).join(one, "mark").select("fp", "mark", "text")
-    items = shared_table(signatures(texts), "signatures")
-    pairs = shared_table(candidates(items), "candidates")
-    doubt = pairs.where(F.col("share") < SURE)
-    asked = doubt.select(F.col("a").alias("fp")).unionByName(doubt.select(F.col("b").alias("fp"))).distinct().join(one, "fp")
-    judge = rows.join(asked.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]).join(asked, "mark").select("fp", "text")
-    links = linked_fingerprints(marks).unionByName(pairs.where(F.col("share") >= SURE).select("a", "b")).unionByName(judged(doubt, judge))
-    groups = marks.join(_named(marks, shared_table(components(links, "a", "b"), "components")), "fp")
-    gone = groups.where("id != component_id").select(F.col("id").alias("_gone"), F.col("mark").alias("_gone_mark")).distinct()
+    distinct = marks.select("fp", "mark").distinct()
+    one = shared_table(distinct.groupBy("fp").agg(F.min("mark").alias("least")), "representatives")
+    ends = linked_fingerprints(marks).join(one.toDF("a", "left"), "a").join(one.toDF("b", "right"), "b")
+    links = shared_table(
+        ends.selectExpr("left AS a", "right AS b").unionByName(distinct.join(one, "fp").where("mark != least").selectExpr("mark AS a", "least AS b")), "links"
+    )
+    items = shared_table(signatures(rows.dropDuplicates(["mark"])), "signatures")
+    groups = shared_table(components(_similar_links(items, rows, links), "a", "b"), "components")
+    named = marks.join(_named(marks, groups, "mark"), "mark")
+    gone = named.where("id != component_id").select(F.col("id").alias("_gone"), F.col("mark").alias("_gone_mark")).distinct()
     mark = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
     return docs.join(gone, (docs[id_column] == gone["_gone"]) & (mark == gone["_gone_mark"]), "left_anti")
+
+
+def _similar_links(items: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` (a, b) with links that join all texts of ``rows`` (mark, text) that the bands of ``items`` bring together and that are similar."""
+    held, most, emitted = buckets(items), FIRST, None
+    while True:
+        found = shared_table(candidates(held, most, emitted), "candidates")
+        doubt = found.where("NOT sure").select("a", "b").distinct()
+        asked = doubt.select(F.col("a").alias("mark")).unionByName(doubt.select(F.col("b").alias("mark"))).distinct()
+        texts = rows.select("mark", "text").join(asked, "mark", "left_semi").dropDuplicates(["mark"])
+        links = shared_table(links.unionByName(found.where("sure").select("a", "b")).unionByName(judged(doubt, texts)), "links")
+        own = found.where("NOT sure").select("key", "a", "b")
+        emitted = own if emitted is None else emitted.unionByName(own)
+        rest = found.where("more").select("key").distinct()
+        if rest.isEmpty():
+            return links
+        labels = shared_table(components(links, "a", "b"), "labels").withColumnRenamed("node", "mark")
+        # Buckets that have asked only a part of their pairs and still hold more than one component.
+        part = buckets(items).join(rest, "key", "left_semi").join(labels, "mark", "left")
+        part = shared_table(part.select("key", "mark", "sketch", F.coalesce("component", "mark").alias("label")), "buckets")
+        mixed = part.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        held, most = part.join(mixed, "key", "left_semi"), most * MORE
+        if mixed.isEmpty():
+            return links
+        emitted = shared_table(emitted.join(mixed, "key", "left_semi"), "emitted")

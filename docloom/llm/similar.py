@@ -4,9 +4,13 @@ Three bits of 64 find copies with hardly an edit: a similarity of 0.8 is about t
 fingerprints no longer tell pairs from chance.  So this search follows the fingerprints: MinHash bands bring together texts
 that may be similar, and pairs that the sketch leaves in doubt are judged by their shingles.
 
-A text is known by its fingerprint here, so copies are one item.  Buckets of one item never leave the count; one of at
-most ``SMALL`` items gives all its pairs; a larger one a spanning forest, tile by tile.  Words are those of the
-fingerprints; texts of fewer than five words are similar only if they are equal, so they have no bands.
+A text is known by its mark, a hash of it, so copies are one item and unlike texts of one fingerprint are two.  What is sought is
+the components of all similar texts, so a bucket needn't give all its pairs.  It first joins its texts by a spanning forest of pairs that
+the sketch is sure of, and of pairs in doubt each text asks its ``FIRST`` likeliest ones beyond its tree.  Where that was not all, a bucket that still
+holds texts of different components asks on, eight times as many each round and never a pair twice, until none is left: so a pair that decides a
+component is judged whatever the bucket's size, and a family of copies that are joined already costs no more tests.  A bucket of more than
+``TILE`` texts is dealt to pairs of tiles.  Words are those of the fingerprints; texts of fewer than five words are similar only if they are
+equal, so they have no bands.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ SIZE, SHARE = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Shares of equal sketch values: below ``DOUBT`` never similar, from ``SURE`` on always (four standard errors).
 DOUBT, SURE = 0.66, 0.94
-SMALL, TILE = 16, 1024
+FIRST, MORE, TILE = 4, 8, 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -43,7 +47,7 @@ def similar(left: str, right: str, share: float = SHARE) -> bool:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(fp, mark, keys, sketch) of each row of ``rows`` (fp, mark, text) with five words or more."""
+    """(mark, keys, sketch) of each row of ``rows`` (mark, text) with five words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in word_batches(batches, "text", table=_LOWER):
@@ -59,10 +63,10 @@ def signatures(rows: DataFrame) -> DataFrame:
                 folded = mix(folded + least[:, row::ROWS])
             sketch = (least & np.uint64(255)).astype(np.uint8)
             keys = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * BANDS, pa.array(folded.ravel().view(np.int64)))
-            rest = [batch.column(k).take(pa.array(own, pa.int64())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([*rest, keys, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["fp", "mark", "keys", "sketch"])
+            marks = batch.column(0).take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([marks, keys, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["mark", "keys", "sketch"])
 
-    return rows.select("fp", "mark", "text").mapInArrow(run, "fp long, mark long, keys array<bigint>, sketch binary")
+    return rows.select("mark", "text").mapInArrow(run, "mark long, keys array<bigint>, sketch binary")
 
 
 def _alike(sketch: np.ndarray, row: int) -> np.ndarray:
@@ -70,72 +74,117 @@ def _alike(sketch: np.ndarray, row: int) -> np.ndarray:
     return ((sketch == sketch[row]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
-def bucket_pairs(sketch: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """Pairs of a bucket that may be similar; of a large one those of a spanning forest."""
-    size = len(sketch)
-    if size <= SMALL:
-        for row in range(size - 1):
-            share = _alike(sketch, row)
-            yield from ((row, k, float(share[k])) for k in range(row + 1, size) if share[k] >= DOUBT)
-        return
-    left = np.ones(size, dtype=bool)
+def _trees(sketch: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Each row's tree in a spanning forest of the pairs that the sketch is sure of, and its edges."""
+    tree, edges, left = np.zeros(len(sketch), dtype=np.int64), [], np.ones(len(sketch), dtype=bool)
     while left.any():
-        open_rows = [int(np.argmax(left))]
-        left[open_rows[0]] = False
+        root = int(np.argmax(left))
+        left[root] = False
+        tree[root], open_rows = root, [root]
         while open_rows:
             row = open_rows.pop()
-            share = _alike(sketch, row)
-            near = np.flatnonzero(left & (share >= SHARE))
-            left[near] = False
-            open_rows.extend(near.tolist())
-            yield from ((row, int(k), float(share[k])) for k in near)
+            near = np.flatnonzero(left & (_alike(sketch, row) >= SURE)) if left.any() else []
+            left[near], tree[near] = False, root
+            open_rows.extend(np.asarray(near).tolist())
+            edges.extend((row, int(k)) for k in near)
+    return tree, edges
+
+
+def bucket_pairs(sketch: np.ndarray, labels: np.ndarray | None, asked: set[tuple[int, int]], most: int) -> tuple[list[tuple[int, int, bool]], bool]:
+    """Pairs of a bucket that may be similar, each sure or in doubt, and whether there are more.
+
+    Without ``labels`` it is the first round, which joins what is sure.  Later pairs are of different labels and not in ``asked``.
+    """
+    out: dict[tuple[int, int], bool] = {}
+    more, places = False, np.arange(len(sketch))
+    if labels is None:
+        labels, edges = _trees(sketch)
+        out.update({(min(e), max(e)): True for e in edges})
+    if (labels == labels[0]).all():
+        return [(*pair, sure) for pair, sure in out.items()], False
+    known: dict[int, list[int]] = {}
+    for i, k in asked:
+        known.setdefault(i, []).append(k)
+        known.setdefault(k, []).append(i)
+    for row in range(len(sketch)):
+        share = _alike(sketch, row)
+        fit = (labels != labels[row]) & (share >= DOUBT)
+        fit[known.get(row, [])] = False
+        near = np.flatnonzero(fit)
+        if len(near) > most:
+            near, more = near[np.lexsort((places[near], -share[near]))[:most]], True
+        out.update({(min(row, k), max(row, k)): False for k in near.tolist()})
+    return [(*pair, sure) for pair, sure in out.items()], more
+
+
+def _pairs(first: bool, most: int):
+    """Candidates among rows sorted by bucket; a bucket is held until the next begins."""
+    names = ["key", "a", "b", "sure", "more"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: list[int] = []
+        held: list[tuple[bytes, int]] = []
+        asked: list[tuple[int, int]] = []
+        key, out = None, []
+
+        def close() -> None:
+            if len(marks) > 1:
+                place = {m: i for i, m in enumerate(marks)}
+                sketch = np.frombuffer(b"".join(s for s, _ in held), dtype=np.uint8).reshape(len(held), -1)
+                labels = None if first else np.array([label for _, label in held])
+                found, more = bucket_pairs(sketch, labels, {(place[a], place[b]) for a, b in asked}, most)
+                out.extend((key, min(marks[i], marks[j]), max(marks[i], marks[j]), sure, more and not sure) for i, j, sure in found)
+            marks.clear(), held.clear(), asked.clear()
+
+        def table() -> pa.RecordBatch:
+            columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among rows sorted by bucket; a bucket is held until the next begins."""
-    held: list[tuple[int, bytes]] = []
-    key, out = None, []
-
-    def close() -> None:
-        if len(held) > 1:
-            fps = [fp for fp, _ in held]
-            sketch = np.frombuffer(b"".join(s for _, s in held), dtype=np.uint8).reshape(len(held), -1)
-            out.extend((min(fps[i], fps[j]), max(fps[i], fps[j]), share) for i, j, share in bucket_pairs(sketch))
-        held.clear()
-
-    def table() -> pa.RecordBatch:
-        columns = [pa.array([row[k] for row in out], pa.float64() if k == 2 else pa.int64()) for k in range(3)]
-        out.clear()
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "share"])
-
-    for batch in batches:
-        for now, fp, sketch in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if now != key:
-                close()
-                key = now
-            held.append((fp, sketch))
+        for batch in batches:
+            for now, a, b, sketch, label in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if now != key:
+                    close()
+                    key = now
+                if b is None:
+                    marks.append(a)
+                    held.append((sketch, label))
+                else:
+                    asked.append((a, b))
+            yield table()
+        close()
         yield table()
-    close()
-    yield table()
 
+    return run
 
-def candidates(items: DataFrame) -> DataFrame:
-    """(a, b, share) of the pairs of fingerprints of ``items`` (fp, keys, sketch) that share a band and may be similar."""
-    keys = items.select("fp", F.explode("keys").alias("key"))
+
+def buckets(items: DataFrame) -> DataFrame:
+    """(key, mark, sketch): the buckets of ``items`` (mark, keys, sketch) with more than one text, cut into pairs of tiles."""
+    keys = items.select("mark", F.explode("keys").alias("key"))
     met = keys.groupBy("key").count().where("count > 1")
-    parts = (
-        keys.join(met, "key").join(items.select("fp", "sketch"), "fp")
+    return (
+        keys.join(met, "key").join(items.select("mark", "sketch"), "mark")
         .withColumn("tiles", F.expr(f"int(ceil(count / {TILE}))"))
-        .withColumn("tile", F.expr("int(pmod(xxhash64(fp, 7), tiles))"))
+        .withColumn("tile", F.expr("int(pmod(xxhash64(mark, 7), tiles))"))
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-        .select(F.expr("if(tiles = 1, key, xxhash64(key, least(tile, other), greatest(tile, other)))").alias("key"), "fp", "sketch")
+        .select(F.expr("if(tiles = 1, key, xxhash64(key, least(tile, other), greatest(tile, other)))").alias("key"), "mark", "sketch")
     )
-    found = parts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_pairs, "a long, b long, share double")
-    return found.groupBy("a", "b").agg(F.max("share").alias("share"))
+
+
+def candidates(held: DataFrame, most: int, asked: DataFrame | None = None) -> DataFrame:
+    """(key, a, b, sure, more) of the pairs of each bucket of ``held`` (key, mark, sketch, and label after the first round)."""
+    first = asked is None
+    label = F.lit(None).cast("long") if first else F.col("label")
+    rows = held.select("key", F.col("mark").alias("a"), F.lit(None).cast("long").alias("b"), "sketch", label.alias("label"))
+    if not first:
+        rows = rows.unionByName(asked.select("key", "a", "b"), allowMissingColumns=True)
+    return rows.repartition("key").sortWithinPartitions("key", "b", "a").mapInArrow(
+        _pairs(first, most), "key long, a long, b long, sure boolean, more boolean")
 
 
 def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (fp, text) are similar."""
+    """The pairs (a, b) whose texts (mark, text) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

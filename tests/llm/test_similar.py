@@ -69,12 +69,57 @@ def test_rows_of_one_id_are_judged_by_their_text(spark):
     assert S.near_dedup(docs.limit(0)).collect() == []
 
 
-def test_forest_of_a_large_bucket():
+def test_pairs_of_a_bucket():
     rng = np.random.default_rng(5)
     sketch = rng.integers(0, 256, (40, 120)).astype(np.uint8)
     sketch[20:] = sketch[0]
-    pairs = list(N.bucket_pairs(sketch))
-    assert len(pairs) == 20 and all(share == 1 for *_, share in pairs)
+    pairs, more = N.bucket_pairs(sketch, None, set(), 4)
+    assert len(pairs) == 20 and all(sure for *_, sure in pairs) and not more
+    sketch[:, :90] = sketch[0, :90]  # now all are in doubt with each other, but for the copies
+    pairs, more = N.bucket_pairs(sketch, None, set(), 4)
+    assert more and sum(sure for *_, sure in pairs) == 20 and all(sum(not s and i in p for *p, s in pairs) >= 4 for i in range(20))
+    labels, asked, seen = np.array([*range(20), *[0] * 20]), {(i, j) for i, j, sure in pairs if not sure}, set()
+    for most in (32, 256):
+        later, more = N.bucket_pairs(sketch, labels, asked, most)
+        assert not asked & {(i, j) for i, j, _ in later}
+        asked |= {(i, j) for i, j, _ in later}
+    assert not more and len(asked) == 19 * 18 // 2 + 19 * 21  # every pair of two labels, once
+
+
+def family(rng, size, words, edits):
+    """Texts that differ from one base in ``edits`` places each, so that pairs lie around the threshold."""
+    base = [f"w{x}" for x in rng.integers(0, 5000, words)]
+    out = []
+    for k in range(size):
+        own = list(base)
+        for at in rng.choice(words, edits, replace=False):
+            own[at] = f"new{k}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_families_near_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    texts = family(rng, 200, 180, 2) + family(rng, 60, 150, 2)
+    # Of two unlike texts with one fingerprint, neither stands for the other's partners.
+    sets = [N.shingles(t) for t in texts]
+    near = [len(a & b) / len(a | b) for i, a in enumerate(sets[:200]) for b in sets[:i]]
+    assert min(near) < 0.8 < max(near) and 0.02 < np.mean(np.array(near) >= 0.8) < 0.9
+    true = groups(texts)
+    got = {r.doc_id for r in S.near_dedup(frame(spark, texts)).collect()}
+    assert got == {i for i, g in enumerate(true) if i == g}
+
+
+def test_unlike_texts_of_one_fingerprint(spark):
+    """One shingle outweighs the rest, so the fingerprint is that of the repeated part, whatever else the text holds."""
+    rng = np.random.default_rng(7)
+    tails = [[f"t{k}x{x}" for x in rng.integers(0, 5000, 60)] for k in range(3)]
+    heavy = ["same"] * 90
+    texts = [" ".join(heavy + tail) for tail in tails]
+    assert len({S.simhash(t) for t in texts}) == 1
+    texts += [" ".join(["other"] + tail[:58] + ["end"]) for tail in tails] + [" ".join(heavy[:5] + tail) for tail in tails]
+    true = groups(texts)
+    assert {r.doc_id for r in S.near_dedup(frame(spark, texts)).collect()} == {i for i, g in enumerate(true) if i == g}
 
 
 def test_all_documents(spark, small):
