@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import basename, lines_of
+from docloom.functions.text import basename, bound, lines_of
 from docloom.operators.extraction import explode_once
 from docloom.options import SHELL_CHUNK_OVERLAP, SHELL_CHUNK_SIZE, ChunkOptions
 
@@ -101,85 +101,113 @@ def _by_size(df: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
     )
 
 
+_BLOCKS = "array<struct<tail:string,first:int,count:int,closed:boolean>>"
+
+
+def _block_text(lines: Column, block: Column) -> Column:
+    """The carried tail and the lines of a block; blank lines stand for two breaks, but for one that opens a text."""
+    own = F.slice(lines, block["first"] + 1, block["count"])
+    opened = F.length(block["tail"]) > 0
+    pieces = F.transform(own, lambda line, i: F.when((line == "") & (opened | (i > 0)), F.lit("\n\n")).otherwise(F.concat(line, F.lit("\n"))))
+    return F.concat(block["tail"], F.array_join(pieces, ""), F.when(block["closed"], "\n\n").otherwise(""))
+
+
+def _block(tail: Column, first: Column, count: Column, closed: bool) -> Column:
+    return F.struct(tail.alias("tail"), first.alias("first"), count.alias("count"), F.lit(closed).alias("closed"))
+
+
 def _by_blank_line(df: DataFrame, keys: list[str], text: str, size: int, overlap: int) -> DataFrame:
     """Close a chunk at a blank line once it is large enough; carry its last characters.
 
-    Sizes count characters, so that a carried tail never splits one.
+    Sizes count characters, so that a carried tail never splits one.  The fold keeps numbers of lines and the carried tail; a chunk's
+    text is made of its own lines.
     """
     lines = lines_of(F.regexp_replace(F.col(text), r"\n\z", ""))
-    start = F.struct(
-        F.array().cast("array<string>").alias("out"),
-        F.array().cast("array<string>").alias("parts"),
-        F.lit(0).alias("size"),
-    )
 
-    def step(acc: Column, line: Column) -> Column:
-        blank = (line == "") & (acc["size"] > 0)
-        closes = blank & (acc["size"] + 2 >= size)
-        whole = F.concat(F.array_join(acc["parts"], ""), F.lit("\n\n"))
-        if overlap > 0:
-            tail = F.regexp_replace(F.right(F.concat(whole, F.lit("\n")), F.lit(overlap)), r"\n+\z", "")
-        else:
-            tail = F.lit("")
-        added = F.when(blank, F.lit("\n\n")).otherwise(F.concat(line, F.lit("\n")))
-        return F.struct(
-            F.when(closes, F.concat(acc["out"], F.array(whole))).otherwise(acc["out"]).alias("out"),
-            F.when(closes, F.array(tail)).otherwise(F.concat(acc["parts"], F.array(added))).alias("parts"),
-            F.when(closes, F.length(tail)).otherwise(acc["size"] + F.length(added)).alias("size"),
+    def blocks(rows: Column) -> Column:
+        start = F.struct(
+            F.array().cast(_BLOCKS).alias("out"), F.lit("").alias("tail"), F.lit(0).alias("first"),
+            F.lit(0).alias("count"), F.lit(0).alias("size"),
         )
 
-    def finish(acc: Column) -> Column:
-        rest = F.array_join(acc["parts"], "")
-        return F.when(acc["size"] > 0, F.concat(acc["out"], F.array(rest))).otherwise(acc["out"])
-
-    body = F.when(F.length(text) > 0, F.aggregate(lines, start, step, finish))
+        def step(acc: Column, line: Column) -> Column:
+            blank = (line == "") & (acc["size"] > 0)
+            closes = blank & (acc["size"] + 2 >= size)
+            whole = _block(acc["tail"], acc["first"], acc["count"], True)
+            if overlap > 0:
+                tail = F.regexp_replace(F.right(F.concat(_block_text(rows, whole), F.lit("\n")), F.lit(overlap)), r"\n+\z", "")
+            else:
+                tail = F.lit("")
+            kept = bound(F.when(closes, tail).otherwise(acc["tail"]), lambda t: F.struct(t.alias("tail"), F.length(t).alias("length")))
+            added = F.when(blank, 2).otherwise(F.length(line) + 1)
+            return bound(kept, lambda k: F.struct(
+                F.when(closes, F.concat(acc["out"], F.array(whole))).otherwise(acc["out"]).alias("out"),
+                k["tail"].alias("tail"),
+                F.when(closes, acc["first"] + acc["count"] + 1).otherwise(acc["first"]).alias("first"),
+                F.when(closes, 0).otherwise(acc["count"] + 1).alias("count"),
+                F.when(closes, k["length"]).otherwise(acc["size"] + added).alias("size"),
+            ))
+
+        def finish(acc: Column) -> Column:
+            rest = F.array(_block(acc["tail"], acc["first"], acc["count"], False))
+            return F.when(acc["size"] > 0, F.concat(acc["out"], rest)).otherwise(acc["out"])
+
+        return F.transform(F.aggregate(rows, start, step, finish), lambda block: _block_text(rows, block))
+
+    body = F.when(F.length(text) > 0, bound(lines, blocks))
     return _chunk_rows(df, keys, body)
 
 
+_RUNS = "array<struct<first:int,count:int>>"
+
+
 def _by_sentence(df: DataFrame, keys: list[str], text: str, size: int, overlap: int) -> DataFrame:
-    """Whole sentences; the overlap is made of the trailing sentences that fit."""
+    """Whole sentences; the overlap is made of the trailing sentences that fit.
+
+    The fold keeps numbers of sentences; a chunk's text is made of its own sentences.
+    """
     sentences = F.split(F.col(text), SENTENCE_BREAK, -1)
-    start = F.struct(
-        F.array().cast("array<string>").alias("out"),
-        F.array().cast("array<string>").alias("parts"),
-        F.lit(0).alias("size"),
-    )
 
-    def trailing(parts: Column) -> Column:
+    def trailing(lengths: Column) -> Column:
         """How many trailing sentences fit and what they measure, one blank each included."""
+        def fits(acc: Column, length: Column) -> Column:
+            return acc["open"] & (acc["size"] + length <= overlap)
+
         return F.aggregate(
-            F.reverse(parts),
+            F.reverse(lengths),
             F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("open")),
-            lambda acc, s: F.struct(
-                F.when(acc["open"] & (acc["size"] + F.length(s) <= overlap), acc["n"] + 1)
-                .otherwise(acc["n"]).alias("n"),
-                F.when(acc["open"] & (acc["size"] + F.length(s) <= overlap),
-                       acc["size"] + F.length(s) + 1).otherwise(acc["size"]).alias("size"),
-                (acc["open"] & (acc["size"] + F.length(s) <= overlap)).alias("open"),
+            lambda acc, x: F.struct(
+                F.when(fits(acc, x), acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+                F.when(fits(acc, x), acc["size"] + x + 1).otherwise(acc["size"]).alias("size"),
+                fits(acc, x).alias("open"),
             ),
         )
 
-    def step(acc: Column, sentence: Column) -> Column:
-        length = F.length(sentence)
-        full = (F.size(acc["parts"]) > 0) & (acc["size"] + length > size)
-        if overlap > 0:
-            kept = trailing(acc["parts"])
-            carried = F.slice(acc["parts"], F.size(acc["parts"]) - kept["n"] + 1, kept["n"])
-            carried_size = kept["size"]
-        else:
-            carried, carried_size = F.slice(acc["parts"], 1, 0), F.lit(0)
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(F.array_join(acc["parts"], " "))))
-            .otherwise(acc["out"]).alias("out"),
-            F.concat(F.when(full, carried).otherwise(acc["parts"]), F.array(sentence)).alias("parts"),
-            (F.when(full, carried_size).otherwise(acc["size"]) + length + 1).alias("size"),
-        )
+    def runs(lengths: Column) -> Column:
+        start = F.struct(F.array().cast(_RUNS).alias("out"), F.lit(0).alias("first"), F.lit(0).alias("count"), F.lit(0).alias("size"))
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("open"))
 
-    body = F.aggregate(
-        sentences, start, step,
-        lambda acc: F.concat(acc["out"], F.array(F.array_join(acc["parts"], " "))),
-    )
-    return _chunk_rows(df, keys, body)
+        def run(acc: Column) -> Column:
+            return F.array(F.struct(acc["first"].alias("first"), acc["count"].alias("count")))
+
+        def step(acc: Column, length: Column) -> Column:
+            full = (acc["count"] > 0) & (acc["size"] + length > size)
+            kept = trailing(F.slice(lengths, acc["first"] + 1, acc["count"])) if overlap > 0 else none
+            carried = F.when(full, kept).otherwise(F.struct(acc["count"].alias("n"), acc["size"].alias("size"), F.lit(True).alias("open")))
+            return bound(carried, lambda k: F.struct(
+                F.when(full, F.concat(acc["out"], run(acc))).otherwise(acc["out"]).alias("out"),
+                F.when(full, acc["first"] + acc["count"] - k["n"]).otherwise(acc["first"]).alias("first"),
+                (k["n"] + 1).alias("count"),
+                (k["size"] + length + 1).alias("size"),
+            ))
+
+        return F.aggregate(lengths, start, step, lambda acc: F.concat(acc["out"], run(acc)))
+
+    def texts(parts: Column) -> Column:
+        return F.transform(bound(F.transform(parts, F.length), runs),
+                           lambda run: F.array_join(F.slice(parts, run["first"] + 1, run["count"]), " "))
+
+    return _chunk_rows(df, keys, bound(sentences, texts))
 
 
 def chunk(df: DataFrame, keys: list[str], strategy: str = "paragraph", max_size: int | None = None,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions.json_columns import parse_or_text
 from docloom.functions.text import contains_folded, quoted_regex
 from docloom.options import SEARCH_LIMIT
+from docloom.session import cut_lineage
 
 # What separates tokens, and the reach of a snippet.
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -131,7 +132,11 @@ def search_content(tables: dict[str, tuple[DataFrame, str, list[str]]], query: s
 
 
 def limited(hits: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """The first results in a fixed order, with the total before the limit."""
+    """The first results in a fixed order, with the total before the limit.
+
+    Hits are written once, so the search runs once for the rows and for their number.
+    """
+    hits = cut_lineage(hits)
     total = hits.agg(F.count(F.lit(1)).alias("n")).scalar()
     return hits.orderBy("content_type", "id").limit(limit).withColumn("total_results", total)
 

@@ -38,6 +38,17 @@ class BucketedTable:
         writer.saveAsTable(name)
         return BucketedTable(self.folder, self.keys, self.buckets, name)
 
+    def attach(self, spark: SparkSession, name: str) -> BucketedTable:
+        """The table of an earlier snapshot by its folder's name, for a session whose catalog doesn't know it."""
+        schema = spark.read.parquet(f"{self.folder}/{name}").schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'"
+        )
+        return BucketedTable(self.folder, self.keys, self.buckets, name)
+
     def _joined(self, new: DataFrame, how: str) -> tuple[DataFrame, dict[str, str]]:
         """The snapshot beside the new rows, whose columns get names of their own; both sides are named by the keys."""
         names = {c: f"_new_{c}" for c in new.columns if c not in self.keys}

@@ -2,6 +2,8 @@
 
 import re
 
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -130,3 +132,15 @@ def test_chunked_extraction_merges_by_name(spark):
     df = spark.createDataFrame([(1, "Ann Lee x\nAnn Lee y\nBob Ray z")], "doc_id long, text string")
     rows = extract_chunked(df, ["doc_id"], "line", 9, 0).collect()
     assert sorted((r.name, r.mention_count) for r in rows) == [("Ann Lee", 2), ("Bob Ray", 1)]
+
+
+@pytest.mark.parametrize("strategy", ["sentence", "blank_line"])
+@pytest.mark.parametrize("size", [2_000, 4_000_000])
+def test_long_texts_take_time_in_proportion(spark, strategy, size):
+    """A hundred thousand sentences or lines, in one chunk or in thousands."""
+    part = "Some words here. " if strategy == "sentence" else "some words\n\nmore\n"
+    df = spark.createDataFrame([(1, part * 60_000)], "id long, text string")
+    start = time.time()
+    rows = chunk(df, ["id"], strategy, size, 100).select(F.length("chunk_text").alias("n")).collect()
+    assert time.time() - start < 20
+    assert sum(r.n for r in rows) >= 59_000 * len(part) and all(r.n <= size + 200 for r in rows)

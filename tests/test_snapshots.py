@@ -52,3 +52,10 @@ def test_snapshots_follow_each_other(spark, table):
     third = second.write(second.delete(new_rows(spark)), dealt=True)
     assert len(values(third.read(spark))) == 90
     assert "Bucketed: true" in third.upsert(new_rows(spark))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_another_session_attaches_a_snapshot(spark, table):
+    spark.sql(f"DROP TABLE {table.current}")  # forgets the table and leaves the files
+    again = BucketedTable(table.folder, table.keys, 4).attach(spark, table.current)
+    assert len(values(again.read(spark))) == 100
+    assert "Bucketed: true" in again.insert(new_rows(spark))._jdf.queryExecution().executedPlan().toString()
