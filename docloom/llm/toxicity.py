@@ -10,7 +10,8 @@ statistics and training cover that sample, and scoring covers every whole text.
 at most, those that tell the classes apart best, so what is sent to the tasks is bounded too.
 
 Labels are used only for fitting; a score depends on the text alone.  Null texts score like empty ones.  Of several
-label rows of one id any toxic one counts, null labels count for nothing, and repeated documents are scored each.
+label rows of one id any toxic one counts, null labels count for nothing, and repeated documents are scored each.  Ids
+may be numbers or strings.
 Without labelled rows of both classes every score is the smoothed share of toxic rows (0.5 where there are none).
 """
 
@@ -27,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.shared import shared_table
 
@@ -156,11 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         .groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     )
+    # What orders the sample: the id where it is a whole number, else a hash of it.
+    order = F.col("_id").cast("long") if isinstance(docs.schema[id_column].dataType, T.IntegralType) else F.xxhash64("_id")
     # The sample has fit_rows rows of two numbers at most, whatever the tables hold.
     rows = (
         docs.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("text"))
         .join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
-        .select("text", F.col("_label").alias("label"), F.col("_id").cast("long").alias("id"))
+        .select("text", F.col("_label").alias("label"), order.alias("id"))
     )
     rows = shared_table(rows, "labelled")
     size = rows.agg(F.count("*"), F.sum("label")).first()
@@ -214,6 +218,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-               threshold: float = THRESHOLD) -> DataFrame:
+               label_column: str = "toxic", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Rows of ``docs`` that score below the threshold."""
-    return docs.where(scorer(docs, fit(docs, labels, id_column, text_column))(F.col(text_column)) < threshold)
+    model = fit(docs, labels, id_column, text_column, label_column, fit_rows)
+    return docs.where(scorer(docs, model)(F.col(text_column)) < threshold)

@@ -1,4 +1,10 @@
+import collections
+import math
+import re
+import zlib
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from docloom.llm import toxicity as T
 from docloom.llm.queries import op9_factorization_machine
@@ -39,7 +45,6 @@ def test_odd_rows(spark):
     got = T.score_documents(docs, odd).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     by_id = {(r.id, r.held_out) for r in got}
-    import zlib
     assert by_id == {(i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i in (1, 2, None, 4)}
     assert T.score_documents(docs.limit(0), odd).collect() == []
     assert T.drop_toxic(docs, none).count() == 5
@@ -50,3 +55,35 @@ def test_labels_that_are_held_out_do_not_matter(spark, small):
     other = labels.selectExpr("doc_id", "if(crc32(encode(string(doc_id), 'UTF-8')) % 3 = 1, 1 - toxic, toxic) AS toxic")
     one, two = ({r.id: r.score for r in T.score_documents(docs, x).collect()} for x in (labels, other))
     assert one == two
+
+
+def test_scores_equal_a_plain_scorer(spark, small):
+    """Each pair of terms by itself, on terms that are made anew from the text."""
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    model = T.fit(docs, labels)
+    at = {t: i for i, t in enumerate(model.terms.tolist())}
+
+    def plain(text):
+        words, counts = re.findall(r"\w+", (text or "").lower()), collections.Counter()
+        for word in set(words):
+            parts = [(word, 0)] + [(word[:n], n) for n in (3, 4, 5, 7) if len(word) >= n]
+            counts.update(at[h] for h in (zlib.crc32(p.encode(), seed) for p, seed in parts) if h in at)
+        size = zlib.crc32(b"words %d" % len(words).bit_length(), 99)
+        counts |= {at[size]: 1} if size in at else {}
+        terms = [(i, 1 + math.log2(n)) for i, n in sorted(counts.items())]
+        margin = model.bias + sum(model.weights[i] * x for i, x in terms)
+        for k, (i, x) in enumerate(terms):
+            for j, y in terms[:k]:
+                margin += float(model.vectors[i] @ model.vectors[j]) * x * y
+        return 1 / (1 + math.exp(-max(-30, min(30, margin))))
+
+    got = {r.id: r.score for r in T.score_documents(docs, labels).collect()}
+    for r in docs.limit(60).collect():
+        assert abs(got[r.doc_id] - plain(r.text)) < 1e-9
+    assert abs(model.score(None) - plain(None)) < 1e-9 and len(model.terms) > 50
+
+
+def test_string_ids(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id")) for n in ("documents", "labels"))
+    rows = T.score_documents(docs, labels).collect()
+    assert {r.id for r in rows} == {r.doc_id for r in docs.collect()} and len({r.score for r in rows}) > 10
