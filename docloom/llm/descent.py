@@ -4,9 +4,9 @@
    hyperplanes, ``TABLES`` times over, give each node a first list of its ``LIST`` nearest nodes.
 2. Rounds refine the lists: a node's neighbours and the nodes that have it as neighbour are compared with each other,
    and each keeps its nearest.  Rounds end when no further node gets a threshold neighbour and lists hardly improve.
-3. A list full of threshold neighbours may hide more.  So passes with new tables follow, whose lists hold the ``LIST``
-   nearest nodes of other components; links they find join components, and their nodes are in the way no longer.
-   Passes end when one finds no link between components.
+3. A list full of threshold neighbours may hide more.  So passes with new tables and one round each follow, whose lists
+   hold the ``LIST`` nearest nodes of other components; links they find join components, and their nodes are in the way no
+   longer.  Passes end when one finds no link between components.
 4. Within a threshold component all pairs are compared.  Nodes within half the threshold angle of the component's pivot are linked with each other
    by the triangle inequality, so a group of near copies costs one comparison each; only the other nodes meet all
    nodes of the component, tile by tile.
@@ -22,6 +22,7 @@ null id has its links but names no component.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -149,11 +150,14 @@ def refine(edges: DataFrame, nodes: DataFrame, count: int, turn: int, near: Data
     return best(edges.unionByName(met))
 
 
-def search(nodes: DataFrame, count: int, tables: int, seed: int, threshold: float, near: DataFrame | None = None) -> DataFrame:
-    """Lists of the nearest nodes of other labels, from new tables and rounds."""
+def search(nodes: DataFrame, count: int, tables: int, seed: int, threshold: float, near: DataFrame | None = None,
+           rounds: int | None = None) -> DataFrame:
+    """Lists of the nearest nodes of other labels, from new tables and rounds, at most ``rounds`` of these where given."""
     edges = shared_table(best(first_lists(nodes, count, tables, seed)), "lists")
     state, before = (F.count_distinct(F.when(F.col("sim") >= threshold, F.col("src"))), F.sum(F.col("sim") + 1)), (-1, 0.0)
-    while True:
+    for turn in count_from(1):
+        if rounds is not None and turn > rounds:
+            return edges
         now, gain = edges.agg(*state).first()
         if not gain or (now <= before[0] and gain <= before[1] * GAIN):
             return edges
@@ -260,7 +264,7 @@ def near_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: str
             groups = shared_table(components(close, "src", "dst"), "components")
             placed = nodes.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
             seed += 1000
-            across = search(placed, count, tables, seed, threshold, near).where(F.col("sim") >= threshold)
+            across = search(placed, count, tables, seed, threshold, near, rounds=1).where(F.col("sim") >= threshold)
             if across.isEmpty():
                 break
             close = close.unionByName(across)
