@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
 from docloom.llm.shared import shared_table
-from docloom.llm.similar import FIRST, MORE, buckets, candidates, judged, signatures
+from docloom.llm.similar import FIRST, MORE, buckets, candidates, judged, signatures, undecided
 
 SEGMENTS, WIDTH, MOST = 16, 4, 3
 TILE = 1024
@@ -219,7 +219,8 @@ def _similar_links(items: DataFrame, rows: DataFrame, links: DataFrame) -> DataF
             return links
         labels = shared_table(components(links, "a", "b"), "labels").withColumnRenamed("node", "mark")
         # Buckets that have asked only a part of their pairs and still hold more than one component.
-        part = buckets(items).join(rest, "key", "left_semi").join(labels, "mark", "left")
+        wanted = shared_table(undecided(items, labels), "undecided")
+        part = buckets(items, wanted).join(rest, "key", "left_semi").join(labels, "mark", "left")
         part = shared_table(part.select("key", "mark", "sketch", F.coalesce("component", "mark").alias("label")), "buckets")
         mixed = part.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         held, most = part.join(mixed, "key", "left_semi"), most * MORE

@@ -159,9 +159,26 @@ def _pairs(first: bool, most: int):
     return run
 
 
-def buckets(items: DataFrame) -> DataFrame:
-    """(key, mark, sketch): the buckets of ``items`` (mark, keys, sketch) with more than one text, cut into pairs of tiles."""
-    keys = items.select("mark", F.explode("keys").alias("key"))
+def bands(items: DataFrame) -> DataFrame:
+    """(mark, key): the bands of ``items`` (mark, keys, sketch)."""
+    return items.select("mark", F.explode("keys").alias("key"))
+
+
+def undecided(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key): the bands whose texts are of more than one component of ``labels`` (mark, component).
+
+    It is one row a band of a text, so a band of many texts that are joined already costs no more than they are.
+    """
+    labelled = bands(items).join(labels, "mark", "left").select("key", F.coalesce("component", "mark").alias("label"))
+    return labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+
+
+def buckets(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, mark, sketch): the buckets of ``items`` (mark, keys, sketch) with more than one text, cut into pairs of tiles.
+
+    ``wanted`` (key) says which bands, where not all.
+    """
+    keys = bands(items) if wanted is None else bands(items).join(wanted, "key", "left_semi")
     met = keys.groupBy("key").count().where("count > 1")
     return (
         keys.join(met, "key").join(items.select("mark", "sketch"), "mark")
