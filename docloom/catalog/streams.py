@@ -19,7 +19,8 @@ from docloom.streaming.jobs import RunningAverage, event_counts, job_status_stre
 
 
 def _stream(spark, folder, name):
-    return stream_table(spark, folder, load(spark, folder, name).schema, f"{name}.parquet")
+    # A pattern, as it fits both a table that is one file and one that is a folder of files.
+    return stream_table(spark, f"{folder}/{name}.parque[t]", load(spark, folder, name).schema, "*")
 
 
 def _as_instant(name: str):

@@ -201,3 +201,16 @@ def test_postings_of_an_emptied_document(spark, tmp_path):
     for number, text in enumerate(("hello Ann Lee", "...")):
         sink(spark.createDataFrame([(1, "text/plain", text)], "content_id long, content_type string, text string"), number)
     assert sink.postings(spark).count() == 0
+
+
+def test_tables_that_are_folders_of_files(spark, small, tmp_path):
+    from docloom.catalog import load_all
+    from docloom.sources.tables import load
+
+    docs = load(spark, small, "documents").limit(30).localCheckpoint()
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    queries = load_all()[0]
+    assert queries["t01_streamed_content"](spark, str(tmp_path / "many")).count() == 30
+    assert queries["t01_streamed_content"](spark, small).count() == load(spark, small, "documents").count()
+    assert queries["t02_streamed_links"](spark, str(tmp_path / "many")).count() > 0
+    assert queries["t02_streamed_postings"](spark, str(tmp_path / "many")).count() > 0
