@@ -214,3 +214,13 @@ def test_tables_that_are_folders_of_files(spark, small, tmp_path):
     assert queries["t01_streamed_content"](spark, small).count() == load(spark, small, "documents").count()
     assert queries["t02_streamed_links"](spark, str(tmp_path / "many")).count() > 0
     assert queries["t02_streamed_postings"](spark, str(tmp_path / "many")).count() > 0
+
+
+def test_jobs_of_one_slice_share_its_timers(spark, tmp_path):
+    """Two thousand jobs in three slices: what is asked of the store goes by slices, so this takes seconds, and each job walks alone."""
+    jobs = [[(f"j{i}", e, START + timedelta(seconds=i % 50, minutes=m)) for i in range(2000)] for m, e in enumerate(("completed", "created", "canceled"))]
+    rows, progress = walk(spark, tmp_path, [jobs[2] + jobs[0], jobs[1]], slices=3)
+    assert len(rows) == 6000
+    assert {(e, s, ok) for _, e, s, ok in rows} == {("completed", "completed", True), ("created", "completed", False), ("canceled", "completed", False)}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert max(held) < 100  # lists and timers of three slices, not of two thousand jobs
