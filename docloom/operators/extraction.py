@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -228,13 +229,32 @@ def place(text: str, names: list[str], widths: list[int]) -> list[dict]:
     return spots
 
 
+#: Names and characters of text whose places are held as Python objects at once.
+PART_NAMES, PART_CHARS = 4096, 1 << 20
+
+
+def _in_parts(rows: Iterator[tuple], work: Callable[..., list[dict]], kind: pa.DataType) -> pa.Array:
+    """The results of ``work`` on rows of Arrow values (text, names, …), turned to Arrow a few at a time.
+
+    Python objects take many times the room of their Arrow form, so those of a whole batch are never held together.
+    """
+    parts, held, names, chars = [], [], 0, 0
+    for row in rows:
+        text, found, *_ = values = [x.as_py() for x in row]
+        held.append(work(*values) if text and found else [])
+        names, chars = names + len(held[-1]), chars + len(text or "")
+        if names >= PART_NAMES or chars >= PART_CHARS:
+            parts.append(pa.array(held, kind))
+            held, names, chars = [], 0, 0
+    return pa.concat_arrays([*parts, pa.array(held, kind)])
+
+
 @F.arrow_udf(T.ArrayType(T.StructType().add("context", "string").add("position", "integer")))
 def _spots(text: pa.Array, names: pa.Array, widths: pa.Array) -> pa.Array:
     """``place`` for every row: built-in functions can only search for one name at a time, which costs
     text length times names."""
     kind = pa.list_(pa.struct([("context", pa.string()), ("position", pa.int32())]))
-    found = ((t.as_py(), n.as_py(), w.as_py()) for t, n, w in zip(text, names, widths, strict=True))
-    return pa.array((place(t, n, w) if t and n else [] for t, n, w in found), kind)
+    return _in_parts(zip(text, names, widths, strict=True), place, kind)
 
 
 def _place(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -346,8 +366,7 @@ def offsets_of(text: str, names: list[str], gaps: list[int], sizes: list[int]) -
 def _offsets(text: pa.Array, names: pa.Array, gaps: pa.Array, sizes: pa.Array) -> pa.Array:
     """``offsets_of`` for every row; running sums as array expressions would copy what is summed for each match."""
     kind = pa.list_(pa.struct([("position", pa.int32()), ("context", pa.string())]))
-    rows = zip(text, names, gaps, sizes, strict=True)
-    return pa.array((offsets_of(*(x.as_py() for x in row)) if row[0].is_valid else [] for row in rows), kind)
+    return _in_parts(zip(text, names, gaps, sizes, strict=True), offsets_of, kind)
 
 
 def _typed(entity_type: str, relevance: float):
