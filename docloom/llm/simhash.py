@@ -221,9 +221,8 @@ def _similar_links(items: DataFrame, rows: DataFrame, links: DataFrame) -> DataF
         # Buckets that have asked only a part of their pairs and still hold more than one component.
         wanted = shared_table(undecided(items, labels), "undecided")
         part = buckets(items, wanted).join(rest, "key", "left_semi").join(labels, "mark", "left")
-        part = shared_table(part.select("key", "mark", "sketch", F.coalesce("component", "mark").alias("label")), "buckets")
+        part = shared_table(part.select("key", "mark", "sketch", "ahead", F.coalesce("component", "mark").alias("label")), "buckets")
         mixed = part.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         held, most = part.join(mixed, "key", "left_semi"), most * MORE
         if mixed.isEmpty():
             return links
-        emitted = shared_table(emitted.join(mixed, "key", "left_semi"), "emitted")

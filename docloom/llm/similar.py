@@ -8,7 +8,8 @@ A text is known by its mark, a hash of it, so copies are one item and unlike tex
 the components of all similar texts, so a bucket needn't give all its pairs.  It first joins its texts by a spanning forest of pairs that
 the sketch is sure of, and of pairs in doubt each text asks its ``FIRST`` likeliest ones beyond its tree.  Where that was not all, a bucket that still
 holds texts of different components asks on, eight times as many each round and never a pair twice, until none is left: so a pair that decides a
-component is judged whatever the bucket's size, and a family of copies that are joined already costs no more tests.  A bucket of more than
+component is judged whatever the bucket's size, and a family of copies that are joined already costs no more tests.  A pair in doubt is asked in
+the first band it meets in and not in each.  A bucket of more than
 ``TILE`` texts is dealt to pairs of tiles.  Words are those of the fingerprints; texts of fewer than five words are similar only if they are
 equal, so they have no bands.
 """
@@ -90,10 +91,13 @@ def _trees(sketch: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return tree, edges
 
 
-def bucket_pairs(sketch: np.ndarray, labels: np.ndarray | None, asked: set[tuple[int, int]], most: int) -> tuple[list[tuple[int, int, bool]], bool]:
+def bucket_pairs(sketch: np.ndarray, labels: np.ndarray | None, asked: set[tuple[int, int]], most: int,
+                 keys: np.ndarray | None = None) -> tuple[list[tuple[int, int, bool]], bool]:
     """Pairs of a bucket that may be similar, each sure or in doubt, and whether there are more.
 
     Without ``labels`` it is the first round, which joins what is sure.  Later pairs are of different labels and not in ``asked``.
+    ``keys`` are the texts' keys in the bands ahead of the bucket's own: a pair in doubt that meets in one of these is left to it,
+    so that it is asked once and not once a band.
     """
     out: dict[tuple[int, int], bool] = {}
     more, places = False, np.arange(len(sketch))
@@ -111,6 +115,8 @@ def bucket_pairs(sketch: np.ndarray, labels: np.ndarray | None, asked: set[tuple
         fit = (labels != labels[row]) & (share >= DOUBT)
         fit[known.get(row, [])] = False
         near = np.flatnonzero(fit)
+        if keys is not None and len(near):
+            near = near[~(keys[near] == keys[row]).any(axis=1)]
         if len(near) > most:
             near, more = near[np.lexsort((places[near], -share[near]))[:most]], True
         out.update({(min(row, k), max(row, k)): False for k in near.tolist()})
@@ -124,16 +130,17 @@ def _pairs(first: bool, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks: list[int] = []
-        held: list[tuple[bytes, int]] = []
+        held: list[tuple[bytes, int, list[int]]] = []
         asked: list[tuple[int, int]] = []
         key, out = None, []
 
         def close() -> None:
             if len(marks) > 1:
                 place = {m: i for i, m in enumerate(marks)}
-                sketch = np.frombuffer(b"".join(s for s, _ in held), dtype=np.uint8).reshape(len(held), -1)
-                labels = None if first else np.array([label for _, label in held])
-                found, more = bucket_pairs(sketch, labels, {(place[a], place[b]) for a, b in asked}, most)
+                sketch = np.frombuffer(b"".join(s for s, *_ in held), dtype=np.uint8).reshape(len(held), -1)
+                labels = None if first else np.array([label for _, label, _ in held])
+                ahead = np.array([k for *_, k in held], dtype=np.int64).reshape(len(held), -1)
+                found, more = bucket_pairs(sketch, labels, {(place[a], place[b]) for a, b in asked}, most, ahead)
                 out.extend((key, min(marks[i], marks[j]), max(marks[i], marks[j]), sure, more and not sure) for i, j, sure in found)
             marks.clear(), held.clear(), asked.clear()
 
@@ -143,13 +150,13 @@ def _pairs(first: bool, most: int):
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for now, a, b, sketch, label in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for now, a, b, sketch, label, ahead in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if now != key:
                     close()
                     key = now
                 if b is None:
                     marks.append(a)
-                    held.append((sketch, label))
+                    held.append((sketch, label, ahead))
                 else:
                     asked.append((a, b))
             yield table()
@@ -160,40 +167,40 @@ def _pairs(first: bool, most: int):
 
 
 def bands(items: DataFrame) -> DataFrame:
-    """(mark, key): the bands of ``items`` (mark, keys, sketch)."""
-    return items.select("mark", F.explode("keys").alias("key"))
+    """(mark, band, key): the bands of ``items`` (mark, keys, sketch)."""
+    return items.select("mark", F.posexplode("keys").alias("band", "key"))
 
 
 def undecided(items: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key): the bands whose texts are of more than one component of ``labels`` (mark, component).
+    """(key, count): the bands whose texts are of more than one component of ``labels`` (mark, component), and their texts' number.
 
     It is one row a band of a text, so a band of many texts that are joined already costs no more than they are.
     """
     labelled = bands(items).join(labels, "mark", "left").select("key", F.coalesce("component", "mark").alias("label"))
-    return labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("count")).where("low < high").select("key", "count")
 
 
 def buckets(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(key, mark, sketch): the buckets of ``items`` (mark, keys, sketch) with more than one text, cut into pairs of tiles.
+    """(key, mark, sketch, ahead): the buckets of ``items`` (mark, keys, sketch) with more than one text, cut into pairs of tiles.
 
-    ``wanted`` (key) says which bands, where not all.
+    ``ahead`` has the text's keys in the bands ahead of the bucket's.  ``wanted`` (key, count) says which bands, where not all.
     """
-    keys = bands(items) if wanted is None else bands(items).join(wanted, "key", "left_semi")
-    met = keys.groupBy("key").count().where("count > 1")
+    keys = bands(items)
+    met = keys.groupBy("key").count().where("count > 1") if wanted is None else wanted
     return (
-        keys.join(met, "key").join(items.select("mark", "sketch"), "mark")
+        keys.join(met, "key").join(items.select("mark", "sketch", "keys"), "mark")
         .withColumn("tiles", F.expr(f"int(ceil(count / {TILE}))"))
         .withColumn("tile", F.expr("int(pmod(xxhash64(mark, 7), tiles))"))
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-        .select(F.expr("if(tiles = 1, key, xxhash64(key, least(tile, other), greatest(tile, other)))").alias("key"), "mark", "sketch")
+        .select(F.expr("if(tiles = 1, key, xxhash64(key, least(tile, other), greatest(tile, other)))").alias("key"), "mark", "sketch", F.expr("slice(keys, 1, band)").alias("ahead"))
     )
 
 
 def candidates(held: DataFrame, most: int, asked: DataFrame | None = None) -> DataFrame:
-    """(key, a, b, sure, more) of the pairs of each bucket of ``held`` (key, mark, sketch, and label after the first round)."""
+    """(key, a, b, sure, more) of the pairs of each bucket of ``held`` (key, mark, sketch, ahead, and label after the first round)."""
     first = asked is None
     label = F.lit(None).cast("long") if first else F.col("label")
-    rows = held.select("key", F.col("mark").alias("a"), F.lit(None).cast("long").alias("b"), "sketch", label.alias("label"))
+    rows = held.select("key", F.col("mark").alias("a"), F.lit(None).cast("long").alias("b"), "sketch", label.alias("label"), "ahead")
     if not first:
         rows = rows.unionByName(asked.select("key", "a", "b"), allowMissingColumns=True)
     return rows.repartition("key").sortWithinPartitions("key", "b", "a").mapInArrow(

@@ -127,3 +127,17 @@ def test_all_documents(spark, small):
     true = groups([t for _, t in rows])
     got = {r.doc_id for r in S.near_dedup(spark.read.parquet(f"{small}/documents.parquet")).collect()}
     assert got == {rows[i][0] for i, g in enumerate(true) if i == g}
+
+
+def test_a_pair_in_doubt_is_asked_in_one_band(spark):
+    rng = np.random.default_rng(8)
+    texts = family(rng, 60, 180, 2)
+    rows = spark.createDataFrame(list(enumerate(texts)), "mark long, text string")
+    items = N.signatures(rows).localCheckpoint()
+    asked = [(r.a, r.b) for r in N.candidates(N.buckets(items), 1000).where("NOT sure").collect()]
+    assert len(asked) == len(set(asked)) > 100
+    keys = {r.mark: r["keys"] for r in items.collect()}
+    sketch = {r.mark: np.frombuffer(r.sketch, dtype=np.uint8) for r in items.collect()}
+    met = {(a, b) for a in keys for b in keys if a < b and set(keys[a]) & set(keys[b])}
+    share = {(a, b): ((sketch[a] == sketch[b]).mean() - 1 / 256) / (1 - 1 / 256) for a, b in met}
+    assert {p for p in met if N.DOUBT <= share[p] < N.SURE} - set(asked) == set()
