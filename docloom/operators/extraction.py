@@ -180,6 +180,9 @@ def with_candidates(df: DataFrame, keep: list[str], text: str, rules: tuple[Rule
                     language: str | None = None, options: ExtractOptions | None = None) -> DataFrame:
     """The kept columns with the ordered candidate array ``_candidates`` and, with options, the ids
     ``_kept`` of the entities that pass."""
+    if options is not None and options.entity_types:
+        # An entity of another type passes in no case, so its rules needn't run.
+        rules = tuple(rule for rule in rules if rule.entity_type in options.entity_types) or rules
     lang = F.col(language) if language else None
     body, lines = F.col(text), F.col("_lines")
     arrays = [_candidates(rule, body, lines, lang) for rule in rules]

@@ -162,3 +162,14 @@ def test_rules_agree_with_python(spark, small):
                         match = re.sub(rule.strip_prefix, "", m.group(0)) if rule.strip_prefix else m.group(0)
                         want.add((row.doc_id, rule.rule_id, match))
     assert got == want
+
+
+def test_rules_of_types_that_cannot_pass_do_not_run(spark):
+    from docloom.operators.extraction import with_candidates
+    from docloom.operators.rules import PROSE_RULES
+    from docloom.options import ExtractOptions
+
+    df = spark.createDataFrame([(1, "Dr. Ann Lee of Foo Company on 1/2/2023")], "id long, text string")
+    plan = with_candidates(df, ["id"], "text", PROSE_RULES, None, ExtractOptions(0.6, ("date",), None))._jdf.queryExecution().optimizedPlan().toString()
+    whole = with_candidates(df, ["id"], "text", PROSE_RULES, None, ExtractOptions(0.6, None, None))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") < whole.count("regexp_extract_all")
