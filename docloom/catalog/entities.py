@@ -191,7 +191,7 @@ def m07_links(spark, folder):
        f"SELECT doc_id, name, 'video_frame' AS source, 'Frame ' || (doc_id % 7 + 1) AS timestamp FROM ({MENTIONS_SQL}) WHERE entity_type = 'person' UNION ALL "
        f"SELECT doc_id, name, 'audio' AS source, NULL AS timestamp FROM ({MENTIONS_SQL}) WHERE entity_type = 'date'")
 def m08(spark, folder):
-    rows = mentions(spark, folder).select("doc_id", "entity_type", "name")
+    rows = extract(notes(spark, folder), ["doc_id"], "text", rules_of("person") + rules_of("date")).select("doc_id", "entity_type", "name")
     frame = C.with_frame(rows.filter(F.col("entity_type") == "person"), F.col("doc_id") % 7)
     audio = C.with_source(rows.filter(F.col("entity_type") == "date"), "audio")
     return frame.unionByName(audio.withColumn("timestamp", F.lit(None).cast("string"))).drop("entity_type")
