@@ -151,8 +151,11 @@ def store_entities(mentions: DataFrame, entities: DataFrame | None = None, links
     """
     order = order or ["ordinal"]
     rows = with_entity_id(normalize_entities(mentions))
-    fresh = rows.groupBy("entity_id", *ENTITY).agg(
-        F.min_by("description", F.struct("content_id", *order)).alias("description")
+    seen = F.struct("content_id", *order)
+    # Spellings are far fewer than mentions: the first mention of each is found ahead of names and ids.
+    spelled = mentions.groupBy(*ENTITY).agg(F.min_by("description", seen).alias("description"), F.min(seen).alias("_seen"))
+    fresh = with_entity_id(normalize_entities(spelled)).groupBy("entity_id", *ENTITY).agg(
+        F.min_by("description", "_seen").alias("description")
     )
     columns = ["entity_id", *ENTITY, "description"]
     table = fresh.select(*columns)

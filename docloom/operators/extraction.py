@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from docloom.functions.names import normalize_name
 from docloom.functions.json_columns import top_level_keys
-from docloom.functions.text import SPACE_CHARS, contains_any, find_all, is_blank, lines_of, strip
+from docloom.functions.text import SPACE_CHARS, bound, contains_any, find_all, is_blank, lines_of, strip
 from docloom.operators.rules import (
     CODE_RULES, DOCUMENT_RULES, OFFSET_RULES, OFFSET_WIDTH, PROSE_RULES, Rule,
 )
@@ -67,7 +67,7 @@ def _matches(text: Column, lines: Column, pattern: str, start: str, needs: tuple
     """Distinct matches of a pattern, line by line, in binary order.
 
     Two cheap tests spare most of the work and change no match: a text without any of the literals in
-    ``needs`` is not searched, and ``start``, the class a match can begin with, is tested ahead of the
+    ``needs`` is not searched, and ``start``, what a match can begin with, is tested ahead of the
     costlier word edge.
     """
     guard = f"(?={start})(?:{pattern})" if start else pattern
@@ -78,7 +78,7 @@ def _matches(text: Column, lines: Column, pattern: str, start: str, needs: tuple
     needs = needs or _opening_literal(pattern)
     if needs:
         found = F.coalesce(F.when(contains_any(text, needs), found), F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
 
 
 def _fill(template: str, match: Column, pattern: str) -> Column:
@@ -176,6 +176,13 @@ def _apply_options(candidates: Column, options: ExtractOptions) -> Column:
     return kept
 
 
+def _all_pass(rules: tuple[Rule, ...], options: ExtractOptions) -> bool:
+    """Whether the options can't drop an entity of these rules."""
+    least = options.confidence_threshold
+    every = least is None or all(rule.relevance >= least for rule in rules)
+    return every and not options.entity_types and options.max_entities is None
+
+
 def with_candidates(df: DataFrame, keep: list[str], text: str, rules: tuple[Rule, ...],
                     language: str | None = None, options: ExtractOptions | None = None) -> DataFrame:
     """The kept columns with the ordered candidate array ``_candidates`` and, with options, the ids
@@ -191,8 +198,12 @@ def with_candidates(df: DataFrame, keep: list[str], text: str, rules: tuple[Rule
     df = df.select(*keep, every)
     if options is None:
         return df
-    df = df.select("*", _apply_options(F.col("_candidates"), options).alias("_kept"))
-    chosen = F.filter("_candidates", lambda c: F.array_contains(F.col("_kept"), _entity_id(c)))
+    candidates = F.col("_candidates")
+    df = df.select("*", _apply_options(candidates, options).alias("_kept"))
+    if _all_pass(rules, options):
+        return df
+    # Bound to a variable, the ids are made once; as a column they would move into the filter and be made for each candidate.
+    chosen = bound(F.col("_kept"), lambda kept: F.filter(candidates, lambda c: F.array_contains(kept, _entity_id(c))))
     return df.select(*keep, chosen.alias("_candidates"), "_kept")
 
 

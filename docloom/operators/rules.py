@@ -12,7 +12,7 @@ class Rule:
     ``captures`` are (pattern, format) pairs tried in order on a match to build the entity name from
     its groups.  A match none of them fits is kept whole, or dropped if ``must_capture``.
     ``description`` is a format over the groups of the first capture; without it the description is
-    the label and the name.  ``starts`` holds, per pattern, the class a match begins with and
+    the label and the name.  ``starts`` holds, per pattern, what a match begins with and
     ``needs`` literals of which every match has at least one.
     """
 
@@ -81,14 +81,14 @@ LEADING_PREPOSITION = r"^(?:in|at|from|to) "
 
 TEXT_RULES = (
     Rule("person", "person", 0.75, 30, (PERSON_NAME, PERSON_TITLED), union=True,
-         starts=("[A-Z]", "[MDP]"), needs=((), TITLE_LITERALS)),
+         starts=("[A-Z][a-z]+ [A-Z]", "[MDP]"), needs=((), TITLE_LITERALS)),
     Rule("organization", "organization", 0.70, 30, (ORGANIZATION_WORD, ORGANIZATION_NAME), union=True,
          starts=("[A-Z]", "[A-Z]"), needs=(ORGANIZATION_LITERALS, ORGANIZATION_LITERALS)),
     Rule("location", "location", 0.65, 30, (LOCATION_AFTER_PREPOSITION, LOCATION_KNOWN), union=True,
-         strip_prefix=LEADING_PREPOSITION, starts=("[iaft]", "[A-Z]")),
-    Rule("date", "date", 0.80, 30, (DATE,), union=True, starts=("[0-9A-Z]",)),
+         strip_prefix=LEADING_PREPOSITION, starts=("[iaft][ntro](?:om)? [A-Z]", "[A-Z]")),
+    Rule("date", "date", 0.80, 30, (DATE,), union=True, starts=("[0-9ADFJMNOS]",)),
 )
-PRODUCT_RULE = Rule("product", "product", 0.60, 30, (PRODUCT,), union=True, starts=("[A-Z]",))
+PRODUCT_RULE = Rule("product", "product", 0.60, 30, (PRODUCT,), union=True, starts=("[A-Z][a-z]+ [0-9A-Z]",))
 # The prose rules with products, used for plain text, CSV and the fallback.
 PROSE_RULES = TEXT_RULES + (PRODUCT_RULE,)
 

@@ -19,7 +19,7 @@ from docloom.operators.metadata import extract_metadata
 from docloom.operators.routing import content_kind, should_chunk
 from docloom.operators.rules import PROSE_RULES, Rule
 from docloom.options import ChunkOptions, ExtractOptions
-from docloom.sources.tables import write_table
+from docloom.sources.tables import spread, write_table
 
 #: The chain keeps every entity; a caller who wants the best few of each chunk passes ``max_entities``.
 WHOLE = ExtractOptions(max_entities=None)
@@ -97,6 +97,6 @@ def ingest_to(folder: str, df: DataFrame, key: str, text: str = "text", path: st
 
     content = written("content", lazy.content, "kind")
     chunks = written("chunks", as_chunks(content, chunking, text))
-    mentions = written("mentions", as_mentions(chunks, rules, extraction))
+    mentions = written("mentions", as_mentions(spread(chunks), rules, extraction))
     entities, links = store_entities(mentions, order=["chunk_index", "ordinal"])
     return Ingested(content, chunks, mentions, written("entities", entities), written("links", links))

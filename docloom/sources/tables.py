@@ -32,14 +32,9 @@ def run_select(spark: SparkSession, sql: str, args: dict | list | None = None) -
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Write a table as a new snapshot; the target must not exist."""
+    """Write a table as a new snapshot; the target must not exist.
+
+    Each task writes its own rows, sorted by kind: a dominant kind spreads over all tasks, and tasks follow the size of the input.
+    """
     writer = df.write.mode("errorifexists")
-    if partition_by:
-        # One writer per kind and slice of rows: a dominant kind still spreads over many tasks.
-        slices = df.sparkSession.sparkContext.defaultParallelism
-        df = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(slices)))
-        writer = (
-            df.repartition(partition_by, "_slice").drop("_slice").write.mode("errorifexists")
-            .partitionBy(partition_by)
-        )
-    writer.parquet(path)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

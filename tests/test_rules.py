@@ -173,3 +173,20 @@ def test_rules_of_types_that_cannot_pass_do_not_run(spark):
     plan = with_candidates(df, ["id"], "text", PROSE_RULES, None, ExtractOptions(0.6, ("date",), None))._jdf.queryExecution().optimizedPlan().toString()
     whole = with_candidates(df, ["id"], "text", PROSE_RULES, None, ExtractOptions(0.6, None, None))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") < whole.count("regexp_extract_all")
+
+
+def test_ids_of_passing_entities_are_not_made_for_each_candidate(spark):
+    from docloom.operators.extraction import with_candidates
+    from docloom.plans.pipeline import WHOLE
+
+    df = spark.createDataFrame([(1, "Ann Lee met Bob Ray in Paris on 2024-01-02, and Ann Lee left.")], "id int, text string")
+
+    def plan(options):
+        return with_candidates(df, ["id"], "text", PROSE_RULES, None, options).select("id", "_candidates")._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "array_contains" not in plan(WHOLE)  # nothing can fail, so nothing is tested
+    for options in (ExtractOptions(0.7, None, None), ExtractOptions(0.5, None, 2)):
+        assert "array_contains(lambda" in plan(options)
+    rows = {r.name for r in extract(df, ["id"], options=ExtractOptions(0.5, None, 2)).collect()}
+    assert rows == {"Ann Lee", "Bob Ray"}
+    assert extract(df, ["id"], options=WHOLE).collect() == extract(df, ["id"]).collect()

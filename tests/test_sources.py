@@ -122,6 +122,12 @@ def test_snapshot_is_never_overwritten(spark, tmp_path):
         write_table(df, str(tmp_path / "t"), "kind")
 
 
+def test_tasks_write_their_own_rows_of_a_dominant_kind(spark, tmp_path):
+    df = spark.range(0, 400, 1, 20).withColumn("kind", F.lit("text"))
+    write_table(df, str(tmp_path / "t"), "kind")
+    assert len(list(tmp_path.rglob("part-*.parquet"))) == 20 and spark.read.parquet(str(tmp_path / "t")).distinct().count() == 400
+
+
 def test_logs_and_profiles(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"timestamp":"t","level":"info","message":"m","context":{"module":"a","function":"f","line":3}}\n')
     assert read_logs(spark, str(tmp_path / "l.json")).first().context.line == 3
