@@ -82,11 +82,12 @@ def ingest(df: DataFrame, key: str, text: str = "text", path: str | None = None,
 
 def ingest_to(folder: str, df: DataFrame, key: str, text: str = "text", path: str | None = None,
               rules: tuple[Rule, ...] = PROSE_RULES, chunking: ChunkOptions = ChunkOptions(),
-              extraction: ExtractOptions | None = WHOLE) -> Ingested:
+              extraction: ExtractOptions | None = WHOLE, searched: bool = True) -> Ingested:
     """The same chain written as a snapshot folder.
 
     Texts are read and searched once: entities and links are made from the written mentions, which are
-    a small part of the text.  The folder must be shared by the cluster and must not exist.
+    a small part of the text.  The folder must be shared by the cluster and must not exist.  A caller who
+    reads content and chunks only passes ``searched=False``: these two are written, the other tables stay lazy.
     """
     spark = df.sparkSession
     lazy = ingest(df, key, text, path, rules, chunking, extraction)
@@ -97,6 +98,9 @@ def ingest_to(folder: str, df: DataFrame, key: str, text: str = "text", path: st
 
     content = written("content", lazy.content, "kind")
     chunks = written("chunks", as_chunks(content, chunking, text))
-    mentions = written("mentions", as_mentions(spread(chunks), rules, extraction))
+    mentions = as_mentions(spread(chunks), rules, extraction)
+    if not searched:
+        return Ingested(content, chunks, mentions, *store_entities(mentions, order=["chunk_index", "ordinal"]))
+    mentions = written("mentions", mentions)
     entities, links = store_entities(mentions, order=["chunk_index", "ordinal"])
     return Ingested(content, chunks, mentions, written("entities", entities), written("links", links))

@@ -212,6 +212,15 @@ def test_written_ingest_equals_the_lazy_one(spark, small, tmp_path):
     assert out.content.count() == 60
 
 
+def test_unsearched_ingest_writes_content_and_chunks(spark, small, tmp_path):
+    docs = load(spark, small, "documents").select("doc_id", "text").filter("doc_id < 60")
+    whole, out = ingest_to(str(tmp_path / "a"), docs, "doc_id"), ingest_to(str(tmp_path / "b"), docs, "doc_id", searched=False)
+    assert sorted(p.name for p in (tmp_path / "b").iterdir()) == ["chunks", "content"]
+    for name in ("content", "chunks", "mentions", "entities", "links"):
+        a, b = getattr(whole, name), getattr(out, name)
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect())), name
+
+
 def test_last_patch_wins(spark):
     from docloom.operators.tables import patch_rows
 
