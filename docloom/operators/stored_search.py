@@ -1,6 +1,6 @@
 """Search on stored indexes: a query reads the files of its own tokens, not the index.
 
-Both indexes are folders of buckets, with rows sorted within and cut into ranges, so that a frequent token spans several files.
+Both indexes are folders of buckets, with rows sorted within and cut into ranges or slices, so that a frequent token spans several files.
 The bucket is a partition column that the optimizer prunes by, as a constant of the query; within a bucket, row groups are skipped
 by the least and greatest token.
 """
@@ -8,25 +8,38 @@ by the least and greatest token.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import contains_folded
 from docloom.operators.search import build_index, query_terms, search_index
+from docloom.sources.tables import estimated_bytes
 
 #: Characters of a token that name its bucket, and of one gram.
 PREFIX, GRAM = 2, 3
 
+#: Slices of a bucket at least, so that a large bucket is no task of its own, and estimated bytes of a table for each further one.
+SLICES, SLICE_BYTES = 4, 256 << 20
+
 
 def _bucket(c: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
 def _store(rows: DataFrame, path: str, order: list[str], parts: int | None) -> None:
-    sizes = (parts,) if parts else ()
-    dealt = rows.repartitionByRange(*sizes, "bucket", *order).sortWithinPartitions("bucket", *order)
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Rows by bucket, sorted, dealt to ``parts`` ranges, or else to slices of each bucket by the key (the last of ``order``).
+
+    Ranges need a look at all rows ahead of the shuffle, which would make them twice; slices don't, and their number follows the
+    planner's estimate of the rows' size.
+    """
+    if parts:
+        dealt = rows.repartitionByRange(parts, "bucket", *order)
+    else:
+        slices = SLICES + estimated_bytes(rows) // SLICE_BYTES
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64(order[-1]), F.lit(slices)))
+    dealt.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -65,10 +78,6 @@ def grams(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"), F.lit(1)))
 
 
-def _placed(at: int):
-    return lambda g: F.struct(g.alias("gram"), F.lit(at).alias("at"))
-
-
 @dataclass(frozen=True)
 class SubstringIndex:
     """Rows by a bucket of their key, and for each gram of three characters the rows and columns that have it.
@@ -85,9 +94,8 @@ class SubstringIndex:
     def build(self, df: DataFrame, parts: int | None = None) -> None:
         rows = df.withColumn("bucket", _bucket(F.col(self.key), self.buckets))
         _store(rows, f"{self.folder}/rows", [self.key], parts)
-        listed = [F.transform(grams(F.col(c)), _placed(at)) for at, c in enumerate(self.columns)]
-        found = df.select(self.key, F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<struct<gram: string, at: int>>")) for x in listed])).alias("g"))
-        postings = found.select("g.gram", "g.at", self.key).withColumn("bucket", _bucket(F.col("gram"), self.buckets))
+        found = [df.select(F.explode(grams(F.col(c))).alias("gram"), F.lit(at).alias("at"), self.key) for at, c in enumerate(self.columns)]
+        postings = reduce(DataFrame.unionAll, found).withColumn("bucket", _bucket(F.col("gram"), self.buckets))
         _store(postings, f"{self.folder}/grams", ["gram", self.key], parts)
 
     def candidates(self, spark: SparkSession, query: str) -> DataFrame | None:

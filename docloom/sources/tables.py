@@ -11,6 +11,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size; no row is read for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy work on an input that fewer tasks than cores would read.
 
@@ -20,8 +25,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     task = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores * 2) if size < cores * task else df
+    return df.repartition(cores * 2) if estimated_bytes(df) < cores * task else df
 
 
 def run_select(spark: SparkSession, sql: str, args: dict | list | None = None) -> DataFrame:

@@ -91,3 +91,38 @@ def test_grams_of_odd_texts(spark):
     got = {r.i: r.g for r in rows.select("i", grams(F.col("t")).alias("g")).collect()}
     assert (got[1], got[2], got[3], got[4]) == (None, [], [], ["aaa"])
     assert sorted(got[5]) == sorted({"x\n\U0001F600", "\n\U0001F600z", "\U0001F600zx", "zx\n"})
+
+
+def test_grams_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return f"page {i} \U0001F600"
+
+    rows = spark.range(40).select("id", text("id").alias("t"))
+    SubstringIndex(str(tmp_path), "id", ("t",), buckets=4).build(rows)
+    assert made.value == 2 * 40  # once for the rows, once for their grams
+    assert spark.read.parquet(str(tmp_path / "grams")).groupBy("gram", "id").count().filter("count > 1").isEmpty()
+
+
+def test_empty_pieces_of_a_text_are_dropped_as_rows(spark):
+    df = spark.createDataFrame([(1, " A b, a "), (2, ""), (3, None), (4, "..")], "i int, t string")
+    index = R.build_index(df, "i", ["t"])
+    assert "lambda" not in index._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, index.collect())) == [("a", 1, 2), ("b", 1, 1)]
+
+
+def test_a_large_index_cuts_its_buckets_into_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("docloom.operators.stored_search.estimated_bytes", lambda rows: 7 << 28)
+    postings = spark.range(20_000).selectExpr("'the' AS token", "id AS doc_id", "1L AS tf")
+    stored = TokenIndex(str(tmp_path), "doc_id", buckets=4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        stored.write(postings)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(list(tmp_path.rglob("part-*.parquet"))) >= 4 and stored.search(spark, "the").count() == 20_000
