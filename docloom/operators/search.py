@@ -17,18 +17,14 @@ TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
 SNIPPET_BEFORE, SNIPPET_AFTER = 30, 60
 
 
-def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), TOKEN_SEPARATOR), lambda t: t != "")
-
-
 def build_index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Postings (token, key, tf) over text columns.
 
     Equal tokens of a document are counted ahead of the shuffle, which is by (token, key): a token of
-    every document does not gather in one task.
+    every document does not gather in one task.  Empty pieces are dropped as rows, which costs less than within the array.
     """
     text = F.concat_ws(" ", *columns)
-    rows = df.select(key, F.explode(tokens(text)).alias("token"))
+    rows = df.select(key, F.explode(F.split(F.lower(text), TOKEN_SEPARATOR)).alias("token")).filter("token <> ''")
     return rows.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
