@@ -1,16 +1,20 @@
 """How filters overlap: every document's failures, and what each filter removes in every order of filters.
 
 Words decide two of the filters by a sparse document-term matrix.
-  1. Each task cuts its texts into shards of about ``SHARD_BYTES`` and counts words in rows of compressed sparse form, by
-     numbers that hold within the shard; the shard's list of words goes along.  Shards are written.
-  2. All lists together are dealt by a hash of the word and sorted; a word's rank in its bucket makes its term id, the same in
-     every shard.
-  3. Each shard gets the ids of its own words back and renumbers its columns: the matrix, whose row sums are the
+  1. Each task cuts its texts into books of about ``BOOK_BYTES`` and these into shards of about ``SHARD_BYTES``, and counts words
+     in rows of compressed sparse form, by numbers that hold within the book; a shard's new words go along.  Shards are written.
+  2. All words together are dealt by a hash of the word and sorted; a word's rank in its bucket makes its term id, the same in
+     every book.
+  3. Each book gets the ids of its own words back and renumbers the columns of its shards: the matrix, whose row sums are the
      numbers of words and whose nonzero counts are the numbers of distinct words.
 
-A shard sends a word once, however often its documents have it, and the sort of a bucket spills, so no word is too
+A book sends a word once, however often its documents have it, and the sort of a bucket spills, so no word is too
 frequent.  A text is never cut: one that is larger than a shard is a shard of its own.
 
+A shard is one row, and Parquet's writers and readers and Arrow's batches hold many rows at once: a writer looks at its size
+every 100 rows at first, a reader takes up to 4096 rows of a row group.  So shards are small, and the row groups of the written
+shards are bounded by ``GROUP_BYTES``: what a task holds follows these and not its share of the input.
+
 Filters: A fewer than 100 words; B fewer than 80 distinct words in 100; C more than 10 of 100 code points in A to Z; D any
 of the characters ``#$%&*|``; E equal to the text of a smaller id.  Copies of a text are counted by part and label before
 they meet, so a group of copies of any size is a few rows.
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import count, permutations
+from itertools import count, islice, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,9 @@ from pyspark.sql.window import Window
 from docloom.llm.shared import shared_table
 from docloom.llm.wordhash import text_bytes
 
-SHARD_BYTES, BUCKET_WORDS = 16 << 20, 1 << 20
+BOOK_BYTES, SHARD_BYTES, BUCKET_WORDS = 16 << 20, 256 << 10, 1 << 20
+#: Encoded bytes of a row group of written shards, and the rows after which its size is looked at.
+GROUP_BYTES, GROUP_ROWS = 4 << 20, 8
 FILTERS = "ABCDE"
 #: At least so many words, so many distinct ones of 100, at most so many capitals of 100 code points.
 WORDS, DISTINCT, CAPITALS = 100, 80, 10
@@ -44,11 +50,10 @@ SIGNS = "[#$%&*|]"
 
 
 class Shard:
-    """Texts of a shard as rows of counts, by word numbers in order of first use."""
+    """Texts of a shard as rows of counts, by the word numbers of its book."""
 
-    def __init__(self):
-        numbers = count()
-        self.number: dict[bytes, int] = _Numbers(numbers)
+    def __init__(self, number: _Numbers):
+        self.number, self.known = number, len(number)
         self.found: list[np.ndarray] = []
         self.kept: list[pa.RecordBatch] = []
         self.bytes = 0
@@ -58,19 +63,21 @@ class Shard:
         self.found.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.bytes += len(text)
 
-    def row(self, shard: int, names: list[str]) -> pa.RecordBatch:
-        """The shard as one row: columns of its documents and the matrix, each as a list."""
+    def row(self, book: int, shard: int, names: list[str]) -> pa.RecordBatch:
+        """The shard as one row: columns of its documents, the matrix and the words new to the book, each as a list."""
         sizes = np.array([len(x) for x in self.found], dtype=np.int64)
         cells, counts = np.unique((np.repeat(np.arange(len(sizes)), sizes) << 32) | np.concatenate(self.found), return_counts=True)
         starts = np.searchsorted(cells, np.arange(len(sizes) + 1) << 32)
         table = pa.Table.from_batches(self.kept)
         lists = [table.column(n).combine_chunks() for n in names] + [
             pa.array(starts.astype(np.int32)), pa.array(np.diff((cells & 0xFFFFFFFF).astype(np.int32), prepend=np.int32(0))), pa.array(counts.astype(np.int32)),
-            pa.array(list(self.number), pa.binary()).cast(pa.string()),
+            pa.array(list(islice(self.number, self.known, None)), pa.binary()).cast(pa.string()),
         ]
         lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
         columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *columns], names=["shard", *names, "starts", "steps", "counts", "words"])
+        numbers = [pa.array([x], pa.int64()) for x in (book, shard)]
+        first = pa.array([self.known], pa.int32())
+        return pa.RecordBatch.from_arrays([*numbers, *columns, first], names=["book", "shard", *names, "starts", "steps", "counts", "words", "first"])
 
 
 class _Numbers(dict):
@@ -85,62 +92,76 @@ class _Numbers(dict):
 
 
 def shards(docs: DataFrame, text_column: str, names: list[str], most: int = SHARD_BYTES) -> DataFrame:
-    """Rows (shard, lists of ``names``, starts, steps, counts, words) that hold all rows of ``docs``.
+    """Rows (book, shard, lists of ``names``, starts, steps, counts, words, first) that hold all rows of ``docs``.
 
-    ``steps`` are the differences of the column numbers, which are small and take less room than the numbers.
+    ``steps`` are the differences of the column numbers, which are small and take less room than the numbers.  ``words`` are those
+    that no earlier shard of the book has, numbered from ``first``.
     """
+    whole = max(most, BOOK_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number = Shard(), TaskContext.get().partitionId() << 32
+        book = number = TaskContext.get().partitionId() << 32
+        words, held = _Numbers(count()), 0
+        shard = Shard(words)
         for batch in batches:
             data, bounds = text_bytes(batch.column(len(names)))
             first = 0
             for i in range(batch.num_rows):
                 shard.add(data[bounds[i]:bounds[i + 1]].tobytes())
                 if shard.bytes >= most or i + 1 == batch.num_rows:
-                    shard.kept.append(batch.slice(first, i + 1 - first).select(names))
+                    # A copy, as a slice would keep its whole batch.
+                    shard.kept.append(batch.select(names).take(pa.array(range(first, i + 1), pa.int32())))
                     first = i + 1
                 if shard.bytes >= most:
-                    yield shard.row(number, names)
-                    shard, number = Shard(), number + 1
+                    yield shard.row(book, number, names)
+                    held, number = held + shard.bytes, number + 1
+                    if held >= whole:
+                        book, words, held = number, _Numbers(count()), 0
+                    shard = Shard(words)
         if shard.found:
-            yield shard.row(number, names)
+            yield shard.row(book, number, names)
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     lists = "".join(f", `{n}` array<{kinds[n]}>" for n in names)
     return docs.select(*names, F.col(text_column)).mapInArrow(
-        run, f"shard long{lists}, starts array<int>, steps array<int>, counts array<int>, words array<string>")
+        run, f"book long, shard long{lists}, starts array<int>, steps array<int>, counts array<int>, words array<string>, first int")
 
 
 def terms(written: DataFrame) -> DataFrame:
-    """(shard, number, bucket, word, term): the term id of each word of each shard, one id for one word."""
+    """(book, number, bucket, word, term): the term id of each word of each book, one id for one word."""
     total = written.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
     buckets = max(total // BUCKET_WORDS, int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = written.select("shard", F.posexplode("words").alias("number", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    words = written.select("book", "first", F.posexplode("words").alias("at", "word"))
+    words = words.select("book", (F.col("first") + F.col("at")).alias("number"), F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket"), "word")
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long") - 1
-    return words.select("shard", "number", "bucket", "word", (rank * buckets + F.col("bucket")).alias("term"))
+    return words.select("book", "number", "bucket", "word", (rank * buckets + F.col("bucket")).alias("term"))
 
 
 def matrix(docs: DataFrame, text_column: str = "text", names: list[str] | None = None) -> DataFrame:
     """Shards of the document-term matrix: (shard, lists of ``names``, starts, terms, counts)."""
     names = names or []
-    written = shared_table(shards(docs, text_column, names), "matrix")
+    options = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": GROUP_ROWS}
+    written = shared_table(shards(docs, text_column, names), "matrix", options)
 
     def renumber(rows: pa.Table, ids: pa.Table) -> pa.Table:
         numbers, found = (_flat(ids, n) for n in ("numbers", "terms"))
         own = np.zeros(len(numbers), dtype=np.int64)
         own[numbers] = found
-        columns = own[np.cumsum(_flat(rows, "steps"), dtype=np.int32)]
-        listed = pa.ListArray.from_arrays(pa.array([0, len(columns)][:rows.num_rows + 1], pa.int32()), pa.array(columns))
-        return rows.select(["shard", *names, "starts"]).append_column("terms", listed).append_column("counts", rows.column("counts"))
+        parts = []
+        for at in range(rows.num_rows):
+            row = rows.slice(at, 1)
+            columns = own[np.cumsum(_flat(row, "steps"), dtype=np.int32)]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(columns)], pa.int32()), pa.array(columns))
+            parts.append(row.select(["shard", *names, "starts"]).append_column("terms", listed).append_column("counts", row.column("counts")))
+        return pa.concat_tables(parts)
 
     kinds = {f.name: f.dataType.simpleString() for f in written.schema}
     lists = "".join(f", `{n}` {kinds[n]}" for n in names)
-    # A bucket's task packs what each shard gets from it ahead of the shuffle by shard.
-    ids = terms(written.select("shard", "words")).groupBy("shard", "bucket").agg(
+    # A bucket's task packs what each book gets from it ahead of the shuffle by book.
+    ids = terms(written.select("book", "first", "words")).groupBy("book", "bucket").agg(
         F.collect_list("number").alias("numbers"), F.collect_list("term").alias("terms"))
     return (
-        written.drop("words").groupBy("shard").cogroup(ids.drop("bucket").groupBy("shard"))
+        written.drop("words", "first").groupBy("book").cogroup(ids.drop("bucket").groupBy("book"))
         .applyInArrow(renumber, f"shard long{lists}, starts array<int>, terms array<bigint>, counts array<int>")
     )
 

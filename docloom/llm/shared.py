@@ -24,10 +24,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and return the written one, which has no lineage."""
+def shared_table(df: DataFrame, label: str, options: dict[str, object] | None = None) -> DataFrame:
+    """Write a table to the shared folder and return the written one, which has no lineage; ``options`` go to the writer."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

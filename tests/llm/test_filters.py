@@ -1,9 +1,13 @@
 from collections import Counter
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from docloom.llm import filters as A
+from docloom.session import ensure_checkpoint_dir
 
 
 def failures(docs):
@@ -89,6 +93,34 @@ def test_matrix_is_the_texts(spark, monkeypatch):
     assert seen == {i: Counter((t or "").split()) for i, t in enumerate(texts)}
 
 
+def test_rows_and_row_groups_are_small(spark, monkeypatch):
+    """A task's share of the texts is many small rows in many row groups; a book still names a word once."""
+    monkeypatch.setattr(A, "GROUP_BYTES", 1 << 20)
+    texts = [" ".join(f"w{w}" for w in crew) for crew in np.random.default_rng(1).integers(0, 5000, (6000, 400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    rows = A.shards(docs, "text", ["id"]).select("book", "shard", "id", "words", "first", F.size("steps").alias("cells")).collect()
+    assert sorted(i for r in rows for i in r.id) == list(range(6000)) and len({r.shard for r in rows}) == len(rows)
+    assert max(r.cells for r in rows) <= 100_000 < sum(r.cells for r in rows)
+    assert max(len(w) for w in (r.words for r in rows)) <= 5000 and len(rows) >= 40
+    for book in {r.book for r in rows}:
+        words = [w for r in sorted(rows, key=lambda r: r.shard) if r.book == book for w in r.words]
+        assert len(words) == len(set(words)) == 5000
+    before = set(_written(spark))
+    A.matrix(docs, "text", ["id"])
+    groups = [g for f in set(_written(spark)) - before for g in _groups(f)]
+    assert sum(rows for rows, _ in groups) == len(rows) and max(rows for rows, _ in groups) <= len(rows) // 2
+    assert max(size for _, size in groups) <= 2 * A.GROUP_BYTES
+
+
+def _written(spark):
+    return Path(ensure_checkpoint_dir(spark).removeprefix("file:")).rglob("docloom-matrix-*/*.parquet")
+
+
+def _groups(path):
+    found = pq.ParquetFile(path).metadata
+    return [(found.row_group(k).num_rows, found.row_group(k).total_byte_size) for k in range(found.num_row_groups)]
+
+
 def test_one_large_text(spark):
     text = " ".join(f"v{k % 90_000}" for k in range(300_000))
     docs = spark.createDataFrame([(1, text, "en"), (2, "a b", "en")], "doc_id long, text string, lang string")
