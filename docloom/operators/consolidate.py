@@ -171,6 +171,34 @@ def store_entities(mentions: DataFrame, entities: DataFrame | None = None, links
     return table, upsert_links(links, rows, order)
 
 
+#: Columns that ``newest_links`` adds to a link for ``first_spellings``.
+SPELLING = ("entity_type", "name", "description", "ordinal")
+
+
+def link_mentions(mentions: DataFrame) -> DataFrame:
+    """What a link and the entity it leads to need of each mention; links without relevance or context get the defaults."""
+    rows = with_entity_id(normalize_entities(mentions))
+    return rows.select(*LINK, *SPELLING, F.coalesce("relevance", F.lit(DEFAULT_LINK_RELEVANCE)).alias("relevance"),
+                       F.coalesce("context", F.lit("")).alias("context"))
+
+
+def newest_links(rows: DataFrame, dealt: list[str]) -> DataFrame:
+    """One row a link: the last mention's relevance and context, the first one's description and ordinal.
+
+    Rows are grouped by type and name, so that the id, which is longer than both, need not move with them.
+    """
+    by = [*dealt, "content_id", "content_type", *ENTITY]
+    latest = F.max_by(F.struct("relevance", "context"), "ordinal").alias("_latest")
+    first = F.min_by(F.struct("description", "ordinal"), "ordinal").alias("_first")
+    return with_entity_id(rows.groupBy(*by).agg(latest, first)).select(*dealt, *LINK, *ENTITY, "_latest.*", "_first.*")
+
+
+def first_spellings(links: DataFrame) -> DataFrame:
+    """The entity table of links that have the columns ``SPELLING``; the first mention's description counts."""
+    first = F.min_by("description", F.struct("content_id", "ordinal")).alias("description")
+    return with_entity_id(links.groupBy(*ENTITY).agg(first)).select("entity_id", *ENTITY, "description")
+
+
 def with_source(mentions: DataFrame, source: str) -> DataFrame:
     """Origin of the mentions (an audio track, a frame) before lists are merged."""
     return mentions.withColumn("source", F.lit(source))

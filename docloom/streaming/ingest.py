@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom.operators.consolidate import LINK, store_entities
+from docloom.operators.consolidate import LINK, SPELLING, first_spellings, link_mentions, newest_links
 from docloom.operators.extraction import extract
 from docloom.operators.rules import PROSE_RULES, Rule
 from docloom.operators.search import build_index
@@ -41,7 +41,8 @@ class EntitySink:
 
     A batch reads and writes only its own rows; it need not know which entities are known, as of an entity's rows the first
     counts when runs are merged or read.  Of a link the newest row counts.  Postings are one row a document, so the newest version
-    replaces all of an older one, even where it has no token.  Repeating a batch or restarting between its tables changes no result.
+    replaces all of an older one, even where it has no token.  A batch's mentions are shuffled once, on the way to their run, and its
+    entities come from its stored links.  Repeating a batch or restarting between its tables changes no result.
     ``input`` rows carry content_id, content_type and the text.
     """
 
@@ -54,11 +55,10 @@ class EntitySink:
         }
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        mentions = extract(batch, ["content_id", "content_type"], self.text, self.rules, one_pass=True).persist()
-        entities, links = store_entities(mentions)
-        self.tables["entities"].write(entities, batch_id)
-        self.tables["links"].write(links, batch_id)
-        mentions.unpersist()
+        mentions = extract(batch, ["content_id", "content_type"], self.text, self.rules, one_pass=True)
+        self.tables["links"].write(
+            link_mentions(mentions), batch_id, newest_links, SPELLING,
+            then=lambda links: self.tables["entities"].write(first_spellings(links), batch_id))
         index = build_index(batch, "content_id", [self.text])
         held = [F.col(c) for c in index.columns if c != "content_id"]
         own = index.groupBy("content_id").agg(F.collect_list(F.struct(*held)).alias("postings"))  # the tokens of one document

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -10,15 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.sources.tables import estimated_bytes
+
 _MANIFEST = "runs array<struct<name: string, level: int>>, shape string, batch_id long"
-_BATCH, _BUCKET = "_batch", "_bucket"
+_BATCH, _BUCKET, _SLICE = "_batch", "_bucket", "_slice"
+
+#: Slices of a bucket at least, so that a large bucket is no task of its own; estimated bytes for each further one; and the most.
+SLICES, SLICE_BYTES, MOST_SLICES = 4, 64 << 20, 4096
+
+#: Makes one row a key of dealt rows: groups by the given columns and the key's, and returns all of these with the values.
+Reduce = Callable[[DataFrame, list[str]], DataFrame]
 
 
 @dataclass
 class TieredTable:
     """Rows per key over many batches: a batch adds a run, and ``fan`` runs of one size become one of the next.
 
-    A run is a folder of ``buckets`` files, by a hash of the key.  Each batch writes its own rows only and reads none of the
+    A run is a folder of ``buckets`` parts, by a hash of the key.  Rows are dealt once, by bucket and slice of the key, and made one
+    a key where they then are; so a run needs one shuffle, and a single run is read as it is.  Each batch writes its own rows only and reads none of the
     earlier ones; a row is merged again once a level, so ``n`` batches cost ``n log n`` and leave at most ``fan - 1`` runs a level.
     Which runs count is written last, as the batch's manifest.  A batch that is repeated starts from the manifest before it,
     and what that one names is kept until the next batch is through; so a restart at any point changes no result.  Of the
@@ -53,29 +63,49 @@ class TieredTable:
             out = out.unionByName(part)
         return out
 
-    def _store(self, rows: DataFrame, name: str) -> None:
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        dealt = rows.withColumn(_BUCKET, bucket).repartition(self.buckets, _BUCKET)
-        dealt.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.folder}/{name}")
+    def _store(self, rows: DataFrame, name: str, reduce: Reduce | None = None) -> DataFrame:
+        """Write a run; returns what was written, as a table that has not been read yet.
 
-    def _reduced(self, rows: DataFrame) -> DataFrame:
+        Adaptive execution joins the slices of small runs, so these have one file a bucket.
+        """
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        slices = min(SLICES + estimated_bytes(rows) // SLICE_BYTES, MOST_SLICES)
+        dealt = rows.withColumns({_BUCKET: bucket, _SLICE: F.pmod(F.hash(*self.keys), F.lit(slices))}).repartition(_BUCKET, _SLICE)
+        run = (reduce or self._reduced)(dealt, [_BUCKET, _SLICE]).drop(_SLICE)
+        path = f"{self.folder}/{name}"
+        run.write.mode("overwrite").option("compression", "zstd").partitionBy(_BUCKET).parquet(path)
+        return rows.sparkSession.read.schema(run.schema).parquet(path)
+
+    def _reduced(self, rows: DataFrame, dealt: list[str] | None = None) -> DataFrame:
         pick = F.max_by if self.keep == "last" else F.min_by
-        values = [c for c in rows.columns if c not in (*self.keys, _BATCH, _BUCKET)]
+        values = [c for c in rows.columns if c not in (*self.keys, _BATCH, _BUCKET, _SLICE)]
         row = pick(F.struct(_BATCH, *values), _BATCH).alias("_row")
-        return rows.groupBy(*self.keys).agg(row).select(*self.keys, "_row.*")
+        by = [*(dealt or []), *self.keys]
+        return rows.groupBy(*by).agg(row).select(*by, "_row.*")
+
+    def write(self, batch: DataFrame, batch_id: int, reduce: Reduce | None = None, beside: tuple[str, ...] = (),
+              then: Callable[[DataFrame], None] | None = None) -> None:
+        """Add the rows of a batch and merge what has become too many.
 
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        """Add the rows of a batch, at most one a key, and merge what has become too many."""
+        ``reduce`` makes one row a key of the batch's rows, else any of a key's rows counts.  ``then`` gets the batch's own rows as
+        they were stored, with the columns ``beside``, which readers and merges don't take along.
+        """
         spark = batch.sparkSession
         earlier, shape = self._runs(spark, batch_id)
         runs, level, name = list(earlier), 0, f"run-{batch_id}-0"
-        rows = batch.withColumn(_BATCH, F.lit(batch_id).cast("long"))
-        shape = shape or T.StructType([*rows.schema.fields, T.StructField(_BUCKET, T.IntegerType())]).json()
-        self._store(rows, name)
+        number = F.lit(batch_id).cast("long")
+        if reduce:
+            own = self._store(batch, name, lambda rows, dealt: reduce(rows, dealt).withColumn(_BATCH, number))
+        else:
+            own = self._store(batch.withColumn(_BATCH, number), name)
+        kept = [f for f in own.schema.fields if f.name not in (_BUCKET, *beside)]
+        shape = shape or T.StructType([*kept, T.StructField(_BUCKET, T.IntegerType())]).json()
+        if then:
+            then(own.drop(_BUCKET, _BATCH))
         runs.append((name, 0))
         while len(full := [r for r in runs if r[1] == level]) >= self.fan:
             level, name = level + 1, f"run-{batch_id}-{level + 1}"
-            self._store(self._reduced(self._load(spark, full, shape)), name)
+            self._store(self._load(spark, full, shape), name)
             runs = [r for r in runs if r not in full] + [(name, level)]
         row = ([{"name": n, "level": k} for n, k in runs], shape)
         manifest = spark.createDataFrame([row], "runs array<struct<name: string, level: int>>, shape string")
@@ -98,7 +128,12 @@ class TieredTable:
     def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
         """One row a key; none before the first batch."""
         runs, shape = self._runs(spark, before)
-        return self._reduced(self._load(spark, runs, shape)).drop(_BATCH) if runs else None
+        if not runs:
+            return None
+        rows = self._load(spark, runs, shape)
+        if len(runs) > 1:
+            return self._reduced(rows).drop(_BATCH)
+        return rows.select(*self.keys, *[c for c in rows.columns if c not in (*self.keys, _BATCH, _BUCKET)])
 
     def lookup(self, wanted: DataFrame, before: int | None = None) -> DataFrame | None:
         """The rows of the keys in ``wanted``, from the buckets that hold them."""

@@ -224,3 +224,32 @@ def test_jobs_of_one_slice_share_its_timers(spark, tmp_path):
     assert {(e, s, ok) for _, e, s, ok in rows} == {("completed", "completed", True), ("created", "completed", False), ("canceled", "completed", False)}
     held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
     assert max(held) < 100  # lists and timers of three slices, not of two thousand jobs
+
+
+def exchanges(df):
+    """Shuffles of a plan, as adaptive execution begins with it."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_a_run_is_shuffled_once_and_read_as_it_is(spark, tmp_path):
+    table = TieredTable(str(tmp_path / "t"), ("id",), buckets=2)
+    plans = []
+    table(spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, v string"), 0, lambda rows, dealt: plans.append(rows) or
+          rows.groupBy(*dealt, "id").agg(F.max("v").alias("v"), F.count("v").alias("n")), beside=("n",),
+          then=lambda own: plans.append(sorted(map(tuple, own.select("id", "v", "n").collect()))))
+    assert plans[1] == [(1, "a", 1), (2, "b", 2)]
+    assert exchanges(plans[0].groupBy("_bucket", "_slice", "id").agg(F.max("v"))) == 1
+    assert table.read(spark).columns == ["id", "v"] and exchanges(table.read(spark)) == 0
+    assert sorted(map(tuple, table.read(spark).collect())) == [(1, "a"), (2, "b")]
+    table(spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "id long, v string"), 1)
+    assert sorted(map(tuple, table.read(spark).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_entities_of_the_sink_have_the_first_description(spark, docs):
+    df, _, base = docs
+    sink = EntitySink(str(base / "out"))
+    sink(df, 0)
+    entities, links = C.store_entities(extract(df, ["content_id", "content_type"]))
+    assert sorted(map(str, sink.entities(spark).select(*entities.columns).collect())) == sorted(map(str, entities.collect()))
+    assert sorted(map(str, sink.links(spark).select(*links.columns).collect())) == sorted(map(str, links.collect()))
+    assert exchanges(sink.links(spark)) == 0
