@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.json_columns import parse_or_text
-from docloom.functions.text import contains_folded, quoted_regex
+from docloom.functions.text import bound, contains_folded, quoted_regex
 from docloom.options import SEARCH_LIMIT
 from docloom.session import cut_lineage
 
@@ -28,6 +28,39 @@ def build_index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted_tokens(tokens: Column) -> Column:
+    """Distinct tokens, sorted and joined by spaces, which no token has, and how often each occurs: (tokens, tf array<int>)."""
+    def count(sorted_tokens: Column) -> Column:
+        at = F.transform(sorted_tokens, lambda _, i: i)
+        first = F.filter(at, lambda i: (i == 0) | (F.get(sorted_tokens, i) != F.get(sorted_tokens, i - 1)))
+        return bound(first, lambda cuts: F.struct(
+            F.array_join(F.transform(cuts, lambda i: F.get(sorted_tokens, i)), " ").alias("tokens"),
+            F.transform(cuts, lambda i, k: F.coalesce(F.get(cuts, k + 1), F.size(sorted_tokens)) - i).alias("tf")))
+
+    return bound(F.sort_array(tokens), count)
+
+
+def row_postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The postings of each row of ``df``, counted within the row: (key, tokens, tf)."""
+    pieces = F.split(F.lower(F.concat_ws(" ", *columns)), TOKEN_SEPARATOR)
+    return df.select(key, counted_tokens(F.filter(pieces, lambda t: t != "")).alias("_p")).select(key, "_p.*")
+
+
+def joined_postings(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Row postings summed within ``by``: (…, tokens, tf).  A group of one row stays as it is."""
+    split = F.transform("_all", lambda p: F.flatten(F.transform(
+        F.arrays_zip(F.split(p["tokens"], " ").alias("t"), p["tf"].alias("n")), lambda z: F.array_repeat(z["t"], F.coalesce(z["n"], F.lit(0))))))
+    every = F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(counted_tokens(F.flatten(split)))
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("tokens", "tf")).alias("_all")).select(*by, every.alias("_p")).select(*by, "_p.*")
+
+
+def exploded_postings(rows: DataFrame, key: str) -> DataFrame:
+    """Row postings as postings (key, token, tf)."""
+    each = F.arrays_zip(F.split("tokens", " ").alias("token"), F.col("tf").alias("tf"))
+    found = rows.filter("tokens <> ''").select(key, F.explode(each).alias("_p"))
+    return found.select(key, "_p.token", F.col("_p.tf").cast("long").alias("tf"))
+
+
 def build_entity_index(entities: DataFrame, key: str = "entity_id") -> DataFrame:
     return build_index(entities, key, ["name", "entity_type", "description"])
 

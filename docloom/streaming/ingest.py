@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docloom.operators.consolidate import LINK, SPELLING, first_spellings, link_mentions, newest_links
 from docloom.operators.extraction import extract
 from docloom.operators.rules import PROSE_RULES, Rule
-from docloom.operators.search import build_index
+from docloom.operators.search import exploded_postings, joined_postings, row_postings
 from docloom.streaming.tiers import TieredTable
 
 
@@ -40,9 +40,9 @@ class EntitySink:
     """Entities, links and postings over micro-batches, as tables that are merged by size (``TieredTable``).
 
     A batch reads and writes only its own rows; it need not know which entities are known, as of an entity's rows the first
-    counts when runs are merged or read.  Of a link the newest row counts.  Postings are one row a document, so the newest version
-    replaces all of an older one, even where it has no token.  A batch's mentions are shuffled once, on the way to their run, and its
-    entities come from its stored links.  Repeating a batch or restarting between its tables changes no result.
+    counts when runs are merged or read.  Of a link the newest row counts.  Postings are one row a document, counted before they
+    move, so the newest version replaces all of an older one, even where it has no token.  A batch's mentions and postings are
+    shuffled once each, on the way to their run, and its entities come from its stored links.  Repeating a batch or restarting between its tables changes no result.
     ``input`` rows carry content_id, content_type and the text.
     """
 
@@ -59,11 +59,8 @@ class EntitySink:
         self.tables["links"].write(
             link_mentions(mentions), batch_id, newest_links, SPELLING,
             then=lambda links: self.tables["entities"].write(first_spellings(links), batch_id))
-        index = build_index(batch, "content_id", [self.text])
-        held = [F.col(c) for c in index.columns if c != "content_id"]
-        own = index.groupBy("content_id").agg(F.collect_list(F.struct(*held)).alias("postings"))  # the tokens of one document
-        versions = batch.select("content_id").distinct().join(own, "content_id", "left")
-        self.tables["postings"].write(versions, batch_id)
+        postings = row_postings(batch, "content_id", [self.text])
+        self.tables["postings"].write(postings, batch_id, lambda rows, dealt: joined_postings(rows, [*dealt, "content_id"]))
 
     def entities(self, spark: SparkSession) -> DataFrame:
         return self.tables["entities"].read(spark)
@@ -74,7 +71,7 @@ class EntitySink:
 
     def postings(self, spark: SparkSession) -> DataFrame:
         """Postings of the newest version of every document; a version without tokens has none."""
-        return self.tables["postings"].read(spark).select("content_id", F.explode("postings").alias("_p")).select("content_id", "_p.*")
+        return exploded_postings(self.tables["postings"].read(spark), "content_id")
 
 
 def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> StreamingQuery:

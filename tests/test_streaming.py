@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import consolidate as C
 from docloom.operators.extraction import extract
 from docloom.operators.ordering import latest_status
-from docloom.operators.search import build_index
+from docloom.operators.search import build_index, row_postings
 from docloom.operators import stats as A
 from docloom.streaming.ingest import AppendedRows, EntitySink, LatestRows, run_available, stream_files, stream_table
 from docloom.streaming.jobs import RunningAverage, event_counts, job_status_stream, job_transitions, without_repeats
@@ -253,3 +253,17 @@ def test_entities_of_the_sink_have_the_first_description(spark, docs):
     assert sorted(map(str, sink.entities(spark).select(*entities.columns).collect())) == sorted(map(str, entities.collect()))
     assert sorted(map(str, sink.links(spark).select(*links.columns).collect())) == sorted(map(str, links.collect()))
     assert exchanges(sink.links(spark)) == 0
+
+
+def test_postings_are_counted_within_a_row(spark, tmp_path):
+    """The same as the index over rows, without its shuffle; also for texts of one document in one batch, and without an id."""
+    texts = [(1, "Ann lee, ANN x1"), (1, "x1 b"), (1, "..."), (2, None), (3, ""), (4, "Ä ä 12 12 ٣"), (None, "no id"), (None, "id id"), (5, "a " * 3000 + "b")]
+    df = spark.createDataFrame([(i, "text/plain", t) for i, t in texts], "content_id long, content_type string, text string").repartition(3)
+    rows = row_postings(df, "content_id", ["text"])
+    assert exchanges(rows) == exchanges(df)
+    want = build_index(df, "content_id", ["text"])
+    sink = EntitySink(str(tmp_path / "out"))
+    sink(df, 0)
+    got = sink.postings(spark).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema["tf"].dataType == want.schema["tf"].dataType
+    assert exchanges(got) == 0
